@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestor import scratch
-from attestor.llm import secrets, sharding, warc
+from attestor.llm import mixing, packing, secrets, sharding, tokens, warc
 from attestor.llm.tables import table, whole_text
 
 ORACLES: dict[str, str] = {}
@@ -27,10 +27,22 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, path)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in sequences of 2048 ids."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.pieces(docs, tokenizer=tokens.byte_bpe()))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix takes."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, through a ledger that starts empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.run(docs)[0].select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op10_secrets": op10_secrets}
+QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_packing": op4_packing, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
