@@ -88,10 +88,11 @@ def plan(rows: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, limit: int = LI
     return goal, scratch.cut(starts, "mix-starts")
 
 
-def slots(goal: DataFrame, *, shard_slots: int = SHARD_SLOTS, seed: int = 1, chunk: int = 65_536) -> DataFrame:
-    """All slots: shard, slot in it, the source's rank, the turn and the block taken."""
+def slots(goal: DataFrame, *, shard_slots: int = SHARD_SLOTS, seed: int = 1, chunk: int = 16_384) -> DataFrame:
+    """All slots: shard, slot in it, the source's rank, the turn and the block taken. ``goal`` is small; its total sets the number of tasks."""
+    total = goal.agg(F.max("all_slots")).first()[0] or 0
     chunks = goal.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), ((F.col("slots") - 1) / chunk).cast("long"))))
-    chunks = chunks.repartition("rank", "chunk")
+    chunks = chunks.repartition(max(1, min(20_000, total // (4 * chunk) + 1)), "rank", "chunk")  # a stated number isn't coalesced
     first = F.col("chunk") * chunk
     rows = chunks.withColumn("j", F.explode(F.sequence(first, F.least(first + chunk, F.col("slots")) - 1)))
     at = permute(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(2 * seed))
@@ -127,7 +128,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", block_words: int = BLOCK_WORDS,
     rows = rows.select(key, "source", "size", "__cell")
     goal, starts = plan(rows, weights=weights, limit=limit, block_words=block_words)
     at = scratch.cut(stream(rows, starts, key=key), "mix-stream")
-    takes = slots(goal, seed=seed).groupBy("rank", "block").count()
+    # written, as an estimate of its size from the few rows of goal would be far too low
+    takes = scratch.cut(slots(goal, seed=seed).groupBy("rank", "block").count(), "mix-takes")
     parts = blocks_of(at.select("rank", "__start", "size"), block_words).join(takes, ["rank", "block"])
     taken = parts.groupBy("rank", "__start").agg(F.sum(F.col("words") * F.col("count")).alias("taken"))
     # only documents with words have a start of their own
