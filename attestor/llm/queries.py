@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestor import scratch
-from attestor.llm import mixing, packing, secrets, sharding, tokens, warc
+from attestor.llm import mixing, packing, quality, secrets, sharding, tokens, warc
 from attestor.llm.tables import table, whole_text
 
 ORACLES: dict[str, str] = {}
@@ -39,10 +39,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    judged = quality.judge(docs, keep_text=False)
+    return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, through a ledger that starts empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.run(docs)[0].select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_packing": op4_packing, "op7_mixing": op7_mixing, "op10_secrets": op10_secrets}
+QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_packing": op4_packing, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_secrets": op10_secrets}
