@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestor import scratch
-from attestor.llm import mixing, packing, pii, quality, secrets, sharding, tokens, warc
+from attestor.llm import mixing, neardup, packing, pii, quality, secrets, sharding, tokens, warc
 from attestor.llm.tables import table, whole_text
 
 ORACLES: dict[str, str] = {}
@@ -33,6 +33,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, tokenizer=tokens.byte_bpe()))
 
 
+def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "kept")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -57,4 +62,4 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.run(docs)[0].select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_packing": op4_packing, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_secrets": op10_secrets}
+QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_packing": op4_packing, "op5_neardup": op5_neardup, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_secrets": op10_secrets}
