@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestor import scratch
-from attestor.llm import mixing, neardup, packing, pii, quality, secrets, sharding, tokens, warc
+from attestor.llm import ann, mixing, neardup, packing, pii, quality, secrets, sharding, tokenfiles, tokens, warc
 from attestor.llm.tables import table, whole_text
 
 ORACLES: dict[str, str] = {}
@@ -20,6 +20,18 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
 
 
+def op2_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, counted in flat token files; the files hold no doc_id, so it comes from the rows' order when they were written."""
+    docs, path = table(spark, sf_dir, "documents"), scratch.new_path(spark, "tokens")
+    tokenfiles.write(docs, path, tokenizer=tokens.byte_bpe())
+    counted = tokenfiles.counts(spark, path)
+    # the same scan has the same partitions and order of rows
+    written = docs.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth"))
+    both = written.join(counted, ["part", "nth"], "full")
+    same = F.assert_true(F.col("n_tokens").isNotNull() & F.col("closed"), F.lit("files and rows differ"))
+    return both.where(F.coalesce(same.cast("string"), F.lit("")) == "").select("doc_id", "n_tokens", F.regexp_extract("file", r"[^/]*$", 0).alias("file"), "start")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written to archives and read back."""
     path = scratch.new_path(spark, "warc")
@@ -56,10 +68,16 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.STATS, "base_failed", "kept", "distance")
 
 
+def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every hundredth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"), 10)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents, through a ledger that starts empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.run(docs)[0].select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op3_warc": op3_warc, "op4_packing": op4_packing, "op5_neardup": op5_neardup, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op10_secrets": op10_secrets}
+QUERIES = {"op1_sharding": op1_sharding, "op2_tokencounts": op2_tokencounts, "op3_warc": op3_warc, "op4_packing": op4_packing, "op5_neardup": op5_neardup, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_ann": op9_ann, "op10_secrets": op10_secrets}
