@@ -135,3 +135,26 @@ def mix(docs: DataFrame, *, key: str = "doc_id", block_words: int = BLOCK_WORDS,
     # only documents with words have a start of their own
     full = at.where("size > 0").join(taken, ["rank", "__start"], "left").unionByName(at.where("size = 0").withColumn("taken", F.lit(None).cast("long")))
     return full.select(key, "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def realize(docs: DataFrame, *, text: str = "text", block_words: int = BLOCK_WORDS, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
+    """The mix itself: a row per document and turn in which words of it are taken, with those words and the white space before each as its text.
+
+    n_chars, if there, follows the text. Blocks are found by a document's place in its source's stream; the texts are joined to what is taken of
+    them once, by a number that is written with them.
+    """
+    numbered = scratch.cut(placed(docs).withColumn("__id", F.monotonically_increasing_id()), "mix-docs")
+    rows = numbered.select("__id", "source", "size", "__cell")
+    goal, starts = plan(rows, weights=weights, limit=limit, block_words=block_words)
+    at = scratch.cut(stream(rows, starts, key="__id").select("__id", "rank", "__start", "size"), "mix-stream")
+    takes = scratch.cut(slots(goal, seed=seed).select("rank", "block", "turn"), "mix-takes")
+    parts = blocks_of(at, block_words).join(takes, ["rank", "block"])
+    spans = parts.groupBy("__id", "turn").agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("spans"))
+    names = [c for c in docs.columns if c.lower() not in OWN]
+    kept = numbered.select("__id", *(F.col(f"`{c}`") for c in names if c != text), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)).alias("__words"))
+    joined = kept.join(spans, "__id")
+    taken = F.flatten(F.transform("spans", lambda s: F.slice("__words", s["skip"].cast("int") + 1, s["words"].cast("int"))))
+    out = joined.withColumn(text, F.array_join(taken, ""))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast("long"))
+    return out.select(*(F.col(f"`{c}`") for c in names))
