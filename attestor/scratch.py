@@ -47,3 +47,11 @@ def remove(spark: SparkSession, folder: str) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of finished jobs now: it does so once their plans are collected as garbage, which a driver with memory to spare puts off."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
