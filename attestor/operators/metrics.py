@@ -124,10 +124,11 @@ def separation(scores: DataFrame, by: str, score: str = "score", tie: str = "ref
 
 def auc(scores: DataFrame, by: str, positive: str = "positive", score: str = "score") -> DataFrame:
     """Probability that a positive outscores a negative, ties half: rank sums with mean ranks, counted per distinct score."""
-    per = scores.groupBy(by, score).agg(F.count_if(F.col(positive)).alias("p"), F.count_if(~F.col(positive)).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = per.withColumn("wins", F.col("p") * (below + F.col("q") / 2)).groupBy(by).agg(F.sum("wins").alias("wins"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    return wins.select(by, F.when(F.col("p") * F.col("q") > 0, F.col("wins") / (F.col("p") * F.col("q"))).alias("auc"))
+    per = scores.groupBy(by, score).agg(F.count_if(F.col(positive)).alias("__yes"), F.count_if(~F.col(positive)).alias("__no"))
+    below = F.coalesce(F.sum("__no").over(Window.partitionBy(by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = per.withColumn("__wins", F.col("__yes") * (below + F.col("__no") / 2)).groupBy(by).agg(F.sum("__wins").alias("__wins"), F.sum("__yes").alias("__yes"), F.sum("__no").alias("__no"))
+    pairs = F.col("__yes") * F.col("__no")
+    return wins.select(by, F.when(pairs > 0, F.col("__wins") / pairs).alias("auc"))
 
 
 def sign_test(wins: int, losses: int) -> float:
