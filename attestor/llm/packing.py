@@ -110,7 +110,8 @@ def pack(df: DataFrame, *, capacity: int = 2048, length: str = "length") -> Data
     kept = [f for f in df.schema.fields if f.name.lower() not in OWN]
     own = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("__class", "__nth", "__task"))])
     classed = df.select(*(f"`{f.name}`" for f in kept), F.floor(F.lit(capacity) / F.col(f"`{length}`")).cast("long").alias("__class"))
-    numbered = scratch.cut(classed.mapInPandas(_number, own), "packing")
+    with scratch.small_batches(df.sparkSession):
+        numbered = scratch.cut(classed.mapInPandas(_number, own), "packing")
     counts = numbered.groupBy("__task", "__class").agg((F.max("__nth") + 1).alias("__n"))
     totals = {r[0]: r[1] for r in counts.groupBy("__class").agg(F.sum("__n")).collect()}  # as many rows as classes
     full, left = plan(totals, capacity)

@@ -28,6 +28,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from attestor import scratch
@@ -220,7 +221,8 @@ def _text(spans: Iterable[tuple]) -> str:
 
 def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the text, with OWN."""
-    found = scratch.cut(scan(docs, text), "pii-candidates")
+    with scratch.small_batches(docs.sparkSession):
+        found = scratch.cut(scan(docs, text), "pii-candidates")
     w = train(found)
     weights = np.zeros(len(KINDS) + 7) if w is None else w
     from pyspark.sql import types as T
@@ -243,7 +245,8 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in capitals between angle brackets; overlapping spans become one."""
-    w = train(scratch.cut(scan(docs.select(F.col(f"`{text}`").alias("text"))), "pii-candidates"))
+    with scratch.small_batches(docs.sparkSession):
+        w = train(scratch.cut(scan(docs.select(F.col(f"`{text}`").alias("text"))), "pii-candidates"))
     weights = np.zeros(len(KINDS) + 7) if w is None else w
 
     def clean(t: str | None) -> str | None:
@@ -257,9 +260,10 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             at = max(at, stop)
         return "".join([*out, t[at:]])
 
-    def work(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf[text] = [clean(t) for t in pdf[text]]
-            yield pdf
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index(text)
+            texts = pa.array([clean(t.as_py()) for t in batch.column(at)], batch.column(at).type)
+            yield batch.set_column(at, batch.schema.field(at), texts)
 
-    return docs.mapInPandas(work, docs.schema)
+    return docs.mapInArrow(work, docs.schema)
