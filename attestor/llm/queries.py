@@ -8,7 +8,26 @@ from attestor import scratch
 from attestor.llm import ann, mixing, neardup, packing, pii, quality, secrets, sharding, tokenfiles, tokens, warc
 from attestor.llm.tables import table, whole_text
 
-ORACLES: dict[str, str] = {}
+_KEY = r"(?i:password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?"
+
+#: What SQL can express in full. The others (hash rings, tokenizers, samples, trained models, permutations) are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+             f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op10_secrets": f"""
+        WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(57344), chr(57345)) AS text FROM documents),
+             m AS (SELECT doc_id, 0 AS k, regexp_replace(text, '({_KEY}[A-Za-z0-9+/_.=-]+)', chr(57344) || '\\1' || chr(57344), 'g') AS x FROM t
+                   UNION ALL SELECT doc_id, 1, regexp_replace(text, '(AKIA[A-Z0-9]+)', chr(57344) || '\\1' || chr(57344), 'g') FROM t
+                   UNION ALL SELECT doc_id, 2, regexp_replace(text, '([0-9a-f]+)', chr(57344) || '\\1' || chr(57344), 'g') FROM t),
+             s AS (SELECT doc_id, k, generate_subscripts(string_split(x, chr(57344)), 1) AS i, unnest(string_split(x, chr(57344))) AS p FROM m WHERE contains(x, chr(57344))),
+             o AS (SELECT doc_id, k, i, p, (sum(length(p)) OVER (PARTITION BY doc_id, k ORDER BY i) - length(p))::BIGINT AS a FROM s),
+             g AS (SELECT doc_id, k, a, a + length(p) AS b FROM o WHERE i % 2 = 0 AND CASE k WHEN 0 THEN length(regexp_extract(p, '^{_KEY}([A-Za-z0-9+/_.=-]+)$', 1)) >= 12 WHEN 1 THEN length(p) >= 18 ELSE length(p) >= 16 END),
+             c AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+                          string_agg(['assign', 'access', 'hex'][k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM g GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM t LEFT JOIN c USING (doc_id)""",
+}
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
