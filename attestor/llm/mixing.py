@@ -151,10 +151,11 @@ def realize(docs: DataFrame, *, text: str = "text", block_words: int = BLOCK_WOR
     parts = blocks_of(at, block_words).join(takes, ["rank", "block"])
     spans = parts.groupBy("__id", "turn").agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("spans"))
     names = [c for c in docs.columns if c.lower() not in OWN]
-    kept = numbered.select("__id", *(F.col(f"`{c}`") for c in names if c != text), F.regexp_extract_all(F.col(f"`{text}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)).alias("__words"))
-    joined = kept.join(spans, "__id")
-    taken = F.flatten(F.transform("spans", lambda s: F.slice("__words", s["skip"].cast("int") + 1, s["words"].cast("int"))))
-    out = joined.withColumn(text, F.array_join(taken, ""))
+    joined = numbered.select("__id", *(F.col(f"`{c}`") for c in names)).join(spans, "__id")
+    # words are split after the join, as a text is smaller than the array of its words, and bound to a name, as each span would split them again
+    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    taken = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, s["skip"].cast("int") + 1, s["words"].cast("int")))), ""))
+    out = joined.withColumn(text, F.get(taken, F.lit(0)))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast("long"))
     return out.select(*(F.col(f"`{c}`") for c in names))
