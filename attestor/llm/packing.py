@@ -30,6 +30,8 @@ from attestor.llm import tokens
 
 END_ID = 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: A piece's class, its number among those of the class that its task has made, and the task.
+NUMBERED = ("__class", "__nth", "__task")
 OWN = ("sequence_id", "offset")
 
 
@@ -50,11 +52,12 @@ def cuts(capacity: int) -> list[tuple[int, ...]]:
 
 
 def pieces(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:
-    """Documents (doc_id, text) as pieces in PIECE's columns; with_ids adds the ids, little-endian unsigned 32-bit."""
-    schema = PIECE + ", ids binary" * with_ids
+    """Documents (doc_id, text) as pieces in the columns of PIECE and NUMBERED; with_ids adds the ids, little-endian unsigned 32-bit."""
+    schema = PIECE + "".join(f", {c} long" for c in NUMBERED) + ", ids binary" * with_ids
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, table, end = tokens.encoder(tokenizer), cuts(capacity), END_ID.to_bytes(4, "little")
+        seen, task = [0] * (capacity + 1), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -62,10 +65,12 @@ def pieces(docs: DataFrame, *, tokenizer: str, capacity: int = 2048, with_ids: b
                 n, start = len(ids) // 4, 0
                 for size in [capacity] * (n // capacity) + [*table[n % capacity]]:
                     part = ids[4 * start : 4 * (start + size)]
-                    rows.append((doc, start, size, zlib.crc32(part), n, *([part] if with_ids else [])))
+                    k = capacity // size
+                    rows.append((doc, start, size, zlib.crc32(part), n, k, seen[k], task, *([part] if with_ids else [])))
                     start += size
-            columns = zip(*rows, strict=True) if rows else [[]] * (5 + with_ids)
-            kinds = [pa.int64()] * 5 + [pa.binary()] * with_ids
+                    seen[k] += 1
+            columns = zip(*rows, strict=True) if rows else [[]] * (8 + with_ids)
+            kinds = [pa.int64()] * 8 + [pa.binary()] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in schema.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, schema)
@@ -106,12 +111,16 @@ def plan(totals: dict[int, int], capacity: int) -> tuple[dict[int, tuple[int, in
 
 
 def pack(df: DataFrame, *, capacity: int = 2048, length: str = "length") -> DataFrame:
-    """``df`` (a row per piece, lengths from 1 to the capacity) with sequence_id and offset."""
-    kept = [f for f in df.schema.fields if f.name.lower() not in OWN]
-    own = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in ("__class", "__nth", "__task"))])
-    classed = df.select(*(f"`{f.name}`" for f in kept), F.floor(F.lit(capacity) / F.col(f"`{length}`")).cast("long").alias("__class"))
+    """``df`` (a row per piece, lengths from 1 to the capacity) with sequence_id and offset; pieces that aren't numbered yet are numbered here."""
+    kept = [f for f in df.schema.fields if f.name.lower() not in (*OWN, *NUMBERED)]
+    if set(NUMBERED) <= set(df.columns):
+        made = df.select(*(f"`{f.name}`" for f in kept), *NUMBERED)
+    else:
+        own = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in NUMBERED)])
+        classed = df.select(*(f"`{f.name}`" for f in kept), F.floor(F.lit(capacity) / F.col(f"`{length}`")).cast("long").alias("__class"))
+        made = classed.mapInPandas(_number, own)
     with scratch.small_batches(df.sparkSession):
-        numbered = scratch.cut(classed.mapInPandas(_number, own), "packing")
+        numbered = scratch.cut(made, "packing")
     counts = numbered.groupBy("__task", "__class").agg((F.max("__nth") + 1).alias("__n"))
     totals = {r[0]: r[1] for r in counts.groupBy("__class").agg(F.sum("__n")).collect()}  # as many rows as classes
     full, left = plan(totals, capacity)
