@@ -12,11 +12,14 @@
    and with its neighbour in the order of the bucket's signatures. A bucket of any size is dealt in bounded parts for that.
 4. Pairs are verified on their texts by exact weighted Jaccard similarity of THRESHOLD or more; links become components.
 5. Buckets whose members are still in several components are gone through again with other leaders and another order, until
-   a round finds no further link.
+   a round finds no further link or ROUNDS are over.
+6. Buckets that are still mixed then are compared whole: the members outside a bucket's largest component with all of its members, in blocks
+   of two cells of at most about CELL texts. A block's similarities are products of matrices; only links leave it. So every two texts
+   of a bucket end in one component or have been compared.
 
 Result: one row per document with the least doc_id of its class. Recall: a pair at the threshold shares a bucket with probability
-1 - (1 - 0.8**4)**16 = 0.9998; two texts of a bucket that are similar to each other, but to none of those they were paired with, and
-are not linked through others in any round would be missed.
+1 - (1 - 0.8**4)**16 = 0.9998. Step 6 takes time and sends texts in the order of the square of a family's size, divided by CELL for what it
+sends, if its texts share buckets without being copies.
 
 Defined cases: a null text is a class of its own; equal texts, empty ones too, are one class; texts without words match equal texts only;
 a null doc_id never names a class unless all of its ids are null; repeated rows are separate rows of one class; an empty table gives an empty result;
@@ -50,6 +53,10 @@ PART = 50_000
 #: Bits of the filter that keeps most texts without candidates out of a shuffle; fixed, so that beyond some 10 million candidates it only stops helping.
 FILTER_BITS = 1 << 23
 ROUNDS = 6
+#: Texts and bytes of a cell of a bucket that is compared whole; a task holds two.
+CELL, CELL_BYTES = 2048, 4 << 20
+#: Shingles of more holders in a block are multiplied as dense columns.
+RARE = 16
 TABLE_BITS = 16
 
 
@@ -175,7 +182,10 @@ def similarity(a: str, b: str, heavy: np.ndarray, weight: np.ndarray) -> float:
     (ha, ca), (hb, cb) = shingles(a), shingles(b)
     if not len(ha) or not len(hb):
         return float(a == b)
-    wa, wb = weigh(ha, ca, heavy, weight), weigh(hb, cb, heavy, weight)
+    return jaccard(ha, weigh(ha, ca, heavy, weight), hb, weigh(hb, cb, heavy, weight))
+
+
+def jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
     at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
     both = hb[at] == ha
     low = np.minimum(wa[both], wb[at[both]]).sum()
@@ -240,6 +250,122 @@ def _proposed(members: DataFrame, round_: int) -> DataFrame:
     return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
 
 
+def _common(left: np.ndarray, right: np.ndarray, doc: np.ndarray, feature: np.ndarray, x: np.ndarray, holders: np.ndarray) -> np.ndarray:
+    """Weight shared by each of ``left`` with each of ``right``; entries (doc, feature, x), at most one of a feature in a document."""
+    low = np.zeros((len(left), len(right)), "f4")
+    place = np.full((2, max(left.max(), right.max()) + 1), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    sides = []
+    for at in place:
+        mine = np.flatnonzero(at[doc] >= 0)
+        mine = mine[np.argsort(feature[mine], kind="stable")]
+        sides.append((feature[mine], at[doc[mine]], x[mine]))
+    (lf, ld, lx), (rf, rd, _) = sides
+    dense = np.flatnonzero(holders > RARE)
+    column = np.full(len(holders), -1)
+    column[dense] = np.arange(len(dense))
+    for a in range(0, len(dense), 2048):
+        width = min(2048, len(dense) - a)
+        parts = []
+        for f, d, v in ((lf, ld, lx), (rf, rd, np.ones(len(rf)))):
+            c = column[f] - a
+            here = (column[f] >= 0) & (c >= 0) & (c < width)
+            parts.append(np.zeros((len(low) if f is lf else low.shape[1], width), "f4"))
+            parts[-1][d[here], c[here]] = v[here]
+        low += parts[0] @ parts[1].T
+    rare = np.flatnonzero(holders[lf] <= RARE)
+    for a in range(0, len(rare), 100_000):
+        e = rare[a : a + 100_000]
+        start = np.searchsorted(rf, lf[e], "left")
+        m = np.searchsorted(rf, lf[e], "right") - start
+        other = np.repeat(start - np.cumsum(m) + m, m) + np.arange(m.sum())
+        np.add.at(low, (np.repeat(ld[e], m), rd[other]), np.repeat(lx[e], m).astype("f4"))
+    return low
+
+
+def links_within(rows: list[tuple], heavy: np.ndarray, weight: np.ndarray) -> list[tuple]:
+    """Links that join the components of a block, a spanning forest of all there are. ``rows``: (key, component, left, right, text); those of the left are compared with those of the right."""
+    own = [shingles(r[4]) for r in rows]
+    names: dict = {}
+    label = np.array([names.setdefault(r[1], len(names)) for r in rows])
+    left, right = (np.flatnonzero([r[k] for r in rows]) for k in (2, 3))
+    if not len(left) or not len(right) or len(names) < 2:
+        return []
+    # a shingle that occurs c times is c features, so that the least of two weights is what two texts share
+    level = [np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in own]
+    feature = np.concatenate([np.repeat(h, c) + k.astype("u8") * np.uint64(0x9E3779B97F4A7C15) for (h, c), k in zip(own, level, strict=True)])
+    x = np.concatenate([np.repeat(weigh(h, np.ones(len(h)), heavy, weight), c) for h, c in own])
+    doc = np.repeat(np.arange(len(rows)), [c.sum() for _, c in own])
+    total = np.bincount(doc, x, len(rows))
+    _, feature, holders = np.unique(feature, return_inverse=True, return_counts=True)
+    kept = holders[feature] > 1
+    low = _common(left, right, doc[kept], feature[kept], x[kept], holders)
+    # what is single precision here is decided by the exact similarity below
+    near = low >= (THRESHOLD - 1e-3) * (total[left][:, None] + total[right][None, :] - low)
+    near &= label[left][:, None] != label[right][None, :]
+    out = []
+    for i in np.flatnonzero(near.any(1)):
+        a = left[i]
+        for b in right[near[i]]:
+            if label[a] != label[b]:
+                (ha, ca), (hb, cb) = own[a], own[b]
+                if jaccard(ha, weigh(ha, ca, heavy, weight), hb, weigh(hb, cb, heavy, weight)) >= THRESHOLD:
+                    out.append(tuple(sorted((rows[a][0], rows[b][0]))))
+                    label[label == label[b]] = label[a]
+    return out
+
+
+def _placed(members: DataFrame, found_nodes: DataFrame | None) -> DataFrame:
+    """``members`` with their component c."""
+    if found_nodes is None:
+        return members.withColumn("c", F.col("key"))
+    return members.join(found_nodes, members.key == found_nodes.node, "left").withColumn("c", F.coalesce("component", "key")).drop("node", "component")
+
+
+def _compared(members: DataFrame, found_nodes: DataFrame | None, texts: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """Links (a, b) between components from comparing mixed buckets whole; buckets of the same members are compared once."""
+    placed = _placed(members.select("value", "key"), found_nodes)
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"h{i}") for i in (1, 2)]
+    per = placed.groupBy("value", "c").agg(F.count("*").alias("n"), *same)
+    buckets = per.groupBy("value").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), *(F.bit_xor(f"h{i}").alias(f"h{i}") for i in (1, 2)), F.max(F.struct("n", "c")).getField("c").alias("largest"))
+    buckets = buckets.where("parts > 1 AND n > 2").dropDuplicates(["n", "h1", "h2"]).select("value", "largest")  # two members met in round 0
+    rows = placed.join(buckets, "value").join(texts.select("key", F.octet_length("text").alias("bytes")), "key")
+    rows = scratch.cut(rows.select("value", "key", "c", "bytes", (F.col("c") == F.col("largest")).alias("main")), "mixed-members")
+
+    def cells(which: Column) -> Column:
+        return F.greatest(F.ceil(F.count_if(which) / CELL), F.ceil(F.coalesce(F.sum(F.when(which, F.col("bytes"))), F.lit(0)) / CELL_BYTES)).cast("int")
+
+    cut = rows.groupBy("value").agg(cells(F.lit(True)).alias("all"), cells(~F.col("main")).alias("rest"), cells(F.col("main")).alias("most"))
+    dealt = rows.join(cut, "value").withColumn("one", F.col("all") <= 1).withColumn("part", F.xxhash64(F.lit(99), "key"))
+    dealt = dealt.withColumn("cell", F.when(F.col("one"), F.lit(0)).when(F.col("main"), F.col("rest") + F.pmod("part", "most")).otherwise(F.pmod("part", "rest")).cast("int"))
+    last = F.when(F.col("one"), F.lit(0)).when(F.col("main"), F.col("rest") - 1).otherwise(F.col("rest") + F.col("most") - 1)
+    whole = dealt.withColumn("last", last).join(texts.select("key", "text"), "key")
+    whole = whole.select("value", "key", "c", "cell", F.explode(F.sequence(F.lit(0), "last")).alias("other"), "text")
+    whole = whole.select("value", F.least("cell", "other").alias("lo"), F.greatest("cell", "other").alias("hi"), "key", "c", (F.col("cell") <= F.col("other")).alias("l"), (F.col("cell") >= F.col("other")).alias("r"), "text")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def linked() -> pa.RecordBatch:
+            found = links_within(held, heavy, weight)
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for value, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (value, lo, hi) != at:
+                    if held:
+                        yield linked()
+                    at, held = (value, lo, hi), []
+                held.append(row)
+        if held:
+            yield linked()
+
+    with scratch.small_batches(members.sparkSession, 100):
+        found = scratch.cut(whole.repartition("value", "lo", "hi").sortWithinPartitions("value", "lo", "hi").mapInArrow(work, "a binary, b binary"), "links-within")
+    scratch.drop(rows)
+    return found
+
+
 def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, class_id, kept): the least doc_id of the document's class, and whether the document is the one that stays."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -282,10 +408,16 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> Data
         before, found_nodes = found_nodes, scratch.cut(components(found), "components")
         if before is not None:
             scratch.drop(before)
-        placed = members.join(found_nodes, members.key == found_nodes.node, "left").withColumn("c", F.coalesce("component", "key"))
-        mixed = placed.groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("value")
+        mixed = _placed(members, found_nodes).groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("value")
         open_ = scratch.cut(members.join(mixed, "value", "left_semi"), "open-members")
         scratch.release(docs.sparkSession)
+    rest = _compared(members, found_nodes, texts, heavy, weight)
+    if not rest.isEmpty():
+        found = rest if found is None else found.unionAll(rest)
+        before, found_nodes = found_nodes, scratch.cut(components(found), "components")
+        if before is not None:
+            scratch.drop(before)
+    scratch.release(docs.sparkSession)
     if found is None:
         named = nodes.select("key", F.col("key").alias("component"), "least")
     else:

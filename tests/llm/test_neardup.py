@@ -64,6 +64,38 @@ def test_groups_of_copies_against_all_pairs(spark):
     assert sum(r.kept for r in rows) == len(set(got.values()))
 
 
+def test_pairs_in_a_template_family(spark, monkeypatch):
+    """Every document shares a passage (similarity 0.65 with all), and each has one partner at 0.81."""
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(204))
+    docs = []
+    for i in range(1500):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(40)]
+        twin = own[:]
+        for k in (5, 14, 23, 32):
+            twin[k] = f"e{rng.randrange(10**9)}"
+        docs += [(2 * i, passage + " " + " ".join(own)), (2 * i + 1, passage + " " + " ".join(twin))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    weights = neardup.frequencies(df)
+    assert 0.8 < neardup.similarity(docs[0][1], docs[1][1], *weights) < 0.84 and 0.6 < neardup.similarity(docs[0][1], docs[2][1], *weights) < 0.7
+    monkeypatch.setattr(neardup, "CELL", 600, raising=False)  # several cells a bucket
+    got = {r.doc_id: r.class_id for r in neardup.classes(df).collect()}
+    assert all(c // 2 == d // 2 for d, c in got.items())
+    assert sum(got[d] == d - 1 for d in range(1, 3000, 2)) >= 0.995 * 1500
+
+
+def test_links_of_a_block_against_all_pairs():
+    rng = random.Random(3)
+    texts = [t for n, words, edits in ((40, 80, 6), (60, 150, 12), (20, 8, 2)) for t in variants(rng, n, words, edits)] + ["x y z " * k for k in range(1, 20)]
+    want = brute(list(enumerate(texts)))
+    for cut in (0, 70):
+        blocks = [[(i, i, True, True, t) for i, t in enumerate(texts)]] if not cut else [[(i, i, i < cut, i >= cut, t) for i, t in enumerate(texts)], *([(i, i, True, True, t) for i, t in enumerate(texts) if (i < cut) == low] for low in (True, False))]
+        root = list(range(len(texts)))
+        for a, b in (x for rows in blocks for x in neardup.links_within(rows, *NONE)):
+            root = [min(root[a], root[b]) if r in (root[a], root[b]) else r for r in root]
+        assert dict(enumerate(root)) == want
+
+
 def test_null_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, None), (2, None), (None, "x y"), (3, "x y"), (3, "x y"), (4, "")], "doc_id long, text string")
     rows = sorted((str(r.doc_id), str(r.class_id), r.kept) for r in neardup.classes(df).collect())
