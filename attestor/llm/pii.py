@@ -3,9 +3,10 @@
 1. Base spans (fixed by the contract) are found in whole texts: leftmost, non-overlapping, without a second try for one
    that fails its check. They are always reported.
 2. Wider patterns propose further candidates: addresses whose "@" and "." are spelled out, numbers of telephone length without a leading
-   plus, card-like groups next to words of payment. Labelers vote for, against or abstain on every candidate, base or not: a *regex* labeler
+   plus, and within ``CONTEXT`` code points of a word of payment every group of 4-4-4-4, 4-6-5, 4-6-4 or 13 to 19 unbroken digits that passes Luhn's check,
+   also inside a longer run of digits or with dots or slashes (they may overlap one another). Labelers vote for, against or abstain on every candidate, base or not: a *regex* labeler
    per shape, a *gazetteer* labeler (known mail domains, top-level domains, reserved address ranges, card issuers'
-   prefixes, country codes) and a *context* labeler (telling words within ``CONTEXT`` code points before the span).
+   prefixes, country codes) and a *context* labeler (telling words within ``CONTEXT`` code points before the span, for cards after it too).
 3. The votes are aggregated to a table of vote patterns per kind (3 ** labelers rows at most), and expectation-maximisation on the driver estimates
    each labeler's reliability and each pattern's probability of being personal data.
 4. A logistic regression on votes and shape features, trained on at most ``TRAINING`` candidates with those
@@ -49,6 +50,7 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _WIDE = {
+    2: re.compile(r"(?<![0-9])(?=((?:(?:[0-9]{4}[ ./-]){3}[0-9]{4}|[0-9]{4}[ ./-][0-9]{6}[ ./-][0-9]{4,5}|[0-9]{13,19})(?![0-9])))"),
     0: re.compile(r"[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+)+"),
     3: re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ .-])[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}(?![0-9])"),
 }
@@ -101,7 +103,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _vote(kind: int, span: str, before: str, base: bool) -> tuple[list[int], list[float]]:
+def _vote(kind: int, span: str, before: str, after: str, shaped: bool) -> tuple[list[int], list[float]]:
     """Votes of the regex, gazetteer and context labelers (1 for, -1 against, 0 abstains), and the span's shape."""
     digits = _digits(span)
     if kind == 0:
@@ -114,9 +116,13 @@ def _vote(kind: int, span: str, before: str, base: bool) -> tuple[list[int], lis
         gazetteer = 1 if _ISSUERS.match(digits) else -1
     else:
         gazetteer = 1 if span[0] in "+(" and _COUNTRIES.match(digits) else 0
-    context = 1 if _WORDS[kind].search(before) else -1 if _AGAINST.search(before) else 0
+    context = 1 if _WORDS[kind].search(before) or kind == 2 and _WORDS[2].search(after) else -1 if _AGAINST.search(before) else 0
     shape = [len(span) / 32, len(digits) / 16, span.count(" ") / 4, float(span[:1].isdigit())]
-    return [1 if base else -1, gazetteer, context], shape
+    return [1 if shaped else -1, gazetteer, context], shape
+
+
+def _around(text: str, start: int, stop: int) -> tuple[str, str]:
+    return text[max(0, start - CONTEXT) : start], text[stop : stop + CONTEXT]
 
 
 def candidates(text: str) -> list[tuple]:
@@ -127,11 +133,15 @@ def candidates(text: str) -> list[tuple]:
             continue
         own = [(a, b) for a, k, b in base if k == kind or kind == 3]
         for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in own):
-                found.append((m.start(), kind, m.end(), False))
+            start, stop = m.span(pattern.groups)
+            if any(a < stop and start < b for a, b in own):
+                continue
+            if kind == 2 and not (luhn(_digits(text[start:stop])) and any(_WORDS[2].search(x) for x in _around(text, start, stop))):
+                continue
+            found.append((start, kind, stop, False))
     out = []
     for start, kind, stop, is_base in sorted(found):
-        votes, shape = _vote(kind, text[start:stop], text[max(0, start - CONTEXT) : start], is_base)
+        votes, shape = _vote(kind, text[start:stop], *_around(text, start, stop), is_base or kind == 2)  # cards of either kind have passed Luhn's check
         out.append((kind, start, stop, is_base, votes, shape))
     return out
 

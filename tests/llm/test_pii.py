@@ -84,3 +84,17 @@ def test_em_recovers_reliabilities():
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "write joe@x.de or +49 30 1234567.", "en")], "doc_id long, text string, lang string")
     assert pii.redact(df).first().text == "write <EMAIL> or <PHONE>."
+
+
+def test_cards_that_the_base_pattern_drops_are_added_and_redacted(spark):
+    cards = [
+        ("card 2024 4111 1111 1111 1111.", "card 2024 <CARD>."), ("card 12 4111 1111 1111 1111", "card 12 <CARD>"), ("visa 4111.1111.1111.1111!", "visa <CARD>!"),
+        ("Karte 4111/1111/1111/1111", "Karte <CARD>"), ("payment 7 3782 822463 10005", "payment 7 <CARD>"), ("charge 12 4111111111111111 to my credit line", "charge 12 <CARD> to my credit line"),
+    ]
+    left = ["card 2024 4111 1111 1111 1112", "measured 2024 4111 1111 1111 1111 times"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*(c for c, _ in cards), *left])], "doc_id long, text string")
+    assert not any(pii.base_spans(t) for t, _ in cards)
+    assert [r.text for r in pii.redact(df).orderBy("doc_id").collect()] == [*(w for _, w in cards), *left]
+    rows = pii.detect(df).orderBy("doc_id").collect()
+    assert rows[0].spans == "card:10:29" and rows[0].n_card == 0 and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert all(r.spans.count("card:") == 1 for r in rows[: len(cards)]) and not any(r.spans for r in rows[len(cards) :])
