@@ -1,7 +1,8 @@
 """Quality rules: fixed base rules and robust multivariate outliers, in DataFrame functions only.
 
 Statistics are computed for whole texts. Documents that pass the base rules become vectors of transformed statistics. For
-each stratum (language and source; where those have too few documents the language, else all that are left) the
+each stratum (language and source; where those have too few documents the language, else all that are left, which
+are judged by an estimate from all documents if they are fewer than ``LEAST``) the
 minimum-covariance-determinant estimate is found by concentration steps: take the share ``H`` of documents with the smallest
 Mahalanobis distance, estimate mean and covariance from them, repeat. Two deterministic starts (medians with absolute deviations,
 and the plain mean and covariance) run side by side; the smaller determinant wins. A document is rejected if its distance
@@ -14,7 +15,7 @@ Cutoff: the chi-square quantile at ``1 - TAIL``. Statistics of clean text have h
 least standard deviations in ``FLOOR`` keep a statistic that hardly varies from rejecting small deviations.
 
 Defined cases: null text has no words and fails the base rules; a null language or source is a value of its own; repeated rows
-count and are kept row by row; strata of fewer than ``LEAST`` documents that can't be pooled further reject nothing; an empty table gives an empty
+count and are kept row by row; of fewer than ``FEWEST`` documents in all, too few for a covariance of ``P`` statistics, none is an outlier; an empty table gives an empty
 result; input columns named like an output column are replaced.
 """
 
@@ -29,6 +30,7 @@ from attestor.llm.tables import WORD
 
 SYMBOLS = "[#*$%&|<>]"
 LEAST = 200
+FEWEST = 20
 H = 0.75
 STEPS = 4
 TAIL = 1e-9
@@ -115,12 +117,12 @@ CONSISTENT = H / chi2_cdf(chi2_quantile(H, P), P + 2)
 
 
 def strata(rows: DataFrame) -> DataFrame:
-    """``rows`` (lang, source) with the stratum each is judged in: 0 by language and source, 1 by language, 2 all that are left."""
+    """The languages and sources of ``rows`` with their numbers n and the stratum each is judged in: 0 by language and source, 1 by language, 2 all that are left."""
     pairs = rows.groupBy("lang", "source").agg(F.count("*").alias("n")).withColumn("fine", F.col("n") >= LEAST)
     langs = pairs.where(~F.col("fine")).groupBy("lang").agg((F.sum("n") >= LEAST).alias("coarse"))
     p, q = pairs.alias("p"), langs.alias("q")
     named = p.join(q, F.col("p.lang").eqNullSafe(F.col("q.lang")), "left").select(
-        F.col("p.lang").alias("lang"), F.col("p.source").alias("source"),
+        F.col("p.lang").alias("lang"), F.col("p.source").alias("source"), F.col("p.n").alias("n"),
         F.when(F.col("fine"), F.xxhash64(F.lit(0), "p.lang", F.coalesce("p.source", F.lit("")), F.col("p.source").isNull()))
         .when(F.col("coarse"), F.xxhash64(F.lit(1), "p.lang")).otherwise(F.lit(2)).alias("stratum"),
     )
@@ -191,7 +193,7 @@ def judge(df: DataFrame, *, text: str = "text", keep_text: bool = True, tail: fl
 
 
 def verdicts(stats: DataFrame, *, tail: float = TAIL) -> DataFrame:
-    """Rows with STATS and base_failed, with distance (null where the base failed or the stratum is too small) and kept."""
+    """Rows with STATS and base_failed, with distance (null where the base failed or there are fewer than FEWEST documents) and kept."""
     keys = [F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")]
     passed = stats.where(~F.col("base_failed")).select(*keys, *(c.alias(f"x{i}") for i, c in enumerate(vector())))
     vectors = scratch.cut(passed, "mcd-vectors")
@@ -199,8 +201,12 @@ def verdicts(stats: DataFrame, *, tail: float = TAIL) -> DataFrame:
     v, s = vectors.alias("v"), named.alias("s")
     same = F.col("v.lang").eqNullSafe(F.col("s.lang")) & F.col("v.source").eqNullSafe(F.col("s.source"))
     rows = scratch.cut(v.join(s, same).select("s.stratum", *(f"v.x{i}" for i in range(P))), "mcd-rows")
-    est = estimates(rows).where(F.col("n") >= H * LEAST / 2)
-    fitted = scratch.cut(named.join(est, "stratum"), "mcd-fitted").drop("stratum")
+    left, total = named.agg(F.sum(F.when(F.col("stratum") == 2, F.col("n"))), F.sum("n")).first()
+    judging = rows
+    if left and left < LEAST:  # too few for an estimate of their own
+        judging = rows.where("stratum <> 2").unionByName(rows.withColumn("stratum", F.lit(2).cast("long")))
+    est = estimates(judging).where(F.lit((total or 0) >= FEWEST))
+    fitted = scratch.cut(named.drop("n").join(est, "stratum"), "mcd-fitted").drop("stratum")
     scratch.drop(rows, vectors)
     limit = chi2_quantile(1 - tail, P)
     a, b = stats.alias("a"), fitted.alias("b")

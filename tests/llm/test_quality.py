@@ -96,3 +96,13 @@ def test_labelled_documents(spark):
     bad = [r.kept for r in rows if labels.get(r.doc_id) == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.2
     assert all(tuple(r[c] for c in quality.STATS) == brute(texts[r.doc_id]) for r in rows)
+
+
+def test_outliers_of_small_strata_are_judged_by_all_documents(spark):
+    rng = np.random.default_rng(4)
+    clean = [" ".join("".join(rng.choice(list("abcdefgh"), rng.integers(3, 9))) for _ in range(rng.integers(60, 200))) for _ in range(60)]
+    soup = " ".join(f"#$%{i}&|<>*" for i in range(80))
+    rows = [(i, t, "en", "web") for i, t in enumerate(clean)] + [(100, soup, "en", "web"), (101, soup + " end", "xx", None)]
+    for more in ([], [(200 + i, t + " more", "de", "web") for i, t in enumerate(clean * 4)]):
+        df = spark.createDataFrame(rows + more, "doc_id long, text string, lang string, source string")
+        assert {r.doc_id for r in quality.judge(df).collect() if not r.kept} == {100, 101}
