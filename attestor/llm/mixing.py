@@ -1,21 +1,25 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Each source's documents form one stream of words, cut into blocks of a fixed number of words. The mix is a sequence of slots, a
-fixed number of them to an output shard. A source gets as many slots as its target has blocks. Slots are
-dealt by a pseudorandom permutation of all slots, so the counts of the sources in a shard are multinomial draws under the one condition
-that the totals meet the targets (unconditioned draws would miss them by the square root of the slots). The j-th slot of a source
-takes the block to which a permutation of that source's block indices maps j, turn after turn, so no block is taken twice before all
-have been taken once, and none more often than targets allow; slots and documents meet in a join by block index.
-
-Permutations are swap-or-not networks: bijections of [0, n) for any n, computed per index, so neither a sort nor a
-driver-side table is needed. A document's place in its stream is a prefix sum in two steps (cells of a source, then documents of
-a cell), so a hot source is dealt over many tasks.
+1. Each source's documents form one stream of words, cut into blocks of a fixed number of words; a source gets as many slots as its
+   target has blocks.
+2. The mix is a sequence of output shards of SHARD_SLOTS slots. Every slot draws its source with the sources' target shares as probabilities, so
+   the counts of the sources in a shard are multinomial; a prefix sum of the counts over shards numbers a source's slots.
+3. Draws miss the targets by the square root of the slots. What a source drew beyond its slots, spread evenly over its draws, goes to the
+   sources that drew too few, so totals are met exactly and a shard's counts stay multinomial but for that share.
+4. The j-th slot of a source takes the block to which a permutation of that source's block indices maps j, turn after turn, so no block is
+   taken twice before all have been taken once, and none more often than targets allow; slots and documents meet in a join by block index.
+
+Permutations are swap-or-not networks: bijections of [0, n) for any n, computed per index (an interpreted fold, not generated code), so neither a
+sort nor a driver-side table is needed. A document's place in its stream is a prefix sum in two steps (cells of a source, then documents of
+a cell; the number of cells follows the number of documents), so a hot source is dealt over many tasks. Sources are a list of at most
+MAX_SOURCES, checked: what is broadcast is a row per source and GUIDE further ones.
 
 Targets: sources in code-point order, null last, weigh 5, 2, 1 in turn and share all words; a target stops at ``limit``
 times the source's words and the excess is shared among the others by weight, until none is above.
 
 Defined cases: null text has no words; documents without words are taken zero times; a null source is a source of its own; repeated
-rows are separate documents; an empty table gives an empty result; input columns named like an output column are replaced.
+rows are separate documents; ties of id and size are told apart by their text where texts are mixed, else they are interchangeable; a text of any
+length is cut into blocks; an empty table gives an empty result; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -29,9 +33,14 @@ WEIGHTS = (5, 2, 1)
 LIMIT = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
-CELLS = 512
+DOCS_PER_CELL = 8192
+MAX_SOURCES = 65_536
+GUIDE = 4096
+#: Shards of a group whose counts are summed up before those of the next.
+GROUP = 1024
 ROUNDS = 24
-OWN = ("size", "source_size", "target", "taken")
+OWN = ("size", "source_size", "target", "taken", "pieces", "first_shard")
+PLACE = ("turn", "shard", "slot")
 
 
 def n_words(text: Column) -> Column:
@@ -67,17 +76,18 @@ def targets(sizes: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, limit: int
     return rows.withColumn("target", target).select("source", "source_size", F.col("rank").cast("int").alias("rank"), "target")
 
 
-def placed(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", cells: int = CELLS) -> DataFrame:
-    """``docs`` with ``size``, ``__cell`` and, among the documents of its source and cell, ``__before``: the words before its own."""
-    kept = [c for c in docs.columns if c.lower() not in OWN]
-    rows = docs.select(*(F.col(f"`{c}`") for c in kept), n_words(F.col(f"`{text}`")).alias("size") if text in docs.columns else F.col("size"))
-    return rows.withColumn("__cell", F.pmod(F.xxhash64(F.lit(11), F.col(f"`{key}`"), F.col("size")), F.lit(cells)).cast("int"))
+def celled(sized: DataFrame, *, key: str = "doc_id", docs_per_cell: int = DOCS_PER_CELL) -> DataFrame:
+    """A written table of documents (key, size, ...) with ``__cell``, the part of its source's stream that a document belongs to."""
+    cells = sized.count() // docs_per_cell + 1
+    return sized.withColumn("__cell", F.pmod(F.xxhash64(F.lit(11), F.col(f"`{key}`"), F.col("size")), F.lit(cells)))
 
 
 def plan(rows: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, limit: int = LIMIT, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """Of rows (source, __cell, size): the sources' targets, blocks and slots, and where each cell begins in its source's stream."""
     cells = scratch.cut(rows.groupBy("source", "__cell").agg(F.sum("size").alias("__words")), "mix-cells")
-    sizes = cells.groupBy("source").agg(F.sum("__words").cast("long").alias("source_size"))
+    sizes = scratch.cut(cells.groupBy("source").agg(F.sum("__words").cast("long").alias("source_size")), "mix-sizes")
+    if (found := sizes.count()) > MAX_SOURCES:
+        raise ValueError(f"{found} sources, more than {MAX_SOURCES}")
     goal = targets(sizes, weights=weights, limit=limit).withColumn("blocks", F.ceil(F.col("source_size") / block_words))
     # blocks of a source hold source_size / blocks words each on average; the last may be short
     goal = goal.withColumn("slots", F.when(F.col("blocks") > 0, F.least(F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long"), limit * F.col("blocks"))).otherwise(0))
@@ -85,22 +95,51 @@ def plan(rows: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, limit: int = LI
     goal = scratch.cut(goal, "mix-targets")
     begin = F.coalesce(F.sum("__words").over(Window.partitionBy("source").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = cells.withColumn("__begin", begin).join(goal, cells.source.eqNullSafe(goal.source)).select(goal.source, "rank", "source_size", "target", "__cell", "__begin")
-    return goal, scratch.cut(starts, "mix-starts")
+    starts = scratch.cut(starts, "mix-starts")
+    scratch.drop(cells, sizes)
+    return goal, starts
+
 
+def drawn(goal: DataFrame, *, shard_slots: int = SHARD_SLOTS, seed: int = 1) -> DataFrame:
+    """The draw: per shard and source (shard, rank) the slots that drew the source. ``goal``: a row per source, written.
 
-def slots(goal: DataFrame, *, shard_slots: int = SHARD_SLOTS, seed: int = 1, chunk: int = 16_384) -> DataFrame:
-    """All slots: shard, slot in it, the source's rank, the turn and the block taken. ``goal`` is small; its total sets the number of tasks."""
-    total = goal.agg(F.max("all_slots")).first()[0] or 0
-    chunks = goal.where("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0), ((F.col("slots") - 1) / chunk).cast("long"))))
-    chunks = chunks.repartition(max(1, min(20_000, total // (4 * chunk) + 1)), "rank", "chunk")  # a stated number isn't coalesced
-    first = F.col("chunk") * chunk
-    rows = chunks.withColumn("j", F.explode(F.sequence(first, F.least(first + chunk, F.col("slots")) - 1)))
-    at = permute(F.col("first_slot") + F.col("j"), F.col("all_slots"), F.lit(2 * seed))
-    rows = rows.withColumn("at", at)
-    return rows.select(
-        F.expr(f"at div {shard_slots}").alias("shard"), (F.col("at") % shard_slots).alias("slot"), "rank",
-        F.expr("j div blocks").alias("turn"), permute(F.col("j") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(2 * seed + 1), F.col("rank"))).alias("block"),
-    )
+    A slot's draw is a number below the number of all slots, whose source is looked up by the cell of a guide that it falls into.
+    """
+    spark, total = goal.sparkSession, goal.agg(F.max("all_slots")).first()[0] or 0
+    shards, width = -(-total // shard_slots), max(1, -(-total // GUIDE))
+    last = F.expr("first_slot + slots - 1")
+    guide = goal.where("slots > 0").select("rank", "first_slot", last.alias("last_slot"), F.explode(F.sequence(F.expr(f"first_slot div {width}"), F.expr(f"(first_slot + slots - 1) div {width}"))).alias("guide"))
+    # a shard's slots come from one row in one task, so what follows needs no further exchange
+    rows = spark.range(shards).withColumnRenamed("id", "shard").repartition(max(1, min(20_000, -(-shards // 16))), "shard")
+    rows = rows.select("shard", F.explode(F.sequence(F.lit(0), F.least(F.lit(shard_slots), total - F.col("shard") * shard_slots).cast("int") - 1)).alias("slot"))
+    rows = rows.withColumn("v", F.pmod(F.xxhash64(F.lit(2 * seed), "shard", "slot"), F.lit(max(1, total)))).withColumn("guide", F.expr(f"v div {width}"))
+    rows = rows.join(F.broadcast(guide), "guide").where(F.col("v").between(F.col("first_slot"), F.col("last_slot")))
+    return rows.groupBy("shard", "rank").agg(F.sort_array(F.collect_list("slot")).alias("held"))
+
+
+def slots(goal: DataFrame, *, shard_slots: int = SHARD_SLOTS, seed: int = 1) -> DataFrame:
+    """All slots: shard, slot in it, the source's rank, the turn and the block taken."""
+    draws = scratch.cut(drawn(goal, shard_slots=shard_slots, seed=seed).withColumn("group", F.expr(f"shard div {GROUP}")), "mix-draws")
+    groups = scratch.cut(draws.groupBy("rank", "group").agg(F.sum(F.size("held")).alias("n")), "mix-groups")
+    upto = Window.partitionBy("rank").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups_from = groups.select("rank", "group", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("begin"))
+    # a row per source: drawn slots, how many of them are too many (or too few), and the number of the first of those among all
+    level = goal.join(groups.groupBy("rank").agg(F.sum("n").alias("n")), "rank", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("over", F.col("n") - F.col("slots"))
+    first = lambda x: F.sum(x).over(Window.orderBy("rank")) - x
+    level = level.withColumn("from_over", first(F.greatest("over", F.lit(0)))).withColumn("from_under", first(F.greatest(-F.col("over"), F.lit(0))))
+    level = scratch.cut(level.select("rank", "blocks", "n", "over", "from_over", "from_under"), "mix-level")
+    under = level.where("over < 0").withColumn("i", F.explode(F.sequence(F.lit(0), -F.col("over") - 1)))
+    under = scratch.cut(under.select((F.col("from_under") + F.col("i")).alias("e"), "rank", "blocks", (F.col("n") + F.col("i")).alias("j")), "mix-under")  # of the order of the root of all slots
+    within = F.coalesce(F.sum(F.size("held")).over(Window.partitionBy("rank", "group").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = draws.withColumn("within", within).join(groups_from, ["rank", "group"]).select("shard", "rank", (F.col("begin") + F.col("within")).alias("begin"), "held")
+    numbered = scratch.cut(numbered, "mix-numbered")
+    rows = numbered.join(F.broadcast(level), "rank").select("*", F.posexplode("held").alias("pos", "slot")).withColumn("j", F.col("begin") + F.col("pos"))
+    before = F.when(F.col("over") > 0, F.expr("j * over div n")).otherwise(F.lit(0))
+    rows = rows.withColumn("before", before).withColumn("extra", (F.col("over") > 0) & (F.expr("(j + 1) * over div n") > F.col("before")))
+    own = rows.where(~F.col("extra")).select("shard", "slot", "rank", "blocks", (F.col("j") - F.col("before")).alias("j"))
+    given = rows.where("extra").select("shard", "slot", (F.col("from_over") + F.col("before")).alias("e")).join(under, "e").select("shard", "slot", "rank", "blocks", "j")
+    block = permute(F.col("j") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(2 * seed + 1), F.col("rank")))
+    return own.unionByName(given).select("shard", "slot", "rank", F.expr("j div blocks").alias("turn"), block.alias("block"))
 
 
 def stream(docs: DataFrame, starts: DataFrame, *, key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
@@ -122,40 +161,48 @@ def blocks_of(rows: DataFrame, block_words: int) -> DataFrame:
     return rows.withColumn("skip", low - start).withColumn("words", F.least(end, (F.col("block") + 1) * block_words) - low)
 
 
-def mix(docs: DataFrame, *, key: str = "doc_id", block_words: int = BLOCK_WORDS, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
-    """Documents (key, source, size or text) with size, source_size, target and taken; the text isn't carried along."""
-    rows = placed(docs.select(*(F.col(f"`{c}`") for c in dict.fromkeys((key, "source", "text" if "text" in docs.columns else "size")))), key=key)
-    rows = rows.select(key, "source", "size", "__cell")
+def mix(docs: DataFrame, *, key: str = "doc_id", block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
+    """Documents (key, source, size or text) with OWN: pieces counts the slots that hold words of the document, first_shard is the least shard with one."""
+    size = n_words(F.col("text")) if "text" in docs.columns else F.col("size")
+    sized = scratch.cut(docs.select(F.col(f"`{key}`"), "source", size.cast("long").alias("size")), "mix-sized")
+    rows = celled(sized, key=key)
     goal, starts = plan(rows, weights=weights, limit=limit, block_words=block_words)
     at = scratch.cut(stream(rows, starts, key=key), "mix-stream")
+    takes = slots(goal, shard_slots=shard_slots, seed=seed).groupBy("rank", "block").agg(F.count("*").alias("count"), F.min("shard").alias("shard"))
     # written, as an estimate of its size from the few rows of goal would be far too low
-    takes = scratch.cut(slots(goal, seed=seed).groupBy("rank", "block").count(), "mix-takes")
-    parts = blocks_of(at.select("rank", "__start", "size"), block_words).join(takes, ["rank", "block"])
-    taken = parts.groupBy("rank", "__start").agg(F.sum(F.col("words") * F.col("count")).alias("taken"))
+    parts = blocks_of(at.select("rank", "__start", "size"), block_words).join(scratch.cut(takes, "mix-takes"), ["rank", "block"])
+    taken = parts.groupBy("rank", "__start").agg(F.sum(F.col("words") * F.col("count")).alias("taken"), F.sum("count").alias("pieces"), F.min("shard").alias("first_shard"))
     # only documents with words have a start of their own
-    full = at.where("size > 0").join(taken, ["rank", "__start"], "left").unionByName(at.where("size = 0").withColumn("taken", F.lit(None).cast("long")))
-    return full.select(key, "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    none = [F.lit(None).cast("long").alias(c) for c in ("taken", "pieces", "first_shard")]
+    full = at.where("size > 0").join(taken, ["rank", "__start"], "left").unionByName(at.where("size = 0").select("*", *none))
+    return full.select(key, "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("pieces", F.lit(0)).cast("long").alias("pieces"), "first_shard")
 
 
-def realize(docs: DataFrame, *, text: str = "text", block_words: int = BLOCK_WORDS, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
+def realize(docs: DataFrame, *, text: str = "text", per_slot: bool = False, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, limit: int = LIMIT, weights: tuple[int, ...] = WEIGHTS, seed: int = 1) -> DataFrame:
     """The mix itself: a row per document and turn in which words of it are taken, with those words and the white space before each as its text.
 
-    n_chars, if there, follows the text. Blocks are found by a document's place in its source's stream; the texts are joined to what is taken of
-    them once, by a number that is written with them.
+    turn, shard and slot are added, of a row's slots the first; with per_slot there is a row for every slot that holds words of a document, and
+    reading shards in the order of slots gives the mix. n_chars, if there, follows the text. Blocks are found by a document's place in its source's
+    stream; the texts are joined to what is taken of them once, by a number that is written with them.
     """
-    numbered = scratch.cut(placed(docs).withColumn("__id", F.monotonically_increasing_id()), "mix-docs")
-    rows = numbered.select("__id", "source", "size", "__cell")
+    names = [c for c in docs.columns if c.lower() not in (*OWN, *PLACE)]
+    whole = F.col(f"`{text}`").cast("string")
+    numbered = docs.select(*(F.col(f"`{c}`") for c in names), n_words(whole).alias("size"), F.xxhash64(whole).alias("__digest"), F.monotonically_increasing_id().alias("__id"))
+    numbered = scratch.cut(numbered, "mix-docs")
+    rows = celled(numbered.select("__id", "doc_id", "__digest", "source", "size"))
     goal, starts = plan(rows, weights=weights, limit=limit, block_words=block_words)
-    at = scratch.cut(stream(rows, starts, key="__id").select("__id", "rank", "__start", "size"), "mix-stream")
-    takes = scratch.cut(slots(goal, seed=seed).select("rank", "block", "turn"), "mix-takes")
+    # the number decides among rows of equal id and text only, so the mix doesn't depend on how the table is partitioned
+    at = scratch.cut(stream(rows, starts, ties=("__digest", "__id")).select("__id", "rank", "__start", "size"), "mix-stream")
+    takes = scratch.cut(slots(goal, shard_slots=shard_slots, seed=seed), "mix-takes")
     parts = blocks_of(at, block_words).join(takes, ["rank", "block"])
-    spans = parts.groupBy("__id", "turn").agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("spans"))
-    names = [c for c in docs.columns if c.lower() not in OWN]
+    by = ["__id", "turn", *(("shard", "slot") if per_slot else ())]
+    spans = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("skip", "words"))).alias("__spans"), F.min(F.struct("shard", "slot")).alias("__place"))
+    spans = spans.select("__id", F.col("turn").alias("__turn"), "__spans", "__place")
     joined = numbered.select("__id", *(F.col(f"`{c}`") for c in names)).join(spans, "__id")
     # words are split after the join, as a text is smaller than the array of its words, and bound to a name, as each span would split them again
-    words = F.regexp_extract_all(F.col(f"`{text}`"), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-    taken = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, s["skip"].cast("int") + 1, s["words"].cast("int")))), ""))
+    words = F.regexp_extract_all(whole, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
+    taken = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("__spans", lambda s: F.slice(w, s["skip"].cast("int") + 1, s["words"].cast("int")))), ""))
     out = joined.withColumn(text, F.get(taken, F.lit(0)))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length(F.col(f"`{text}`")).cast("long"))
-    return out.select(*(F.col(f"`{c}`") for c in names))
+    return out.select(*(F.col(f"`{c}`") for c in names), F.col("__turn").alias("turn"), "__place.shard", "__place.slot")
