@@ -2,25 +2,26 @@
 
 1. Base spans (fixed by the contract) are found in whole texts: leftmost, non-overlapping, without a second try for one
    that fails its check. They are always reported.
-2. Wider patterns propose further candidates: addresses whose "@" and "." are spelled out, numbers of telephone length without a leading
-   plus, and within ``CONTEXT`` code points of a word of payment every group of 4-4-4-4, 4-6-5, 4-6-4 or 13 to 19 unbroken digits that passes Luhn's check,
-   also inside a longer run of digits or with dots or slashes (they may overlap one another). Labelers vote for, against or abstain on every candidate, base or not: a *regex* labeler
-   per shape, a *gazetteer* labeler (known mail domains, top-level domains, reserved address ranges, card issuers'
-   prefixes, country codes) and a *context* labeler (telling words within ``CONTEXT`` code points before the span, for cards after it too).
-3. The votes are aggregated to a table of vote patterns per kind (3 ** labelers rows at most), and expectation-maximisation on the driver estimates
+2. Wider patterns propose further candidates of every kind: mail addresses whose "@" and "." are spelled out; addresses of hosts with bracketed or
+   spelled-out dots, and those of version 6; groups of 4-4-4-4, 4-6-5, 4-6-4 or 13 to 19 unbroken digits that pass Luhn's check, also inside a longer run
+   of digits (groups only near a word of payment) or with dots or slashes (they may overlap one another); numbers of telephone length without a leading plus.
+3. Five labelers vote for, against or abstain on every candidate, and none of them knows whether it is a base span: two *regex* labelers (the span's
+   form; what touches it), a *gazetteer* (top-level domains, reserved and version-like addresses, card issuers with their lengths, country codes) and two
+   *context* labelers (telling words within ``CONTEXT`` code points; words that speak against it).
+4. The votes are aggregated to a table of vote patterns per kind (3 ** labelers rows at most), and expectation-maximisation on the driver estimates
    each labeler's reliability and each pattern's probability of being personal data.
-4. A logistic regression on votes and shape features, trained on at most ``TRAINING`` candidates with those
-   probabilities as labels, is the final span classifier. Candidates over ``ACCEPT`` that don't touch a base
-   span of their kind are added.
+5. A logistic regression on votes and shape, each with a weight of its own per kind, trained on at most ``TRAINING`` candidates with those
+   probabilities as labels, is the final span classifier. Candidates over ``ACCEPT`` that don't touch a base span of their kind are added.
 
 A document is one row throughout: candidates travel as an array, so nothing is joined or shuffled but the pattern counts.
 
 Defined cases: null text is empty; repeated rows and null ids are kept row by row; an empty table gives an empty result; texts of any
-length are scanned whole in linear time; input columns named like an output column are replaced.
+length are scanned whole in linear time (times a logarithm); input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import ipaddress
 import math
@@ -49,21 +50,35 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
+_DOT = r"(?: ?[\[({](?:dot|\.)[\])}] ?| dot )"
+#: Runs are matched from their start only, so that a long one isn't gone through once per character.
 _WIDE = {
+    0: re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({{](?:at|@)[\])}}] ?| at )[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+"),
+    1: re.compile(rf"(?<![0-9])[0-9]++(?:{_DOT}[0-9]++){{3}}|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{{1,4}}:){{1,7}}(?::?[0-9A-Fa-f]{{1,4}}){{0,7}}(?![0-9A-Za-z:])"),
     2: re.compile(r"(?<![0-9])(?=((?:(?:[0-9]{4}[ ./-]){3}[0-9]{4}|[0-9]{4}[ ./-][0-9]{6}[ ./-][0-9]{4,5}|[0-9]{13,19})(?![0-9])))"),
-    0: re.compile(r"[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,63}+)+"),
-    3: re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ .-])[0-9]{2,5}(?:[ .-][0-9]{2,5}){1,4}(?![0-9])"),
+    3: re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ ./-]|[0-9]{3}[ .-](?=[0-9]{3}[ .-][0-9]{4}(?![0-9])))[0-9]{2,8}(?:[ .-][0-9]{2,5}){0,4}(?![0-9])"),
 }
 _WORDS = {
     0: re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|reach|kontakt|correo|courriel)\b"),
     1: re.compile(r"(?i)\b(?:ip|host|server|address|login|from|adresse|direcci)"),
-    2: re.compile(r"(?i)\b(?:card|visa|credit|debit|payment|karte|carte|tarjeta)"),
-    3: re.compile(r"(?i)\b(?:phone|tel|call|mobile|fax|telefon|appel|llam)"),
+    2: re.compile(r"(?i)\b(?:card|visa|mastercard|amex|credit|debit|payment|karte|carte|tarjeta)"),
+    3: re.compile(r"(?i)\b(?:phone|tel|call|mobile|cell|fax|telefon|appel|llam)"),
 }
-_AGAINST = re.compile(r"(?i)\b(?:isbn|version|order|invoice|serial|part|id|no)\b\W*$")
-_MAIL = re.compile(r"(?i)[.@](?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info|example|test)$")
-_ISSUERS = re.compile(r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5)|35)")
+_AGAINST = re.compile(r"(?i)\b(?:isbn|issn|version|release|order|invoice|serial|part|item|section|chapter|figure|table|id|no|nr|ref|page)\b\W*$")
+_MAIL = re.compile(r"(?i)\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu|info|example|test)$")
+_FORM = {
+    0: re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9%+-]|[._](?=[A-Za-z0-9%+-])){0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}"),
+    1: re.compile(r"(?:(?:0|[1-9][0-9]{0,2})\.){3}(?:0|[1-9][0-9]{0,2})|.*:.*"),
+    2: re.compile(r"(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4})|[0-9]{4}([ -]?)[0-9]{6}\2[0-9]{4,5}|[0-9]{4}([./])[0-9]{4}\3[0-9]{4}\3[0-9]{4}|[0-9]{13,19}"),
+    3: re.compile(r"\+?[0-9]{0,3}[ .-]?(?:\([0-9]{1,5}\)[ .-]?)?[0-9]{2,12}(?:[ .-][0-9]{2,8}){0,5}"),
+}
+#: Issuers' prefixes with the numbers of digits their cards have.
+_ISSUERS = re.compile(r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|6(?:011|5[0-9]{2})[0-9]{12}|35[0-9]{14}|3(?:0|6|8)[0-9]{12}")
 _COUNTRIES = re.compile(r"^\+?(?:1|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])")
+_JOINT = re.compile(r"[A-Za-z0-9_]|[-./@:][A-Za-z0-9]")
+LABELERS = ("form", "edges", "gazetteer", "context", "against")
+#: How much more likely a labeler's vote is at least where it's right than where it's wrong: what EM may not unlearn when most labelers agree by chance.
+LEAST = (1.5, 1.5, 1.5, 2.0, 50.0)
 
 
 def luhn(digits: str) -> bool:
@@ -103,51 +118,108 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _vote(kind: int, span: str, before: str, after: str, shaped: bool) -> tuple[list[int], list[float]]:
-    """Votes of the regex, gazetteer and context labelers (1 for, -1 against, 0 abstains), and the span's shape."""
-    digits = _digits(span)
+def _plain(kind: int, span: str) -> str:
+    """A mail or host address with what is spelled out put as signs."""
+    if kind > 1 or ":" in span:
+        return span
+    return re.sub(r"\s*[\[({]?(?:at|@)[\])}]\s*| at ", "@", re.sub(_DOT, ".", span)) if kind == 0 else re.sub(_DOT, ".", span)
+
+
+def _host(span: str) -> ipaddress.IPv4Address | ipaddress.IPv6Address | None:
+    """The address, leading zeros dropped; None if it isn't one."""
+    try:
+        return ipaddress.ip_address(span if ":" in span else ".".join(p.lstrip("0")[:4] or "0" for p in span.split(".")))
+    except ValueError:
+        return None
+
+
+def _gazetteer(kind: int, plain: str, digits: str) -> int:
     if kind == 0:
-        gazetteer = 1 if _MAIL.search(re.sub(r" ?[\[(]dot[\])] ?", ".", span)) else 0
-    elif kind == 1:
-        parts = [int(p) for p in span.split(".")]
-        address = ipaddress.ip_address(".".join(map(str, parts)))
-        gazetteer = -1 if parts[0] == 0 or parts == sorted(set(parts))[:4] and parts[0] < 5 else 1 if address.is_global or address.is_private else 0
-    elif kind == 2:
-        gazetteer = 1 if _ISSUERS.match(digits) else -1
-    else:
-        gazetteer = 1 if span[0] in "+(" and _COUNTRIES.match(digits) else 0
-    context = 1 if _WORDS[kind].search(before) or kind == 2 and _WORDS[2].search(after) else -1 if _AGAINST.search(before) else 0
-    shape = [len(span) / 32, len(digits) / 16, span.count(" ") / 4, float(span[:1].isdigit())]
-    return [1 if shaped else -1, gazetteer, context], shape
+        return 1 if _MAIL.search(plain[-12:]) else 0
+    if kind == 1:
+        address = _host(plain)
+        if address is None or address.is_unspecified or address.is_loopback or address.is_multicast:
+            return -1
+        if address.version == 4 and max(address.packed) < 20:  # four small numbers: more like a version
+            return -1
+        return 1 if address.is_global or address.is_private else 0
+    if kind == 2:
+        return 1 if _ISSUERS.fullmatch(digits) else -1
+    return 1 if plain[0] in "+(0" and _COUNTRIES.match(digits.lstrip("0")) else 0
+
+
+def _inside(before: str, after: str) -> bool:
+    """Whether a number goes on before or after."""
+    return bool(re.match(r"[ ./-]?[0-9]", after) or re.search(r"[0-9][ ./-]?$", before))
+
+
+def _payment(before: str, after: str) -> bool:
+    return bool(_WORDS[2].search(before) or _WORDS[2].search(after))
+
+
+def _vote(kind: int, span: str, before: str, after: str) -> tuple[list[int], list[float]]:
+    """The LABELERS' votes (1 for, -1 against, 0 abstains), and the span's shape."""
+    plain, digits = _plain(kind, span), _digits(span)
+    form = 1 if len(span) <= 320 and _FORM[kind].fullmatch(plain) else -1
+    apart = "(" if kind == 3 else ""  # what may stand before a telephone number
+    edges = -1 if _JOINT.match(after) or _JOINT.match(before[::-1].lstrip(apart)) or kind > 1 and _inside(before, after) else 1
+    context = 1 if _WORDS[kind].search(before) or kind == 2 and _payment(before, after) else 0
+    against = -1 if _AGAINST.search(before) else 0
+    shape = [min(len(span), 320) / 32, min(len(digits), 32) / 16, min(span.count(" "), 8) / 4, float(span[:1].isdigit())]
+    return [form, edges, _gazetteer(kind, plain, digits), context, against], shape
 
 
 def _around(text: str, start: int, stop: int) -> tuple[str, str]:
     return text[max(0, start - CONTEXT) : start], text[stop : stop + CONTEXT]
 
 
+def _possible(text: str, kind: int) -> bool:
+    """Whether a wide pattern can match at all: cheap tests that spare most texts a scan."""
+    if kind == 0:
+        return any(x in text for x in ("at]", "at)", "at}", "@]", "@)", "@}")) or " at " in text and " dot " in text
+    if kind == 1:
+        return any(x in text for x in ("[.", "(.", "{.", "dot]", "dot)", "dot}", " dot ", "::")) or text.count(":") > 6
+    return True
+
+
+def _proper(kind: int, span: str) -> bool:
+    if kind == 1:
+        return (span.count(":") in (0, 7) or "::" in span) and _host(_plain(1, span)) is not None
+    if kind == 2:
+        return luhn(_digits(span))
+    return kind == 0 or 9 <= len(_digits(span)) <= 15
+
+
 def candidates(text: str) -> list[tuple]:
+    """(kind, start, stop, base, votes, shape) in order."""
     base = base_spans(text)
     found = [(*s, True) for s in base]
+    # spans of a kind are in order and don't overlap, so one search tells whether any of them touches a candidate
+    starts, stops = ([[s[i] for s in base if s[1] == k] for k in range(len(KINDS))] for i in (0, 2))
     for kind, pattern in _WIDE.items():
-        if kind == 0 and "at]" not in text and "at)" not in text:
+        if not _possible(text, kind):
             continue
-        own = [(a, b) for a, k, b in base if k == kind or kind == 3]
+        own = [(a, b) for k, (a, b) in enumerate(zip(starts, stops, strict=True)) if a and (k == kind or kind == 3)]
         for m in pattern.finditer(text):
             start, stop = m.span(pattern.groups)
-            if any(a < stop and start < b for a, b in own):
+            if any((i := bisect.bisect_left(a, stop)) and b[i - 1] > start for a, b in own):
                 continue
-            if kind == 2 and not (luhn(_digits(text[start:stop])) and any(_WORDS[2].search(x) for x in _around(text, start, stop))):
+            span = text[start:stop]
+            if not _proper(kind, span):
+                continue
+            # groups cut out of a longer row of groups are a guess unless something speaks of payment
+            if kind == 2 and not span.isdigit() and _inside(*(around := _around(text, start, stop))) and not _payment(*around):
                 continue
             found.append((start, kind, stop, False))
     out = []
     for start, kind, stop, is_base in sorted(found):
-        votes, shape = _vote(kind, text[start:stop], *_around(text, start, stop), is_base or kind == 2)  # cards of either kind have passed Luhn's check
+        votes, shape = _vote(kind, text[start:stop], *_around(text, start, stop))
         out.append((kind, start, stop, is_base, votes, shape))
     return out
 
 
 def em(patterns: dict[tuple, int], rounds: int = EM_ROUNDS) -> dict[tuple, float]:
-    """Probability that a vote pattern is positive: labelers independent given the class, with a prior for each that it's better than chance."""
+    """Probability that a vote pattern is positive: labelers independent given the class, each better than chance by LEAST."""
     if not patterns:
         return {}
     rows = list(patterns)
@@ -162,25 +234,42 @@ def em(patterns: dict[tuple, int], rounds: int = EM_ROUNDS) -> dict[tuple, float
                 lean = 2.0 * v
                 yes = ((n * p)[here].sum() + 1 + max(lean, 0)) / ((n * p).sum() + 5)
                 no = ((n * (1 - p))[here].sum() + 1 + max(-lean, 0)) / ((n * (1 - p)).sum() + 5)
+                if v:  # no labeler may be learned to be worse than its bound
+                    yes, no = (yes, min(no, yes / LEAST[j])) if v > 0 else (min(yes, no / LEAST[j]), no)
                 up[here] += math.log(yes)
                 down[here] += math.log(no)
         p = 1 / (1 + np.exp(np.clip(down - up, -50, 50)))
     return dict(zip(rows, p, strict=True))
 
 
+def reliabilities(patterns: dict[tuple, int], probable: dict[tuple, float]) -> list[float]:
+    """Per labeler the share of its votes that agree with the probabilities; 0.5 without votes."""
+    out = []
+    for j in range(len(LABELERS)):
+        votes = [(r[1 + j], n, probable[r]) for r, n in patterns.items() if r[1 + j]]
+        out.append((sum(n * (p if v > 0 else 1 - p) for v, n, p in votes) + 0.5) / (sum(n for _, n, _ in votes) + 1))
+    return out
+
+
+SHAPE = 4
+FEATURES = 1 + len(LABELERS) + SHAPE
+
+
 def features(kind: int, votes: list[int], shape: list[float]) -> np.ndarray:
-    x = np.zeros(len(KINDS) + 3 + 4)
-    x[kind] = 1
-    x[len(KINDS) :] = [*votes, *shape]
-    return x
+    x = np.zeros((len(KINDS), FEATURES))
+    x[kind] = [1, *votes, *shape]
+    return x.ravel()
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Logistic regression on soft labels by gradient steps."""
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 25, ridge: float = 0.05) -> np.ndarray:
+    """Logistic regression on soft labels by Newton's steps; the ridge keeps features without data at zero."""
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= 2.0 * (x.T @ (p - y) / len(x) + 1e-4 * w)
+        slope = x.T @ (y - p) - ridge * w
+        curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w += step * min(1.0, 5 / max(1e-12, np.abs(step).max()))
     return w
 
 
@@ -204,10 +293,10 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
 def train(found: DataFrame) -> np.ndarray | None:
     """The classifier's weights from a written table of candidates."""
     spans = found.select(F.explode("found").alias("c")).select("c.*")
-    counts = spans.groupBy("kind", *(F.col("votes")[i].alias(f"v{i}") for i in range(3))).count().collect()  # 4 * 3 ** 3 rows at most
+    counts = spans.groupBy("kind", *(F.col("votes")[i].alias(f"v{i}") for i in range(len(LABELERS)))).count().collect()  # 4 * 3 ** 5 rows at most
     probable = {}
     for kind in range(len(KINDS)):
-        probable |= em({(r[0], r[1], r[2], r[3]): r[4] for r in counts if r[0] == kind})
+        probable |= em({tuple(r[:-1]): r[-1] for r in counts if r[0] == kind})
     if not probable:
         return None
     some = spans.orderBy(F.xxhash64("kind", "start", "stop", "votes"), "kind", "start", "stop").limit(TRAINING).select("kind", "votes", "shape").toPandas()
@@ -216,11 +305,15 @@ def train(found: DataFrame) -> np.ndarray | None:
     return fit(x, y)
 
 
+def score(kind: int, votes: list[int], shape: list[float], w: np.ndarray) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(features(kind, votes, shape) @ w)))))
+
+
 def accepted(found: list, w: np.ndarray) -> list[tuple[int, int, int, bool]]:
     """(start, kind, stop, base) of base spans and of accepted ones."""
     out = []
     for c in found:
-        if c["base"] or 1 / (1 + math.exp(-float(features(c["kind"], c["votes"], c["shape"]) @ w))) >= ACCEPT:
+        if c["base"] or score(c["kind"], c["votes"], c["shape"], w) >= ACCEPT:
             out.append((c["start"], c["kind"], c["stop"], c["base"]))
     return sorted(out)
 
@@ -234,7 +327,7 @@ def detect(docs: DataFrame, text: str = "text") -> DataFrame:
     with scratch.small_batches(docs.sparkSession):
         found = scratch.cut(scan(docs, text), "pii-candidates")
     w = train(found)
-    weights = np.zeros(len(KINDS) + 7) if w is None else w
+    weights = np.zeros(len(KINDS) * FEATURES) if w is None else w
     from pyspark.sql import types as T
 
     kept = [f for f in found.schema.fields if f.name != "found"]
@@ -257,7 +350,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span replaced by its kind in capitals between angle brackets; overlapping spans become one."""
     with scratch.small_batches(docs.sparkSession):
         w = train(scratch.cut(scan(docs.select(F.col(f"`{text}`").alias("text"))), "pii-candidates"))
-    weights = np.zeros(len(KINDS) + 7) if w is None else w
+    weights = np.zeros(len(KINDS) * FEATURES) if w is None else w
 
     def clean(t: str | None) -> str | None:
         if not t:

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 import numpy as np
 from hypothesis import HealthCheck, given, settings, strategies as st
@@ -43,10 +45,22 @@ def test_base_spans_against_plain_patterns(text):
 
 
 def test_long_texts_in_linear_time():
-    for t in ("9" * 300_000, "a" * 300_000, "+" + "1 " * 150_000, "1." * 150_000, "a.b@" * 50_000, "(at]" * 50_000):
+    for t in ("9" * 300_000, "a" * 300_000, "+" + "1 " * 150_000, "1." * 150_000, "a.b@" * 50_000, "(at]" * 50_000, "a:" * 150_000 + "::", "f" * 300_000 + "::", "x at y dot z " * 20_000, "(00) " * 60_000):
         pii.candidates(t)
 
 
+def test_mixed_spans_of_a_long_text_in_linear_time():
+    began = time.time()
+    found = pii.candidates("joe@x.de and 0123 456 789 or " * 70_000)
+    assert len(found) == 140_000 and time.time() - began < 60
+
+
+def test_zeros_before_an_address():
+    for zeros in (5, 5000, 300_000):
+        assert pii.candidates("0" * zeros + "1.2.3.4")[0][:4] == (1, 0, zeros + 7, True)
+        pii.candidates("0" * zeros + "1[.]2[.]3[.]4")
+
+
 def test_rows_nulls_repeats_and_clashes(spark):
     df = spark.createDataFrame([(i if i else None, t, "mine", 3) for i, t in enumerate(TRICKY * 2)], "doc_id long, text string, spans string, extra int")
     out = pii.detect(df)
@@ -98,3 +112,88 @@ def test_cards_that_the_base_pattern_drops_are_added_and_redacted(spark):
     rows = pii.detect(df).orderBy("doc_id").collect()
     assert rows[0].spans == "card:10:29" and rows[0].n_card == 0 and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert all(r.spans.count("card:") == 1 for r in rows[: len(cards)]) and not any(r.spans for r in rows[len(cards) :])
+
+
+def planted(seed, n=400):
+    """Texts with base spans, spans that only the method can find (with their kind and place), and look-alikes that aren't personal data."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(2, 9)))
+    number = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+
+    def card():
+        body = "4" + number(14)
+        return next(c for c in (body + str(d) for d in range(10)) if pii.luhn(c))
+
+    groups = lambda c, sep: sep.join(c[i : i + 4] for i in range(0, 16, 4))
+    good = [
+        lambda: (0, "please write to ", f"{word()} [at] {word()} [dot] com"), lambda: (0, "contact ", f"{word()} at {word()} dot org"),
+        lambda: (1, "login from server ", f"{rng.randint(60, 220)}[.]{rng.randint(1, 255)}[.]{rng.randint(1, 255)}[.]{rng.randint(1, 255)}"), lambda: (1, "host ", f"2001:db8::{number(3)}"),
+        lambda: (2, f"card {number(4)} ", groups(card(), " ")), lambda: (2, "paid by credit card ", groups(card(), ".")),
+        lambda: (3, "call ", f"(0{number(2)}) {number(4)} {number(4)}"), lambda: (3, "mobile ", f"0{number(3)} {number(3)} {number(3)}"),
+    ]
+    bad = [
+        lambda: f"order no {number(4)}-0{number(3)}-{number(4)}x", lambda: f"part no 0{number(3)}-{number(4)}-{number(4)}", lambda: f"version 1(.)2(.)3(.){rng.randint(1, 9)}",
+        lambda: f"item {number(5)} {groups(card()[::-1], ' ')} {number(6)}",
+    ]
+    base = [lambda: f"{word()}@{word()}.com", lambda: f"{rng.randint(60, 220)}.10.{rng.randint(1, 255)}.7", lambda: groups(card(), " "), lambda: f"+49 30 {number(7)}"]
+    texts, want, clean = [], [], []
+    for i in range(n):
+        lead = " ".join(word() for _ in range(rng.randint(3, 30))) + " "
+        if i % 4 == 0:
+            kind, before, span = good[i // 4 % len(good)]()
+            texts.append(f"{lead}{before}{span} {word()}")
+            want.append((i, f"{pii.KINDS[kind]}:{len(lead + before)}:{len(lead + before + span)}"))
+        elif i % 4 == 1:
+            texts.append(lead + bad[i // 4 % len(bad)]() + " " + word())
+            clean.append(i)
+        else:
+            context = rng.choice(["", "", "mail ", "host ", "card ", "call "])
+            texts.append(lead + context + base[i % len(base)]() + " " + word())
+    return texts, want, clean
+
+
+def test_planted_spans_that_only_the_method_finds(spark):
+    texts, want, clean = planted(3)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.detect(df).collect()}
+    for i, t in enumerate(texts):
+        base = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute(t)]
+        assert set(base) <= set(filter(None, rows[i].spans.split(",")))
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+    added = [(i, x) for i, x in want if x not in [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute(texts[i])]]
+    assert len(added) > 80
+    found = sum(x in rows[i].spans.split(",") for i, x in added)
+    assert found >= 0.95 * len(added), found / len(added)
+    wrong = [texts[i] for i in clean if any(x not in [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute(texts[i])] for x in filter(None, rows[i].spans.split(",")))]
+    assert len(wrong) <= 0.05 * len(clean), wrong[:5]
+
+
+def test_classifier_on_held_out_candidates():
+    learn, hold = (sum((pii.candidates(t) for t in planted(s)[0]), []) for s in (5, 6))
+    probable = {}
+    for k in range(4):
+        counts = {}
+        for c in learn:
+            if c[0] == k:
+                counts[(k, *c[4])] = counts.get((k, *c[4]), 0) + 1
+        own = pii.em(counts)
+        assert all(0 <= r <= 1 for r in pii.reliabilities(counts, own)) and pii.reliabilities(counts, own)[3] > 0.5
+        probable |= own
+    w = pii.fit(np.array([pii.features(c[0], c[4], c[5]) for c in learn]), np.array([probable[(c[0], *c[4])] for c in learn]))
+    texts, want, clean = planted(6)
+    good = {(i, x) for i, x in want}
+    right = total = 0
+    for i, t in enumerate(texts):
+        for c in pii.candidates(t):
+            truth = c[3] or (i, f"{pii.KINDS[c[0]]}:{c[1]}:{c[2]}") in good
+            right += truth == (pii.score(c[0], c[4], c[5], w) >= 0.5)
+            total += 1
+    assert len(hold) == total and right >= 0.95 * total, right / total
+
+
+def test_null_empty_and_very_long_rows(spark):
+    long = "word " * 200_000 + "joe@x.de " + "0" * 5000 + "1.2.3.4"
+    df = spark.createDataFrame([(1, long), (1, long), (None, None), (2, "")], "doc_id long, text string")
+    rows = sorted((r.spans for r in pii.detect(df).collect()), key=len)
+    assert rows[:2] == ["", ""] and rows[2] == rows[3] == "email:1000000:1000008,ip:1000009:1005016"
+    assert sorted(len(r.text or "") for r in pii.redact(df).collect())[-1] < len(long)
