@@ -59,3 +59,27 @@ def test_unusable_repeated_and_few(spark):
     assert got == {0: [(1, 1.0), (100, 1.0)], 100: [(0, 1.0), (1, pytest.approx(2**0.5))]}
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
     assert ann.nearest(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
+
+
+@pytest.mark.parametrize("clusters", [1, 40])
+def test_share_of_verified_vectors_and_recall(spark, clusters):
+    rng = np.random.default_rng(clusters)
+    x = rng.normal(size=(20_000, 64)) + 3 * rng.normal(size=(clusters, 64))[rng.integers(0, clusters, 20_000)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype("f4")
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    rows = ann.nearest(df, df.where("vec_id % 200 = 0"), 10)
+    want = brute(ids, x.astype("f8"), ids[ids % 200 == 0], 10)
+    assert recall(collect(rows), want) >= 0.95
+    share = rows.where("rank = 1").agg({"verified": "avg"}).first()[0] / len(x)
+    assert 10 / len(x) < share < (0.2 if clusters == 1 else 0.05), share
+
+
+def test_lengths_are_searches_of_their_own_and_columns_may_clash(spark, monkeypatch):
+    rows = [(i, [float(i), 1.0] if i % 2 else [float(i), 1.0, 2.0], 1, 2.0, 3, 4) for i in range(1, 41)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int, score double, cell int, part int")
+    got = collect(ann.nearest(df, df.where("vec_id in (5, 6)"), 3))
+    assert got == {5: [(3, 2.0), (7, 2.0), (1, 4.0)], 6: [(4, 2.0), (8, 2.0), (2, 4.0)]}
+    monkeypatch.setattr(ann, "LENGTHS", 1)
+    with pytest.raises(ValueError):
+        ann.nearest(df, df)
