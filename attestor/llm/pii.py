@@ -45,9 +45,10 @@ CANDIDATE = "array<struct<kind:int,start:int,stop:int,base:boolean,votes:array<i
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-#: A match can't begin inside a run of digits, as it would also begin at the run's start.
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
-_CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
+#: A match can't begin inside a run of digits, as it would also begin at the run's start. That is looked at behind the first digit, as
+#: a pattern that begins with a set is searched for much faster.
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?<![0-9][0-9])(?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _DOT = r"(?: ?[\[({](?:dot|\.)[\])}] ?| dot )"
@@ -55,8 +56,11 @@ _DOT = r"(?: ?[\[({](?:dot|\.)[\])}] ?| dot )"
 _WIDE = {
     0: re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({{](?:at|@)[\])}}] ?| at )[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)+"),
     1: re.compile(rf"(?<![0-9])[0-9]++(?:{_DOT}[0-9]++){{3}}|(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{{1,4}}:){{1,7}}(?::?[0-9A-Fa-f]{{1,4}}){{0,7}}(?![0-9A-Za-z:])"),
-    2: re.compile(r"(?<![0-9])(?=((?:(?:[0-9]{4}[ ./-]){3}[0-9]{4}|[0-9]{4}[ ./-][0-9]{6}[ ./-][0-9]{4,5}|[0-9]{13,19})(?![0-9])))"),
-    3: re.compile(r"(?<![0-9+])(?:\([0-9]{2,4}\) ?|0[0-9]{1,4}[ ./-]|[0-9]{3}[ .-](?=[0-9]{3}[ .-][0-9]{4}(?![0-9])))[0-9]{2,8}(?:[ .-][0-9]{2,5}){0,4}(?![0-9])"),
+    2: re.compile(r"[0-9](?<![0-9][0-9])(?=((?:[0-9]{3}[ ./-](?:[0-9]{4}[ ./-]){2}[0-9]{4}|[0-9]{3}[ ./-][0-9]{6}[ ./-][0-9]{4,5}|[0-9]{12,18})(?![0-9])))"),
+    3: re.compile(
+        r"(?s)[0-9(](?<![0-9+].)(?:(?<=\()[0-9]{2,4}\) ?|(?<=0)[0-9]{1,4}[ ./-]|(?<=[0-9])[0-9]{2}[ .-](?=[0-9]{3}[ .-][0-9]{4}(?![0-9])))"
+        r"[0-9]{2,8}(?:[ .-][0-9]{2,5}){0,4}(?![0-9])"
+    ),
 }
 _WORDS = {
     0: re.compile(r"(?i)\b(?:e-?mail|mail|contact|write|reach|kontakt|correo|courriel)\b"),
@@ -201,7 +205,7 @@ def candidates(text: str) -> list[tuple]:
             continue
         own = [(a, b) for k, (a, b) in enumerate(zip(starts, stops, strict=True)) if a and (k == kind or kind == 3)]
         for m in pattern.finditer(text):
-            start, stop = m.span(pattern.groups)
+            start, stop = m.start(), m.end(pattern.groups)
             if any((i := bisect.bisect_left(a, stop)) and b[i - 1] > start for a, b in own):
                 continue
             span = text[start:stop]
