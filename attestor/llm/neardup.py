@@ -1,24 +1,27 @@
 """Near-duplicates by improved consistent weighted sampling (ICWS) over TF-IDF shingles.
 
-1. Shingles are runs of five words of the lower-cased whole text (fewer words: all of them). A shingle weighs its count in the
-   text times 1 - DAMP * u, where u grows from 0 to 1 as the logarithm of the share of documents that hold it goes from COMMON to
-   all of them: an inverse document frequency that only tells common shingles apart, so that no edit of a copy outweighs its rest.
-   Document frequencies come from all documents, in ``SLOTS`` hashed counters: a counter exceeds the true count by words per document / SLOTS
-   of the documents, which is far below COMMON at any size of the corpus, and at most words per document / COMMON counters are
-   above COMMON, which bounds what workers are sent.
+1. Shingles are runs of five words of the lower-cased whole text (fewer words: all of them). A shingle weighs its count in the text times
+   an inverse document frequency: ln((N + 1) / (df + 1)) of the N documents, scaled to lie between FLOOR (in all documents) and 1 (in one),
+   in LEVELS steps. FLOOR bounds by how much an edit of a copy can outweigh the text that thousands of copies share: an unscaled
+   logarithm would give it ten times the weight, and lose the copy. Document frequencies come from all documents, in ``SLOTS`` hashed
+   counters of 64 bits, less what a counter holds on average, so they tell shingles apart that more than words per document / SLOTS of the documents
+   hold (some 0.02 %) and take all rarer ones for about as rare. The counters' levels are 2 MB whatever the input.
 2. Each text gets SAMPLES weighted samples (two texts agree in one with a probability equal to their weighted Jaccard
    similarity), grouped into BANDS. Equal texts are collapsed first, so a text that a third of all rows repeat is one node.
 3. Texts of a band's bucket are candidates, but never all pairs of them: each is paired with the bucket's leader (another one in each band)
    and with its neighbour in the order of the bucket's signatures. A bucket of any size is dealt in bounded parts for that.
-4. Pairs are verified on their texts by exact weighted Jaccard similarity of THRESHOLD or more; links become components.
-5. Buckets whose members are still in several components are gone through again with other leaders and another order, until
-   a round finds no further link or ROUNDS are over.
-6. Buckets that are still mixed then are compared whole: the members outside a bucket's largest component with all of its members, in blocks
+4. Pairs are verified on their texts by exact weighted Jaccard similarity of THRESHOLD or more, under the TF-IDF weights or under the counts alone
+   (so no copy by the plain measure is lost to the weights); links become components. A leader's text is sent once to every task
+   that holds a part of its pairs.
+5. Buckets whose members are still in several components are gone through again with other leaders and another order, for ROUNDS or until
+   a round finds no further link. That is only to make the last step cheap.
+6. Buckets that are still mixed then, whatever the reason, are compared whole: the members outside a bucket's largest component with all of its members, in blocks
    of two cells of at most about CELL texts. A block's similarities are products of matrices; only links leave it. So every two texts
    of a bucket end in one component or have been compared.
 
-Result: one row per document with the least doc_id of its class. Recall: a pair at the threshold shares a bucket with probability
-1 - (1 - 0.8**4)**16 = 0.9998. Step 6 takes time and sends texts in the order of the square of a family's size, divided by CELL for what it
+Result: one row per document with the least doc_id of its class. Recall: a pair at the threshold of the TF-IDF weights shares a bucket with probability
+1 - (1 - 0.8**4)**16 = 0.9998; one at the threshold of counts alone with 0.96 at least, if all that its texts share is in every document and all else
+in one (weighted similarity 0.67). Step 6 takes time and sends texts in the order of the square of a family's size, divided by CELL for what it
 sends, if its texts share buckets without being copies.
 
 Defined cases: a null text is a class of its own; equal texts, empty ones too, are one class; texts without words match equal texts only;
@@ -44,12 +47,15 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-COMMON, DAMP = 0.01, 0.25
+#: The least weight, and the number of weights from it to 1.
+FLOOR, LEVELS = 0.5, 16
 SLOT_BITS = 21
 SLOTS = 1 << SLOT_BITS
 CHUNKS = 64
 FAN_IN = 256
 PART = 50_000
+#: Members of a bucket that meet its leader in one task, and pairs of a leader that are verified in one.
+SALT = 1024
 #: Bits of the filter that keeps most texts without candidates out of a shuffle; fixed, so that beyond some 10 million candidates it only stops helping.
 FILTER_BITS = 1 << 23
 ROUNDS = 6
@@ -57,7 +63,11 @@ ROUNDS = 6
 CELL, CELL_BYTES = 2048, 4 << 20
 #: Shingles of more holders in a block are multiplied as dense columns.
 RARE = 16
+#: Shingles that share a table entry tie; the least hash wins in every text alike, which is a sample of those that tie.
 TABLE_BITS = 16
+#: Below this similarity under counts the one under TF-IDF weights is below THRESHOLD, as no weight is below FLOOR or over 1.
+LEAST = 1 / (1 + (1 / THRESHOLD - 1) / FLOOR) - 1e-9
+WEIGHT = 1 - (1 - FLOOR) * np.arange(LEVELS) / (LEVELS - 1)
 
 
 def shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -78,11 +88,11 @@ def slots_of(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SLOT_BITS)).astype("i8")
 
 
-def frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counters above COMMON: sorted slots and the weights of their shingles. ``texts``: text."""
+def frequencies(texts: DataFrame) -> np.ndarray:
+    """The level of every counter, 0 for the rarest, of SLOTS bytes. ``texts``: text."""
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs, waiting, held = np.zeros(SLOTS, "u4"), 0, [], 0
+        total, docs, waiting, held = np.zeros(SLOTS, "u4"), 0, [], 0  # of one task
         for batch in batches:
             for t in batch.column(0):
                 docs += 1
@@ -95,15 +105,15 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             if waiting:
                 total += np.bincount(np.concatenate(waiting), minlength=SLOTS).astype("u4")
             parts = total.reshape(CHUNKS, -1)
-            rows = [zlib.compress(p.tobytes(), 1) for p in parts]
+            rows = [zlib.compress(p.astype("u8").tobytes(), 1) for p in parts]
             task = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([task] * CHUNKS, pa.int64()), pa.array([docs] * CHUNKS, pa.int64()), pa.array(rows, pa.binary())], names=["chunk", "task", "docs", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLOTS // CHUNKS, "u8")
         for b in pdf["counts"]:
-            total += np.frombuffer(zlib.decompress(b), "u4")
-        return pd.DataFrame({"chunk": pdf["chunk"][:1], "task": pdf["task"][:1] // FAN_IN, "docs": [pdf["docs"].sum()], "counts": [zlib.compress(total.astype("u4").tobytes(), 1)]})
+            total += np.frombuffer(zlib.decompress(b), "u8")
+        return pd.DataFrame({"chunk": pdf["chunk"][:1], "task": pdf["task"][:1] // FAN_IN, "docs": [pdf["docs"].sum()], "counts": [zlib.compress(total.tobytes(), 1)]})
 
     schema = "chunk int, task long, docs long, counts binary"
     with scratch.small_batches(texts.sparkSession):
@@ -113,35 +123,29 @@ def frequencies(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         above = scratch.cut(level.groupBy("chunk", F.expr(f"task div {FAN_IN}").alias("part")).applyInPandas(lambda pdf: add(pdf), schema), "shingle-counts")
         scratch.drop(level)
         level, tasks = above, -(-tasks // FAN_IN)
-    n = level.where("chunk = 0").agg(F.sum("docs")).first()[0] or 0
-    least = max(2, COMMON * n)
+    rows = level.orderBy("chunk").collect()  # CHUNKS rows, 16 MB of counters whatever the input
+    scratch.drop(level)
+    if not rows:
+        return np.zeros(SLOTS, "u1")
+    return levels(np.concatenate([np.frombuffer(zlib.decompress(r.counts), "u8") for r in rows]), rows[0].docs)
 
-    def pick(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for chunk, b in zip(pdf["chunk"], pdf["counts"], strict=True):
-                c = np.frombuffer(zlib.decompress(b), "u4")
-                at = np.flatnonzero(c > least)
-                yield pd.DataFrame({"slot": at + chunk * (SLOTS // CHUNKS), "n": c[at].astype("i8")})
 
-    heavy = level.mapInPandas(pick, "slot long, n long").toPandas().sort_values("slot")  # bounded by words per document / COMMON
-    scratch.drop(level)
-    u = 1 - np.log(np.maximum(n, 1) / np.minimum(heavy["n"].to_numpy("f8"), n)) / np.log(1 / COMMON)
-    return heavy["slot"].to_numpy("i8"), 1 - DAMP * np.clip(u, 0, 1)
+def levels(counts: np.ndarray, n: int) -> np.ndarray:
+    if n < 2:
+        return np.zeros(len(counts), "u1")
+    df = np.clip(counts - counts.sum() / len(counts), 1, n)
+    idf = np.log((n + 1) / (df + 1)) / np.log((n + 1) / 2)
+    return np.rint((1 - idf) * (LEVELS - 1)).astype("u1")
 
 
-def weigh(h: np.ndarray, count: np.ndarray, heavy: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    w = count.astype("f8")
-    if len(heavy):
-        s = slots_of(h)
-        at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-        w *= np.where(heavy[at] == s, weight[at], 1.0)
-    return w
+def weigh(h: np.ndarray, count: np.ndarray, level: np.ndarray) -> np.ndarray:
+    return count * WEIGHT[level[slots_of(h)]]
 
 
 class Sampler:
     """ICWS with its random variables in tables indexed by hash bits, one multiplier per sample.
 
-    Most shingles weigh 1, whose logarithm is 0: their level is 0 and what they are compared by comes from a table of its own.
+    Most shingles occur once in a text, so their weight is one of LEVELS: what they are compared by has a table for each of them.
     """
 
     def __init__(self, seed: int = 7):
@@ -150,39 +154,49 @@ class Sampler:
         r = rng.gamma(2.0, 1.0, size)
         self.r, self.inverse, self.beta = (x.astype("f4") for x in (r, 1 / r, rng.random(size) * (1 - 1e-6)))
         self.ln_c = np.log(rng.gamma(2.0, 1.0, size)).astype("f4")
-        self.plain = self.ln_c - self.r * (1 - self.beta)
+        step = np.floor(np.log(WEIGHT).astype("f4")[:, None] * self.inverse + self.beta)
+        self.key = (self.ln_c - self.r * (step - self.beta + 1)).ravel()
+        self.step = step.ravel()
         self.factor = rng.integers(0, 2**63, SAMPLES).astype("u8") * np.uint64(2) + np.uint64(1)
 
-    def __call__(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    def __call__(self, h: np.ndarray, count: np.ndarray, level: np.ndarray) -> np.ndarray:
         """The bands of a text as 64-bit integers, four 16-bit samples in each."""
         lanes = np.empty(SAMPLES, "u8")
-        odd = np.flatnonzero(w != 1)
-        ln_w = np.log(w[odd]).astype("f4")[None, :]
+        own = level[slots_of(h)]
+        table = own.astype("u8") << np.uint64(TABLE_BITS)
+        odd = np.flatnonzero(count != 1)
+        ln_w = np.log(count[odd] * WEIGHT[own[odd]]).astype("f4")[None, :]
         step = max(1, 2_000_000 // max(1, len(h)))
         for a in range(0, SAMPLES, step):
             i = (self.factor[a : a + step, None] * h[None, :]) >> np.uint64(64 - TABLE_BITS)
-            key = self.plain[i]
+            i += table
+            key = self.key[i]
             if len(odd):
-                j = i[:, odd]
+                j = i[:, odd] & np.uint64((1 << TABLE_BITS) - 1)
                 r, beta = self.r[j], self.beta[j]
                 t = np.floor(ln_w * self.inverse[j] + beta)
                 key[:, odd] = self.ln_c[j] - r * (t - beta + 1)
             k = np.argmin(key, axis=1)
-            level = np.zeros(len(k), "i8")
+            rows = np.arange(len(k))
+            steps = self.step[i[rows, k]]
             if len(odd):
                 at = np.minimum(np.searchsorted(odd, k), len(odd) - 1)
-                level = np.where(odd[at] == k, t[np.arange(len(k)), at], 0).astype("i8")
-            x = (h[k] + level.astype("u8") * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
+                steps = np.where(odd[at] == k, t[rows, at], steps)
+            x = (h[k] + steps.astype("i8").view("u8") * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
             lanes[a : a + step] = x >> np.uint64(48)
         shift = np.array([48, 32, 16, 0], "u8")
         return (lanes.reshape(BANDS, ROWS) << shift).sum(1, dtype="u8").view("i8")
 
 
-def similarity(a: str, b: str, heavy: np.ndarray, weight: np.ndarray) -> float:
+def similarity(a: str, b: str, level: np.ndarray) -> float:
     (ha, ca), (hb, cb) = shingles(a), shingles(b)
-    if not len(ha) or not len(hb):
-        return float(a == b)
-    return jaccard(ha, weigh(ha, ca, heavy, weight), hb, weigh(hb, cb, heavy, weight))
+    return alike(ha, ca, hb, cb, level) if len(ha) and len(hb) else float(a == b)
+
+
+def alike(ha: np.ndarray, ca: np.ndarray, hb: np.ndarray, cb: np.ndarray, level: np.ndarray) -> float:
+    """The greater of the weighted Jaccard similarities under counts and under TF-IDF weights; 0 if the former rules both out."""
+    plain = jaccard(ha, ca, hb, cb)
+    return max(plain, jaccard(ha, weigh(ha, ca, level), hb, weigh(hb, cb, level))) if plain >= LEAST else 0.0
 
 
 def jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> float:
@@ -192,7 +206,7 @@ def jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) -> f
     return float(low / (wa.sum() + wb.sum() - low))
 
 
-def signatures(texts: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
+def signatures(texts: DataFrame, level: np.ndarray) -> DataFrame:
     """``texts`` (doc_id, key, text) as (doc_id, key, bands); bands are null without words."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,23 +215,36 @@ def signatures(texts: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataF
             bands = []
             for t in batch.column(2):
                 h, c = shingles(t.as_py() or "")
-                bands.append(sample(h, weigh(h, c, heavy, weight)) if len(h) else None)
+                bands.append(sample(h, c, level) if len(h) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
 
     return texts.select("doc_id", "key", "text").mapInArrow(work, "doc_id long, key binary, bands array<long>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
-    """``pairs`` (a, b) with linked: whether their texts (key, text) have the similarity."""
+def verified(pairs: DataFrame, texts: DataFrame, level: np.ndarray) -> DataFrame:
+    """``pairs`` (hub, other, salt) with linked: whether their texts (key, text) have the similarity."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
         for batch in batches:
-            linked = [similarity(a.as_py(), b.as_py(), heavy, weight) >= THRESHOLD for a, b in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
-
-    first = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    both = first.join(texts.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(work, "a binary, b binary, linked boolean")
+            out: list[tuple] = []
+            for hub, salt, other, text in zip(*(batch.column(i) for i in range(4)), strict=True):
+                place, other, mine = (hub.as_py(), salt.as_py()), other.as_py(), shingles(text.as_py())
+                if other is None:
+                    at, own = place, mine
+                elif place != at:
+                    raise ValueError("a pair without its hub's text")
+                else:
+                    out.append((place[0], other, alike(*own, *mine, level) >= THRESHOLD))
+            columns = zip(*out, strict=True) if out else [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.bool_()), strict=True)], names=["hub", "other", "linked"])
+
+    place = ["hub", "salt"]
+    others = pairs.join(texts.select(F.col("key").alias("other"), "text"), "other").select(*place, "other", "text")
+    hubs = pairs.select(*place).distinct().join(texts.select(F.col("key").alias("hub"), "text"), "hub").select(*place, F.lit(None).cast("binary").alias("other"), "text")
+    rows = others.unionAll(hubs).repartition(*place).sortWithinPartitions(*place, F.col("other").asc_nulls_first())
+    found = rows.mapInArrow(work, "hub binary, other binary, linked boolean")
+    return found.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"), "linked")
 
 
 def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
@@ -232,22 +259,25 @@ def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def _proposed(members: DataFrame, round_: int) -> DataFrame:
-    """Pairs from members (value, key, bands, n).
+    """Pairs (a, b) with their hub, the other and salt, from members (value, key, bands, n).
 
     Round 0: each with its bucket's least member, the same one wherever the same texts meet. Later: with a leader that differs from band to
-    band and round to round, and with its neighbour in signature order.
+    band and round to round, and with its neighbour in signature order. A bucket meets its leader in parts.
     """
     order = F.lit(0) if round_ == 0 else F.xxhash64(F.lit(round_), "value", "key")
-    leaders = members.groupBy("value").agg(F.min(F.struct(order.alias("o"), "key")).getField("key").alias("leader"))
-    pairs = members.select("value", "key").join(leaders, "value").select("key", F.col("leader").alias("other"))
+    leaders = members.groupBy("value").agg(F.min(F.struct(order.alias("o"), "key")).getField("key").alias("hub"), F.ceil(F.max("n") / SALT).cast("int").alias("parts"))
+    leaders = leaders.select("value", "hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    salt = lambda size: F.pmod(F.xxhash64(F.lit(round_), "key"), F.ceil(F.col("n") / size)).cast("int").alias("part")
+    pairs = members.select("value", "key", "n", salt(SALT)).join(leaders, ["value", "part"]).select("hub", F.col("key").alias("other"), "n")
     if round_:
         turn = 5 * round_ % BANDS
         turned = F.concat(F.slice("bands", 1 + turn, BANDS), F.slice("bands", 1, turn))
-        part = F.pmod(F.xxhash64(F.lit(round_), "key"), F.ceil(F.col("n") / PART))
-        beside = members.select("value", "key", turned.alias("s"), part.alias("part")).withColumn("other", F.lag("key").over(Window.partitionBy("value", "part").orderBy("s", "key")))
-        pairs = pairs.unionAll(beside.select("key", "other"))
-    pairs = pairs.where("other IS NOT NULL AND other <> key")
-    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+        beside = members.select("value", "key", turned.alias("s"), salt(PART)).withColumn("hub", F.lag("key").over(Window.partitionBy("value", "part").orderBy("s", "key")))
+        pairs = pairs.unionAll(beside.select("hub", F.col("key").alias("other"), F.lit(1).cast("long").alias("n")))
+    pairs = pairs.where("hub IS NOT NULL AND other <> hub")
+    pairs = pairs.groupBy(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b")).agg(F.max(F.struct("n", "hub")).alias("h"))
+    pairs = pairs.select("a", "b", F.col("h.hub").alias("hub"), F.when(F.col("h.hub") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("other"), F.col("h.n").alias("n"))
+    return pairs.select("a", "b", "hub", "other", F.pmod(F.xxhash64("other"), F.ceil(F.col("n") / SALT)).cast("int").alias("salt"))
 
 
 def _common(left: np.ndarray, right: np.ndarray, doc: np.ndarray, feature: np.ndarray, x: np.ndarray, holders: np.ndarray) -> np.ndarray:
@@ -283,7 +313,7 @@ def _common(left: np.ndarray, right: np.ndarray, doc: np.ndarray, feature: np.nd
     return low
 
 
-def links_within(rows: list[tuple], heavy: np.ndarray, weight: np.ndarray) -> list[tuple]:
+def links_within(rows: list[tuple], level: np.ndarray) -> list[tuple]:
     """Links that join the components of a block, a spanning forest of all there are. ``rows``: (key, component, left, right, text); those of the left are compared with those of the right."""
     own = [shingles(r[4]) for r in rows]
     names: dict = {}
@@ -292,16 +322,18 @@ def links_within(rows: list[tuple], heavy: np.ndarray, weight: np.ndarray) -> li
     if not len(left) or not len(right) or len(names) < 2:
         return []
     # a shingle that occurs c times is c features, so that the least of two weights is what two texts share
-    level = [np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in own]
-    feature = np.concatenate([np.repeat(h, c) + k.astype("u8") * np.uint64(0x9E3779B97F4A7C15) for (h, c), k in zip(own, level, strict=True)])
-    x = np.concatenate([np.repeat(weigh(h, np.ones(len(h)), heavy, weight), c) for h, c in own])
+    nth = [np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) for _, c in own]
+    feature = np.concatenate([np.repeat(h, c) + k.astype("u8") * np.uint64(0x9E3779B97F4A7C15) for (h, c), k in zip(own, nth, strict=True)])
+    x = np.concatenate([np.repeat(weigh(h, np.ones(len(h)), level), c) for h, c in own])
     doc = np.repeat(np.arange(len(rows)), [c.sum() for _, c in own])
-    total = np.bincount(doc, x, len(rows))
     _, feature, holders = np.unique(feature, return_inverse=True, return_counts=True)
     kept = holders[feature] > 1
-    low = _common(left, right, doc[kept], feature[kept], x[kept], holders)
-    # what is single precision here is decided by the exact similarity below
-    near = low >= (THRESHOLD - 1e-3) * (total[left][:, None] + total[right][None, :] - low)
+    near = np.zeros((len(left), len(right)), bool)
+    for v in (x, np.ones(len(x))):
+        total = np.bincount(doc, v, len(rows))
+        low = _common(left, right, doc[kept], feature[kept], v[kept], holders)
+        # what is single precision here is decided by the exact similarity below
+        near |= low >= (THRESHOLD - 1e-3) * (total[left][:, None] + total[right][None, :] - low)
     near &= label[left][:, None] != label[right][None, :]
     out = []
     for i in np.flatnonzero(near.any(1)):
@@ -309,7 +341,7 @@ def links_within(rows: list[tuple], heavy: np.ndarray, weight: np.ndarray) -> li
         for b in right[near[i]]:
             if label[a] != label[b]:
                 (ha, ca), (hb, cb) = own[a], own[b]
-                if jaccard(ha, weigh(ha, ca, heavy, weight), hb, weigh(hb, cb, heavy, weight)) >= THRESHOLD:
+                if alike(ha, ca, hb, cb, level) >= THRESHOLD:
                     out.append(tuple(sorted((rows[a][0], rows[b][0]))))
                     label[label == label[b]] = label[a]
     return out
@@ -322,7 +354,7 @@ def _placed(members: DataFrame, found_nodes: DataFrame | None) -> DataFrame:
     return members.join(found_nodes, members.key == found_nodes.node, "left").withColumn("c", F.coalesce("component", "key")).drop("node", "component")
 
 
-def _compared(members: DataFrame, found_nodes: DataFrame | None, texts: DataFrame, heavy: np.ndarray, weight: np.ndarray) -> DataFrame:
+def _compared(members: DataFrame, found_nodes: DataFrame | None, texts: DataFrame, level: np.ndarray) -> DataFrame:
     """Links (a, b) between components from comparing mixed buckets whole; buckets of the same members are compared once."""
     placed = _placed(members.select("value", "key"), found_nodes)
     same = [F.bit_xor(F.xxhash64(F.lit(i), "key")).alias(f"h{i}") for i in (1, 2)]
@@ -347,7 +379,7 @@ def _compared(members: DataFrame, found_nodes: DataFrame | None, texts: DataFram
         at, held = None, []
 
         def linked() -> pa.RecordBatch:
-            found = links_within(held, heavy, weight)
+            found = links_within(held, level)
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
@@ -370,35 +402,33 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> Data
     """(doc_id, class_id, kept): the least doc_id of the document's class, and whether the document is the one that stays."""
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     keyed = rows.where("text IS NOT NULL").withColumn("key", F.unhex(F.md5(F.col("text"))))
-    heavy, weight = frequencies(rows.select("text"))
+    level = frequencies(rows.select("text"))
     with scratch.small_batches(docs.sparkSession):
-        signed = scratch.cut(signatures(keyed, heavy, weight), "signatures")
+        signed = scratch.cut(signatures(keyed, level), "signatures")
     nodes = scratch.cut(signed.groupBy("key").agg(F.min("doc_id").alias("least")), "nodes")
     bands = signed.where("bands IS NOT NULL").join(nodes, (signed.key == nodes.key) & signed.doc_id.eqNullSafe(nodes.least)).select(signed.key, "bands").dropDuplicates(["key"])
     spread = bands.select("key", F.posexplode("bands").alias("band", "v")).select("key", F.xxhash64("band", "v").alias("value"))
     sizes = scratch.cut(spread.groupBy("value").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     met = scratch.cut(spread.join(sizes, "value"), "bucket-members")
-    scratch.release(docs.sparkSession)
     involved = scratch.cut(met.select("key").distinct().join(nodes, "key"), "involved")
     members = scratch.cut(met.join(bands.join(involved, "key", "left_semi"), "key"), "bucket-signatures")
     k, i = _among(keyed, involved).alias("k"), involved.alias("i")
     texts = scratch.cut(k.join(i, (F.col("k.key") == F.col("i.key")) & F.col("k.doc_id").eqNullSafe(F.col("i.least"))).select("k.key", "k.text").dropDuplicates(["key"]), "candidate-texts")
     scratch.drop(met, sizes)
-    scratch.release(docs.sparkSession)
     tried, found, found_nodes, open_ = None, None, None, members
     for round_ in range(ROUNDS):
         pairs = _proposed(open_, round_)
         if tried is not None:
             side = lambda c, nodes_=found_nodes: nodes_.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
             pairs = pairs.join(tried, ["a", "b"], "left_anti").join(side("a"), "a", "left").join(side("b"), "b", "left")
-            pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        pairs = scratch.cut(pairs, "pairs")
+            pairs = pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        pairs = scratch.cut(pairs.select("hub", "other", "salt"), "pairs")
         asked, ends = texts, None
         if round_:  # few pairs are left: only their texts are moved
-            ends = scratch.cut(pairs.select(F.col("a").alias("key")).unionAll(pairs.select(F.col("b").alias("key"))).distinct(), "pair-keys")
+            ends = scratch.cut(pairs.select(F.col("hub").alias("key")).unionAll(pairs.select(F.col("other").alias("key"))).distinct(), "pair-keys")
             asked = texts.join(ends, "key", "left_semi")
         with scratch.small_batches(docs.sparkSession):
-            checked = scratch.cut(verified(pairs, asked, heavy, weight), "checked")
+            checked = scratch.cut(verified(pairs, asked, level), "checked")
         scratch.drop(pairs, *filter(None, (ends,)), *([open_] if round_ else []))
         new = checked.where("linked").select("a", "b")
         if new.isEmpty():
@@ -410,14 +440,12 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> Data
             scratch.drop(before)
         mixed = _placed(members, found_nodes).groupBy("value").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("value")
         open_ = scratch.cut(members.join(mixed, "value", "left_semi"), "open-members")
-        scratch.release(docs.sparkSession)
-    rest = _compared(members, found_nodes, texts, heavy, weight)
+    rest = _compared(members, found_nodes, texts, level)
     if not rest.isEmpty():
         found = rest if found is None else found.unionAll(rest)
         before, found_nodes = found_nodes, scratch.cut(components(found), "components")
         if before is not None:
             scratch.drop(before)
-    scratch.release(docs.sparkSession)
     if found is None:
         named = nodes.select("key", F.col("key").alias("component"), "least")
     else:
@@ -435,7 +463,6 @@ def dedupe(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataF
         return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("none")), F.lit(":"), F.hex(text_key))))
 
     stay = scratch.cut(classes(docs, text=text, key=key).where("kept AND key IS NOT NULL").select(name(F.col("doc_id"), F.col("key")).alias("__k")).distinct(), "stay")
-    scratch.release(docs.sparkSession)
     whole = F.col(f"`{text}`").cast("string")
     rows = docs.where(whole.isNotNull()).withColumn("__k", name(F.col(f"`{key}`").cast("long"), F.unhex(F.md5(whole))))
     # one exchange by __k serves the join and what follows; a null text is a class of its own row by row
