@@ -42,6 +42,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from attestor import scratch
 from attestor.llm.components import components
+from attestor.llm.filters import marked
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -56,8 +57,6 @@ FAN_IN = 256
 PART = 50_000
 #: Members of a bucket that meet its leader in one task, and pairs of a leader that are verified in one.
 SALT = 1024
-#: Bits of the filter that keeps most texts without candidates out of a shuffle; fixed, so that beyond some 10 million candidates it only stops helping.
-FILTER_BITS = 1 << 23
 ROUNDS = 6
 #: Texts and bytes of a cell of a bucket that is compared whole; a task holds two.
 CELL, CELL_BYTES = 2048, 4 << 20
@@ -247,17 +246,6 @@ def verified(pairs: DataFrame, texts: DataFrame, level: np.ndarray) -> DataFrame
     return found.select(F.least("hub", "other").alias("a"), F.greatest("hub", "other").alias("b"), "linked")
 
 
-def _among(rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """``rows`` (key, ...) whose key may be among ``keys``: a bitmap of hashed keys, 1 MB whatever their number, is sent to the rows."""
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS))
-    bitmap = keys.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    bitmap = scratch.cut(bitmap, "key-filter")  # FILTER_BITS / 8 bytes at most
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    hit = rows.withColumn("bucket", F.bitmap_bucket_number(bit)).join(F.broadcast(bitmap), "bucket")
-    return hit.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
-
-
 def _proposed(members: DataFrame, round_: int) -> DataFrame:
     """Pairs (a, b) with their hub, the other and salt, from members (value, key, bands, n).
 
@@ -412,7 +400,7 @@ def classes(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> Data
     met = scratch.cut(spread.join(sizes, "value"), "bucket-members")
     involved = scratch.cut(met.select("key").distinct().join(nodes, "key"), "involved")
     members = scratch.cut(met.join(bands.join(involved, "key", "left_semi"), "key"), "bucket-signatures")
-    k, i = _among(keyed, involved).alias("k"), involved.alias("i")
+    k, i = marked(keyed, involved, "key").where("__hit").alias("k"), involved.alias("i")
     texts = scratch.cut(k.join(i, (F.col("k.key") == F.col("i.key")) & F.col("k.doc_id").eqNullSafe(F.col("i.least"))).select("k.key", "k.text").dropDuplicates(["key"]), "candidate-texts")
     scratch.drop(met, sizes)
     tried, found, found_nodes, open_ = None, None, None, members

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from attestor import scratch
+from attestor.llm.filters import marked
 
 MAGIC, BREAK, END = "WARC/1.0\r\n", "\r\n", "\r\n\r\n"
 REVISIT_MIN = 100
@@ -47,8 +48,12 @@ def write(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", re
     )
     digest = F.sha2(F.col("html"), 256).alias("digest")
     seen = rows.where(F.octet_length("html") >= REVISIT_MIN).groupBy(digest).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    firsts = scratch.cut(seen.where("n > 1").select("digest", "first"), "warc-firsts")  # its size decides on a broadcast
-    typed = rows.withColumn("digest", digest).join(firsts, "digest", "left").withColumn("revisit", F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
+    firsts = scratch.cut(seen.where("n > 1").select("digest", "first"), "warc-firsts")
+    # a payload that can't be a repeated one isn't moved, however many digests repeat
+    told = marked(rows.withColumn("digest", digest), firsts, "digest")
+    alone = told.where(~F.col("__hit")).drop("__hit").withColumn("first", F.lit(None).cast("long"))
+    typed = told.where("__hit").drop("__hit").join(firsts, "digest", "left").select(*alone.columns).unionAll(alone)
+    typed = typed.withColumn("revisit", F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")))
     block = F.when(F.col("revisit"), F.lit(HTTP)).otherwise(F.concat(F.lit(HTTP), F.col("html")))
     typed.select(
         F.concat(
