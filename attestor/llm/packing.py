@@ -89,8 +89,8 @@ def _number(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf
 
 
-def plan(totals: dict[int, int], capacity: int) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int, int, int]]]:
-    """Per class its first sequence and its number of pieces in full ones; (class, piece, sequence, slot) of those left over."""
+def plan(totals: dict[int, int], capacity: int) -> tuple[dict[int, tuple[int, int]], list[tuple[int, int, int, int, int]]]:
+    """Per class its first sequence and its number of pieces in full ones; (class, piece, sequence, slot, offset) of those left over, the offset if all are as long as their class allows."""
     full, following = {}, 0
     for k in sorted(totals):
         full[k] = (following, totals[k] // k * k)
@@ -104,7 +104,7 @@ def plan(totals: dict[int, int], capacity: int) -> tuple[dict[int, tuple[int, in
             if at == len(room):
                 room.append(capacity)
                 used.append(0)
-            left.append((k, nth, following + at, used[at]))
+            left.append((k, nth, following + at, used[at], capacity - room[at]))
             room[at] -= size
             used[at] += 1
     return full, left
@@ -113,7 +113,8 @@ def plan(totals: dict[int, int], capacity: int) -> tuple[dict[int, tuple[int, in
 def pack(df: DataFrame, *, capacity: int = 2048, length: str = "length") -> DataFrame:
     """``df`` (a row per piece, lengths from 1 to the capacity) with sequence_id and offset; pieces that aren't numbered yet are numbered here."""
     kept = [f for f in df.schema.fields if f.name.lower() not in (*OWN, *NUMBERED)]
-    if set(NUMBERED) <= set(df.columns):
+    whole = set(NUMBERED) <= set(df.columns)  # pieces that were cut to their class's length
+    if whole:
         made = df.select(*(f"`{f.name}`" for f in kept), *NUMBERED)
     else:
         own = T.StructType([*kept, *(T.StructField(c, T.LongType()) for c in NUMBERED)])
@@ -127,14 +128,18 @@ def pack(df: DataFrame, *, capacity: int = 2048, length: str = "length") -> Data
     spark = df.sparkSession
     base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.partitionBy("__class").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     firsts = spark.createDataFrame([(k, a, n) for k, (a, n) in full.items()], "__class long, __first long, __full long")
-    rest = spark.createDataFrame(left, "__class long, __global long, __seq long, __slot long")
+    rest = spark.createDataFrame(left, "__class long, __global long, __seq long, __slot long, __at long")
     # both tables have bounds that depend on the capacity alone
     rows = numbered.join(base.select("__task", "__class", "__base"), ["__task", "__class"]).join(F.broadcast(firsts), "__class")
     rows = rows.withColumn("__global", F.col("__base") + F.col("__nth")).join(F.broadcast(rest), ["__class", "__global"], "left")
     rows = rows.withColumn("sequence_id", F.coalesce("__seq", F.col("__first") + F.expr("__global div __class")))
     rows = rows.withColumn("__slot", F.coalesce("__slot", F.col("__global") % F.col("__class")))
-    before = Window.partitionBy("sequence_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("offset", F.coalesce(F.sum(F.col(f"`{length}`")).over(before), F.lit(0)).cast("long"))
+    if whole:  # those of a sequence are equally long, or were placed on the driver: no exchange
+        offset = F.coalesce("__at", F.col("__slot") * F.col(f"`{length}`"))
+    else:
+        before = Window.partitionBy("sequence_id").orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+        offset = F.coalesce(F.sum(F.col(f"`{length}`")).over(before), F.lit(0))
+    rows = rows.withColumn("offset", offset.cast("long"))
     return rows.select(*(f"`{f.name}`" for f in kept), *OWN)
 
 
