@@ -32,7 +32,8 @@ SYMBOLS = "[#*$%&|<>]"
 LEAST = 200
 FEWEST = 20
 H = 0.75
-STEPS = 4
+#: Concentration stops when no determinant's logarithm changes by more than SETTLED, and after STEPS at the latest.
+STEPS, SETTLED = 20, 1e-3
 TAIL = 1e-9
 #: Per transformed statistic, the standard deviation that is added to the estimate's.
 FLOOR = (0.25, 0.15, 0.5, 1.0, 1.0)
@@ -167,7 +168,8 @@ def _squared(x: list[Column]) -> Column:
 def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     """The MCD estimate of every stratum from ``rows`` (stratum, x0, x1, ...)."""
     x = [f"x{i}" for i in range(P)]
-    middle = rows.groupBy("stratum").agg(*(F.percentile_approx(c, F.lit(0.5), F.lit(10_000)).alias(f"m{i}") for i, c in enumerate(x)))
+    # tables of a row per stratum are written before they are joined, so that Spark knows their size and sends them to the rows
+    middle = scratch.cut(rows.groupBy("stratum").agg(*(F.percentile_approx(c, F.lit(0.5), F.lit(10_000)).alias(f"m{i}") for i, c in enumerate(x))), "mcd-middle")
     spread = rows.join(middle, "stratum").groupBy("stratum").agg(*(F.percentile_approx(F.abs(F.col(c) - F.col(f"m{i}")), F.lit(0.5), F.lit(10_000)).alias(f"s{i}") for i, c in enumerate(x)), *(F.first(f"m{i}").alias(f"m{i}") for i in range(P)))
     zero = F.lit(0.0)
     diagonal = spread.select("stratum", F.lit(0).alias("n"), *(f"m{i}" for i in range(P)), *((F.sqrt((1.4826 * F.col(f"s{i}")) ** 2 + FLOOR[i] ** 2) if i == j else zero).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)))
@@ -177,10 +179,13 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     est = scratch.cut(robust.unionByName(plain), "mcd-start")
     for step in range(steps):
         near = rows.join(est, "stratum").select(*keys, *x, _squared([F.col(c) for c in x]).alias("d2"))
-        limit = near.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(H), F.lit(10_000)).alias("h"))
+        limit = scratch.cut(near.groupBy(*keys).agg(F.percentile_approx("d2", F.lit(H), F.lit(10_000)).alias("h")), "mcd-limit")
         inside = near.join(limit, keys).where(F.col("d2") <= F.col("h"))
         est, old = scratch.cut(_estimate(inside, keys, CONSISTENT), f"mcd-{step}"), est
-        scratch.drop(old)
+        change = est.join(old.select(*keys, F.col("logdet").alias("was")), keys).agg(F.max(F.abs(F.col("logdet") - F.col("was")))).first()[0]
+        scratch.drop(old, limit)
+        if change is None or change < SETTLED:
+            break
     best = est.groupBy("stratum").agg(F.min(F.struct("logdet", "start")).alias("b")).select("stratum", F.col("b.start").alias("start"))
     return est.join(best, keys).drop("start")
 
