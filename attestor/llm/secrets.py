@@ -6,7 +6,7 @@ their findings and joins findings back to all paths.
 
 Spans: Spark has no function for the positions of all matches, so each pattern wraps its matches in a marker that no pattern
 can match (occurrences in the text are first replaced by another character, one for one); splitting at the marker gives
-gaps and matches in turn, whose lengths add up to positions in code points.
+gaps and matches in turn, whose lengths add up to positions in code points (an interpreted fold over the parts, not generated code).
 
 Rules (fixed by the contract): ``assign``, ``access``, ``hex``; matches are leftmost and non-overlapping for each rule, and one that
 is too short is dropped without a second try.
@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from attestor import scratch
+from attestor.llm.filters import marked
 
 RULE_VERSION = "base-1"
 #: The kinds in the order that breaks ties of position.
@@ -54,9 +55,9 @@ def _positions(text: Column, pattern: str, rank: int, good: Column | None = None
 def scan(blobs: DataFrame, version: str = RULE_VERSION) -> DataFrame:
     """Findings (blob, rule_version, found) of blobs (blob, text); one row each, found may be empty."""
     text = F.translate(F.col("text"), _MARK, _OTHER)
-    marked = blobs.select("blob", F.when(F.col("text").contains(_MARK), text).otherwise(F.col("text")).alias("text"))
+    clean = blobs.select("blob", F.when(F.col("text").contains(_MARK), text).otherwise(F.col("text")).alias("text"))
     spans = [_positions(F.col("text"), p, i, F.lit(True) if p is ASSIGN else None) for i, p in enumerate((ASSIGN, ACCESS, HEX))]
-    return marked.select("blob", F.lit(version).alias("rule_version"), F.array_sort(F.concat(*spans)).alias("found"))
+    return clean.select("blob", F.lit(version).alias("rule_version"), F.array_sort(F.concat(*spans)).alias("found"))
 
 
 def empty_ledger(df: DataFrame) -> DataFrame:
@@ -64,11 +65,23 @@ def empty_ledger(df: DataFrame) -> DataFrame:
 
 
 def update(docs: DataFrame, ledger: DataFrame | None = None, *, key: str = "doc_id", version: str = RULE_VERSION) -> DataFrame:
-    """The findings for those blobs of ``docs`` that ``ledger`` hasn't under ``version``: what is to be appended to it."""
-    addressed = docs.select(F.col(key).alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    if ledger is not None:
-        addressed = addressed.join(ledger.where(F.col("rule_version") == version).select("blob"), "blob", "left_anti")
-    return scan(addressed.dropDuplicates(["blob"]).select("blob", "text"), version)
+    """The findings for those blobs of ``docs`` that ``ledger`` hasn't under ``version``: what is to be appended to it.
+
+    Blobs are counted by their hashes alone. A text that a filter tells not to be new goes at once, and one that another tells to be neither known nor
+    repeated is scanned where it is read; only texts that both leave open are brought together by blob (one of each task).
+    """
+    addressed = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("blob", F.unhex(F.sha2("text", 256)))
+    blobs = addressed.groupBy("blob").agg(F.count("*").alias("n"))
+    if ledger is None:
+        blobs = blobs.withColumn("known", F.lit(False))
+    else:
+        seen = ledger.where(F.col("rule_version") == version).select("blob", F.lit(True).alias("seen"))
+        blobs = blobs.join(seen, "blob", "left").select("blob", "n", F.coalesce("seen", F.lit(False)).alias("known"))
+    blobs = scratch.cut(blobs, "secret-blobs")
+    rows = addressed if ledger is None else marked(addressed, blobs.where(~F.col("known")), "blob").where("__hit").drop("__hit")
+    rows = marked(rows, blobs.where("n > 1 OR known"), "blob")
+    again = rows.where("__hit").select("blob", "text").dropDuplicates(["blob"]).join(blobs.where(~F.col("known")).select("blob"), "blob", "left_semi")
+    return scan(rows.where(~F.col("__hit")).select("blob", "text"), version).unionAll(scan(again, version))
 
 
 def join_back(docs: DataFrame, ledger: DataFrame, *, version: str = RULE_VERSION) -> DataFrame:
