@@ -7,8 +7,14 @@ the order of summation can't flip ties, and every order ends in a reference.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from attestor import scratch
 from attestor.functions import text as T
 
 # Fixed values of the ranking functions and budgets.
@@ -18,6 +24,8 @@ CROSS_LINGUAL_WEIGHT = 0.1
 SNIPPET = 500
 RERANK_DEPTH = 40
 DIGITS = 9
+#: Queries whose vectors a task holds at once.
+QUERY_BLOCK = 4096
 
 
 def postings(passages: DataFrame, vocabulary: DataFrame | None = None, ref: str = "ref", text: str = "text") -> DataFrame:
@@ -62,17 +70,70 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(passages: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, ref, score) for every passage vector and query vector of its width; vectors without length take no part.
+def cosine(passages: DataFrame, queries: DataFrame, k: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, ref, score) for every passage vector and query vector of its width, or for the k best of each query; vectors without length take no part.
 
-    Exhaustive by definition: each query scores every passage. The queries are the small side and are sent to the passages
-    while Spark's size limit allows it.
+    Exhaustive by definition: each query scores every passage. Queries are dealt in blocks of at most ``block``; a task holds a block as a matrix and
+    streams passages past it. The passages of one block stay where they are read; further blocks cost a copy of the passages each, dealt over all tasks.
     """
-    norm = lambda v: F.sqrt(dot(v, v))
-    p = passages.select("ref", F.col("vector").alias("v"), norm(F.col("vector")).alias("nv")).where("nv > 0")
-    q = queries.select("query_id", F.col("vector").alias("q"), norm(F.col("vector")).alias("nq")).where("nq > 0")
-    pairs = p.join(q, F.size("v") == F.size("q"))
-    return pairs.select("query_id", "ref", F.round(dot(F.col("v"), F.col("q")) / (F.col("nv") * F.col("nq")), DIGITS).alias("score"))
+    vector = lambda d, name: d.select(name, F.col("vector").cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
+    p, q = vector(passages, "ref"), scratch.cut(vector(queries, "query_id"), "query-vectors")
+    ref, query = passages.schema["ref"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {query}, ref {ref}, score double"
+
+    def scored(block_: dict[int, tuple[np.ndarray, np.ndarray]], pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for width, rows in pdf.groupby(pdf["v"].map(len)):
+            if width not in block_:
+                continue
+            ids, unit = block_[width]
+            m = np.stack(rows["v"])
+            m /= np.sqrt((m * m).sum(1))[:, None]
+            got = np.round(m @ unit.T, DIGITS)  # passages by queries
+            refs = rows["ref"].to_numpy()
+            if k is None or k >= len(refs):
+                yield pd.DataFrame({"query_id": np.tile(ids, len(refs)), "ref": np.repeat(refs, len(ids)), "score": got.ravel()})
+                continue
+            # of a batch no more than the k best of a query go on, with all that tie with the last of them
+            least = -np.partition(-got, k - 1, axis=0)[k - 1]
+            i, j = np.nonzero(got >= least)
+            yield pd.DataFrame({"query_id": ids[j], "ref": refs[i], "score": got[i, j]})
+
+    def matrices(rows: pd.DataFrame, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        out = {}
+        for width, own in rows.groupby(rows["v"].map(len)):
+            m = np.stack(own["v"])
+            out[width] = own[name].to_numpy(), m / np.sqrt((m * m).sum(1))[:, None]
+        return out
+
+    blocks = max(1, -(-q.count() // block))
+    if blocks == 1:
+        held = matrices(q.toPandas(), "query_id")  # at most ``block`` vectors
+
+        def stay(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield from scored(held, pdf)
+
+        return p.mapInPandas(stay, schema)
+
+    def stream(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, waiting, held = None, [], None
+        for pdf in batches:
+            for place, rows in pdf.groupby(["block", "salt"], sort=False):
+                if place != at:
+                    at, waiting, held = place, [], None
+                mine = rows["query_id"].notna()
+                if mine.any():
+                    waiting.append(rows[mine])
+                if not mine.all() and waiting:
+                    held = held or matrices(pd.concat(waiting).astype({"query_id": "int64"} if query == "bigint" else {}), "query_id")
+                    yield from scored(held, rows[~mine])
+
+    salts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    no = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(salts)).cast("int"))
+    rows = left.select("block", "salt", "query_id", no("ref", ref), "v").unionAll(right.select("block", "salt", no("query_id", query), "ref", "v"))
+    return rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("query_id").asc_nulls_last()).mapInPandas(stream, schema)
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -89,6 +150,37 @@ def fuse(lexical: DataFrame, vector: DataFrame, weights: DataFrame | None = None
     return ranked(both.select("query_id", "ref", "lexical_rank", "vector_rank", F.round(score, 12).alias("score"), via.alias("via")))
 
 
+def _placed(scores: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, ref, rank) of the wanted (query_id, ref) among their query's scores, by counting what is better instead of sorting all."""
+    own = scores.join(wanted, ["query_id", "ref"]).select("query_id", F.struct((-F.col("score")).alias("s"), "ref").alias("c"))
+    lists = scratch.cut(own.groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("cs")), "wanted-ranks")
+    better = F.size(F.filter("cs", lambda c: c < F.struct((-F.col("score")).alias("s"), F.col("ref"))))
+    counts = scores.join(lists, "query_id").groupBy("query_id", better.alias("p")).agg(F.count("*").alias("n"))
+    upto = counts.withColumn("n", F.sum("n").over(Window.partitionBy("query_id").orderBy("p")))  # as many rows as wanted ones
+    # the i-th wanted one (from 0) is preceded by itself and all rows with at most i better wanted ones
+    each = lists.select("query_id", F.posexplode("cs").alias("i", "c"))
+    return each.join(upto, (each.query_id == upto.query_id) & (each.i == upto.p)).select(each.query_id, F.col("c.ref").alias("ref"), F.col("n").cast("long").alias("rank"))
+
+
+def fuse_top(lexical: DataFrame, vector: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """The first k of ``fuse`` over whole rankings, from scores (query_id, ref, score), without sorting the legs.
+
+    Weights are at most 1. If the vector leg has k rows, the k-th has at least 1 / (60 + k), and what is beyond rank r in both legs less than 2 / (60 + r): so
+    only the first 2 (60 + k) of either leg matter. If it has fewer, all of them do, and of the rest the first k of the lexical leg. A leg's
+    rank of what the other leg brought in is counted.
+    """
+    reach = 2 * (RRF_K + k)
+    # read twice
+    lexical, vector = scratch.cut(lexical, "lexical-scores"), scratch.cut(vector, "vector-scores")
+    heads = [scratch.cut(ranked(leg, reach), "leg-head") for leg in (lexical, vector)]
+    full = []
+    for (leg, head), other in zip(zip((lexical, vector), heads, strict=True), reversed(heads), strict=True):
+        foreign = other.select("query_id", "ref").join(head.select("query_id", "ref"), ["query_id", "ref"], "left_anti")
+        full.append(head.select("query_id", "ref", F.col("rank").cast("long").alias("rank")).unionByName(_placed(leg, foreign)))
+    out = fuse(full[0], full[1], weights)
+    return out.where(F.col("rank") <= k)
+
+
 def language_weight(query_language: Column, corpus_language: Column) -> Column:
     """The lexical leg's weight: discounted only if both languages are known and differ."""
     known = query_language.isNotNull() & corpus_language.isNotNull()

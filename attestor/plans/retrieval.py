@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from attestor import scratch
 from attestor.functions import text as T
-from attestor.operators import retrieval as R
+from attestor.operators import lexical as L, retrieval as R
 from attestor.plans.catalog import query, read
 from attestor.plans.text import COUNTS_SQL, LANGUAGE_SQL
 
@@ -33,14 +34,27 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def index(spark: SparkSession, sf_dir: str) -> L.Index:
+    """The stored postings of the documents: built by the first query that needs them."""
+    return L.opened(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
+
+
 def lexical(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
-    return R.ranked(R.bm25(_passages(spark, sf_dir), _questions(spark, sf_dir)), k)
+    found, questions = index(spark, sf_dir), _questions(spark, sf_dir)
+    return L.top(found, questions, k) if k else R.ranked(L.scores(found, questions))
 
 
-def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cosine of every vector with those whose id is divisible by 50."""
+def vectors(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """Cosine of every vector with those whose id is divisible by 50, or those of them that are asked for (query_id)."""
     rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("vector"))
-    return R.cosine(rows, rows.where("ref % 50 = 0").select(F.col("ref").alias("query_id"), "vector"))
+    queries = rows.where("ref % 50 = 0").select(F.col("ref").alias("query_id"), "vector")
+    return R.cosine(rows, queries if asked is None else queries.join(asked, "query_id", "left_semi"), k)
+
+
+@query("lexical_index", f"WITH {BM25_SQL.replace('WHERE term IN (SELECT term FROM q) ', '')} SELECT term, df FROM df")
+def lexical_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms of the stored index with their document frequencies."""
+    return index(spark, sf_dir).terms.select("term", "df")
 
 
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, rank, ref, round(score, 6) AS score FROM lex WHERE rank <= 10")
@@ -48,14 +62,25 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical(spark, sf_dir, 10).select("query_id", F.col("rank").cast("long").alias("rank"), "ref", F.round("score", 6).alias("score"))
 
 
+def held_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, ref) of the documents that hold an item's text: of those that hold its rarest inner term. Its first and last term may be parts of others there."""
+    docs, items, found = _passages(spark, sf_dir), _questions(spark, sf_dir), index(spark, sf_dir)
+    inner = items.select("query_id", T.tokens(F.col("text")).alias("t")).where("size(t) > 2").select("query_id", F.explode(F.expr("slice(t, 2, size(t) - 2)")).alias("term"))
+    rarest = inner.join(found.terms, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).getField("term").alias("term"))
+    pairs = scratch.cut(found.postings.join(rarest, "term").select("query_id", "ref"), "verbatim-candidates")
+    item = items.select("query_id", F.col("text").alias("item"))
+    truth = docs.join(pairs, "ref").join(item, "query_id").where(F.col("text").contains(F.col("item"))).select("query_id", "ref")
+    short = scratch.cut(item.where(F.size(T.tokens(F.col("item"))) <= 2), "short-items")  # without an inner term: compared with every document
+    return truth.unionAll(docs.join(short, F.col("text").contains(F.col("item"))).select("query_id", "ref"))
+
+
 @query("bm25_recall", f"""WITH {BM25_SQL},
     truth AS (SELECT item_id AS query_id, doc_id AS ref FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
     hit AS (SELECT query_id, count(*) AS must, count(l.ref) AS found, min(rank) AS first_rank FROM truth LEFT JOIN (SELECT * FROM lex WHERE rank <= 10) l USING (query_id, ref) GROUP BY query_id)
     SELECT query_id, must, found, round(found / must, 6) AS recall_at_10, round(coalesce(1.0 / first_rank, 0), 6) AS mrr_at_10 FROM hit""")
 def bm25_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall and reciprocal rank of the lexical leg; the truth is which documents hold an item verbatim."""
-    docs, items = _passages(spark, sf_dir), _questions(spark, sf_dir)
-    truth = docs.join(F.broadcast(items.select("query_id", F.col("text").alias("item"))), F.col("text").contains(F.col("item"))).select("query_id", "ref")
+    truth = held_verbatim(spark, sf_dir)
     hits = truth.join(lexical(spark, sf_dir, 10).select("query_id", "ref", "rank"), ["query_id", "ref"], "left")
     out = hits.groupBy("query_id").agg(F.count("*").alias("must"), F.count("rank").alias("found"), F.min("rank").alias("r"))
     return out.select("query_id", "must", "found", F.round(F.col("found") / F.col("must"), 6).alias("recall_at_10"), F.round(F.coalesce(F.lit(1.0) / F.col("r"), F.lit(0.0)), 6).alias("mrr_at_10"))
@@ -63,7 +88,7 @@ def bm25_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("vector_topk", f"WITH {COSINE_SQL} SELECT query_id, rank, ref, round(score, 6) AS score FROM vec WHERE rank <= 10")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ranked(vectors(spark, sf_dir), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "ref", F.round("score", 6).alias("score"))
+    return R.ranked(vectors(spark, sf_dir, k=10), 10).select("query_id", F.col("rank").cast("long").alias("rank"), "ref", F.round("score", 6).alias("score"))
 
 
 _WEIGHTED = f"""
@@ -75,19 +100,18 @@ _FUSED = """
     fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ref) AS rank FROM f)"""
 
 
-def fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Lexical ranks of the items fused with the ranks of the vectors of the same ids, discounted where an item's language isn't the corpus's (English)."""
     items = _questions(spark, sf_dir)
     weights = items.select("query_id", R.language_weight(T.language(F.col("text")), F.lit("en")).alias("weight"))
-    vec = R.ranked(vectors(spark, sf_dir)).join(F.broadcast(items.select("query_id")), "query_id", "left_semi")
-    return R.fuse(lexical(spark, sf_dir), vec, weights)
+    return R.fuse_top(L.scores(index(spark, sf_dir), items), vectors(spark, sf_dir, items.select("query_id")), weights, k)
 
 
 @query("rrf_fusion", f"""WITH {BM25_SQL}, {COSINE_SQL}, {_WEIGHTED}, {_FUSED}
     SELECT query_id, rank, ref, lexical_rank, vector_rank, CASE WHEN vector_rank IS NULL THEN 'bm25' WHEN lexical_rank IS NULL THEN 'vector' ELSE 'both' END AS via, round(score, 9) AS score FROM fused WHERE rank <= 20""")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = lambda c: F.col(c).cast("long").alias(c)
-    return fused(spark, sf_dir).where("rank <= 20").select("query_id", long("rank"), "ref", long("lexical_rank"), long("vector_rank"), "via", F.round("score", 9).alias("score"))
+    return fused(spark, sf_dir, 20).select("query_id", long("rank"), "ref", long("lexical_rank"), long("vector_rank"), "via", F.round("score", 9).alias("score"))
 
 
 @query("budget_truncation", f"""WITH {BM25_SQL},

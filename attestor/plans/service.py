@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestor.operators import service as S
+from attestor.plans import retrieval as plans
 from attestor.plans.catalog import query, read
 from attestor.plans.policy import _DISC, _REQ, _registry, _requests
 
@@ -18,7 +19,7 @@ from attestor.plans.policy import _DISC, _REQ, _registry, _requests
 def investigation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each request comes to; only those that may proceed are searched."""
     passages = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), "text", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("locator"))
-    return S.investigate(_requests(spark, sf_dir), passages, *_registry(spark))[0].select("request_id", "status")
+    return S.investigate(_requests(spark, sf_dir), passages, *_registry(spark), index=plans.index(spark, sf_dir))[0].select("request_id", "status")
 
 
 @query("evidence_reads", """WITH w AS (SELECT c.conv_id, c.turn, c.conv_id * 7 + c.turn AS ref, 1 + turn * 20 AS a, 300 + turn * 30 AS b FROM conversations c),
@@ -36,3 +37,35 @@ def evidence_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("request_cursors", """SELECT conv_id, turn, 'sha256:' || sha256(to_json({'conv_id': conv_id, 'role': role, 'turn': turn})) AS request_hash, translate(to_base64(to_json({'conv_id': conv_id, 'role': role, 'turn': turn})::VARCHAR::BLOB), '+/', '-_') AS cursor FROM conversations""")
 def request_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.cursor(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role")).select("conv_id", "turn", "request_hash", "cursor")
+
+
+_OF_DOCUMENTS = plans.COSINE_SQL.replace("b.ref % 50 = 0", "b.ref % 50 = 0 AND a.ref IN (SELECT doc_id FROM documents)")
+_SEARCH = f"""{plans.BM25_SQL}, {_OF_DOCUMENTS}, {plans._WEIGHTED}, {plans._FUSED},
+    x AS (SELECT query_id, ref, rank, lexical_rank, vector_rank, text, coalesce(sum(least(length(text), 500)) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+          FROM fused JOIN (SELECT doc_id AS ref, text FROM documents) USING (ref) WHERE rank <= 21),
+    m AS (SELECT query_id, rank, ref, lexical_rank, vector_rank, substr(text, 1, least(500, 9000 - prior)::BIGINT) AS snippet FROM x WHERE rank <= 20 AND prior < 9000)"""
+
+
+def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Items as queries over the documents: those whose id is that of a vector divisible by 50 bring it along."""
+    vectors = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("vector"))
+    queries = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(vectors.where("ref % 50 = 0").withColumnRenamed("ref", "query_id"), "query_id", "left")
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ref"), "text", F.col("source").alias("locator"), F.col("doc_id").alias("document_ref"))
+    return S.search(docs.join(vectors, "ref", "left"), queries, index=plans.index(spark, sf_dir), corpus_language="en", max_candidates=20, max_extracted=9000)
+
+
+@query("hybrid_search", f"WITH {_SEARCH} SELECT query_id, rank, ref, lexical_rank, vector_rank, snippet FROM m")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both legs, discounted fusion and budgets in one call."""
+    long = lambda c: F.col(c).cast("long").alias(c)
+    return _search(spark, sf_dir)[0].select("query_id", long("rank"), "ref", long("lexical_rank"), long("vector_rank"), "snippet")
+
+
+@query("search_outcomes", f"""WITH {_SEARCH}, c AS (SELECT query_id, count(*) AS found FROM x GROUP BY ALL), mc AS (SELECT query_id, count(*) AS matches FROM m GROUP BY ALL),
+    o AS (SELECT w.query_id, code, weight, coalesce(matches, 0) AS matches, coalesce(found, 0) AS found, w.query_id IN (SELECT query_id FROM vec) AS has_vector, w.query_id IN (SELECT query_id FROM lex) AS has_lexical
+          FROM w JOIN l USING (query_id) LEFT JOIN c USING (query_id) LEFT JOIN mc USING (query_id)),
+    n AS (SELECT *, list_filter([CASE WHEN NOT has_lexical THEN 'lexical_leg_no_matches' END, CASE WHEN NOT has_vector THEN 'vector_leg_unavailable' END, CASE WHEN weight < 1 THEN 'lexical_leg_discounted:' || code || '_query_en_corpus' END,
+                 CASE WHEN found > matches THEN CASE WHEN matches >= 20 THEN 'max_candidates_exceeded' ELSE 'max_extracted_chars_exceeded' END END], lambda z: z IS NOT NULL) AS notes FROM o)
+    SELECT query_id, matches, array_to_string(notes, ',') AS notes, found > matches AS truncated, CASE WHEN len(list_filter(notes, lambda z: NOT starts_with(z, 'lexical_leg_discounted:'))) > 0 THEN 'partial' ELSE 'complete' END AS status FROM n""")
+def search_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir)[1].select("query_id", "matches", F.array_join("notes", ",").alias("notes"), "truncated", "status")
