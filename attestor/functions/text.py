@@ -23,6 +23,11 @@ SPANISH = (
     "hasta", "entre", "mas", "muy", "sin", "tambien", "cual", "quien", "nuestro", "nuestra", "el", "la", "lo", "al", "se", "su", "sus", "es", "un", "si", "ya", "pero", "todo",
 )
 LEAST_HITS = LEAST_MARGIN = 2
+# Accented letters and what they are folded to before markers are looked up.
+ACCENTS = ("áéíóúüñàèìòù", "aeiouunaeiou")
+
+# Lower-case letters that case folding changes further, of those that occur in prose.
+FOLDS = (("ß", "ss"), ("ς", "σ"), ("ŉ", "ʼn"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 
 # Advisory patterns by code, case-insensitive.
 ADVISORIES = (
@@ -50,8 +55,12 @@ def nfc(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def folded(text: Column) -> Column:
-    """Lower case with the one difference to case folding that occurs in prose; stays in generated code."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Case folding in generated code: lower case, and what folds further in texts that aren't ASCII."""
+    lower = F.lower(text)
+    whole = lower
+    for letter, folds in FOLDS:
+        whole = F.replace(whole, F.lit(letter), F.lit(folds))
+    return F.when(F.octet_length(text) == F.char_length(text), lower).otherwise(whole)
 
 
 def tokens(text: Column) -> Column:
@@ -64,7 +73,7 @@ def terms(text: Column) -> Column:
 
 def language(text: Column) -> Column:
     """'en', 'es' or null: at least two marker words and a lead of two."""
-    words = F.regexp_extract_all(F.translate(F.lower(text), "áéíóúüñàèìòù", "aeiouunaeiou"), F.lit("([a-z]+)"), F.lit(1))
+    words = F.regexp_extract_all(F.translate(F.lower(text), *ACCENTS), F.lit("([a-z]+)"), F.lit(1))
     en, es = (F.size(F.filter(words, lambda w: w.isin(*m))) for m in (ENGLISH, SPANISH))
     clear = (F.greatest(en, es) >= LEAST_HITS) & (F.abs(en - es) >= LEAST_MARGIN)
     return F.when(clear, F.when(en > es, "en").otherwise("es"))

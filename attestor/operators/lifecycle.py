@@ -68,3 +68,14 @@ def ceiling(legs: list[DataFrame], most: int, by: str) -> DataFrame:
         rows = rows.unionByName(leg.withColumn("leg", F.lit(i)))
     once = rows.groupBy(by, "ref").agg(F.min(F.struct("leg", "pos")).alias("o"))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("o", "ref"))).where(F.col("rank") <= most).select(by, "ref", "o.leg", "rank")
+
+
+def layered_digest(rows: DataFrame, by: str, line: Column, count: str, name: str) -> DataFrame:
+    """A digest per ``by`` over all lines of rows (key, line: a struct in the order of lines): lines are hashed in order within 65,536 buckets by the key's
+    own hash, then the buckets' digests in order. What a task gathers is a bucket's lines, or 65,536 digests.
+    """
+    dealt = rows.withColumn("bucket", F.substring(F.sha2("key", 256), 1, 4))
+    per = dealt.groupBy(by, "bucket").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("line", line.alias("text")))).alias("m"))
+    per = per.select(by, "bucket", "n", F.sha2(F.array_join("m.text", ""), 256).alias("h"))
+    out = per.groupBy(by).agg(F.sum("n").alias(count), F.array_sort(F.collect_list(F.concat("bucket", "h"))).alias("m"))
+    return out.select(by, count, F.sha2(F.array_join("m", ""), 256).alias(name))

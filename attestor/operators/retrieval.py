@@ -121,19 +121,19 @@ def cosine(passages: DataFrame, queries: DataFrame, k: int | None = None, block:
             for place, rows in pdf.groupby(["block", "salt"], sort=False):
                 if place != at:
                     at, waiting, held = place, [], None
-                mine = rows["query_id"].notna()
+                mine = rows["asks"]
                 if mine.any():
                     waiting.append(rows[mine])
                 if not mine.all() and waiting:
-                    held = held or matrices(pd.concat(waiting).astype({"query_id": "int64"} if query == "bigint" else {}), "query_id")
+                    held = held or matrices(pd.concat(waiting), "query_id")
                     yield from scored(held, rows[~mine])
 
     salts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    no = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    no = lambda name, kind: F.lit(0).cast(kind).alias(name)  # noqa: E731  not null, which would make floats of whole numbers
     left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = p.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(salts)).cast("int"))
-    rows = left.select("block", "salt", "query_id", no("ref", ref), "v").unionAll(right.select("block", "salt", no("query_id", query), "ref", "v"))
-    return rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("query_id").asc_nulls_last()).mapInPandas(stream, schema)
+    right = p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(salts)).cast("int"))
+    rows = left.select("block", "salt", F.lit(True).alias("asks"), "query_id", no("ref", ref), "v").unionAll(right.select("block", "salt", F.lit(False).alias("asks"), no("query_id", query), "ref", "v"))
+    return rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("asks")).mapInPandas(stream, schema)
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, weights: DataFrame | None = None) -> DataFrame:

@@ -80,12 +80,11 @@ def leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).select("id", F.round("share", 6).alias("share"), F.round("peak", 6).alias("peak"), "leaked")
 
 
-@query("leakage_bands", f"""WITH {_LEAK} SELECT peak >= 0.2 AS high, count(*) AS questions, round(avg(share), 6) AS mean_share, round(avg(peak), 6) AS mean_peak, count(*) FILTER (peak >= 0.5) AS over_gate, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids FROM lk WHERE peak IS NOT NULL GROUP BY 1""")
+@query("leakage_bands", f"""WITH {_LEAK} SELECT peak >= 0.2 AS high, count(*) AS questions, round(avg(share), 6) AS mean_share, round(avg(peak), 6) AS mean_peak, count(*) FILTER (peak >= 0.5) AS over_gate FROM lk WHERE peak IS NOT NULL GROUP BY 1""")
 def leakage_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _leaks(spark, sf_dir).where("peak IS NOT NULL").withColumn("high", F.col("peak") >= 0.2)
     return rows.groupBy("high").agg(
         F.count("*").alias("questions"), F.round(F.avg("share"), 6).alias("mean_share"), F.round(F.avg("peak"), 6).alias("mean_peak"), F.count_if(F.col("peak") >= M.LEAK_GATE).alias("over_gate"),
-        F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda i: i.cast("string")), ",").alias("ids"),
     )
 
 

@@ -51,17 +51,17 @@ def unreferenced_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PAIR = """
-    c AS (SELECT o_orderkey AS sha, o_custkey % 40 AS issue, 'Customer ' || (o_custkey % 17) AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'user' || (o_custkey % 17) END AS login, o_orderdate AS ats FROM orders),
-    i AS (SELECT c_custkey AS issue, 'user' || (c_custkey % 17) AS login, TIMESTAMP '1995-01-01' + to_days((c_custkey * 29 % 900)::INT) AS ats, c_custkey % 10 = 0 AS pull FROM customer WHERE c_custkey < 36),
+    c AS (SELECT o_orderkey AS sha, CASE WHEN o_orderkey % 25 = 0 THEN -1 - o_orderkey ELSE o_custkey END AS issue, 'Customer ' || (o_custkey % 17) AS name, CASE WHEN o_orderkey % 3 = 0 THEN 'user' || (o_custkey % 17) END AS login, o_orderdate AS ats FROM orders),
+    i AS (SELECT c_custkey AS issue, 'user' || (c_custkey % 17) AS login, TIMESTAMP '1995-01-01' + to_days((c_custkey * 29 % 900)::INT) AS ats, c_custkey % 10 = 0 AS pull FROM customer),
     j AS (SELECT c.sha, c.issue, CASE WHEN i.issue IS NULL THEN 'unknown_issue' WHEN pull THEN 'pull_request' WHEN c.login = i.login THEN 'same_author' WHEN i.ats >= c.ats THEN 'issue_not_earlier' END AS reason, c.ats FROM c LEFT JOIN i USING (issue))"""
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as commits that close an issue, the first customers as issues."""
+    """Orders as commits that close an issue, their customers as issues; some close one that nobody knows."""
     n = F.col("o_custkey") % 17
-    c = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), (F.col("o_custkey") % 40).alias("issue"), F.concat(F.lit("Customer "), n).alias("name"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("user"), n)).alias("login"), F.col("o_orderdate").alias("authored_at"))
+    c = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("sha"), F.when(F.col("o_orderkey") % 25 == 0, -1 - F.col("o_orderkey")).otherwise(F.col("o_custkey")).alias("issue"), F.concat(F.lit("Customer "), n).alias("name"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("user"), n)).alias("login"), F.col("o_orderdate").alias("authored_at"))
     k = F.col("c_custkey")
-    i = read(spark, sf_dir, "customer").where("c_custkey < 36").select(k.alias("issue"), F.concat(F.lit("user"), k % 17).alias("issue_login"), (F.lit("1995-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k * 29 % 900).cast("int"))).alias("created_at"), (k % 10 == 0).alias("pull"))
+    i = read(spark, sf_dir, "customer").select(k.alias("issue"), F.concat(F.lit("user"), k % 17).alias("issue_login"), (F.lit("1995-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((k * 29 % 900).cast("int"))).alias("created_at"), (k % 10 == 0).alias("pull"))
     rows = c.join(i, "issue", "left")
     reason = F.when(F.col("issue_login").isNull(), "unknown_issue").otherwise(L.independence(F.col("login"), F.col("issue_login"), F.col("name"), F.col("authored_at"), F.col("created_at"), F.col("pull")))
     return rows.withColumn("reason", reason)
@@ -110,12 +110,14 @@ def touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", F.array_join(F.transform("f", lambda x: x.cast("string")), ",").alias("files"))
 
 
-@query("database_fingerprint", "SELECT lang, count(*) AS docs, sha256(string_agg(sha256(doc_id || chr(0) || text), '' ORDER BY doc_id)) AS fingerprint FROM documents GROUP BY lang")
+@query("database_fingerprint", """WITH r AS (SELECT lang, substr(sha256(doc_id || ''), 1, 4) AS bucket, sha256(doc_id || chr(0) || text) AS h, doc_id FROM documents),
+    b AS (SELECT lang, bucket, count(*) AS docs, sha256(string_agg(h, '' ORDER BY doc_id)) AS h FROM r GROUP BY ALL)
+    SELECT lang, sum(docs)::BIGINT AS docs, sha256(string_agg(bucket || h, '' ORDER BY bucket)) AS fingerprint FROM b GROUP BY lang""")
 def database_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and a hash over rows in order; a group gathers 64 characters per document and no text."""
-    row = F.struct("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("\0"), F.col("text")), 256).alias("h"))
-    out = read(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.array_sort(F.collect_list(row)).alias("r"))
-    return out.select("lang", "docs", F.sha2(F.array_join(F.col("r.h"), ""), 256).alias("fingerprint"))
+    """Counts and a hash over rows, in two levels so that no task gathers more than a bucket's hashes."""
+    id_ = F.col("doc_id").cast("string")
+    rows = read(spark, sf_dir, "documents").select("lang", id_.alias("key"), F.struct("doc_id", F.sha2(F.concat(id_, F.lit("\0"), F.col("text")), 256).alias("h")).alias("line"))
+    return L.layered_digest(rows, "lang", F.col("line.h"), "docs", "fingerprint")
 
 
 @query("registry_order", """WITH d AS (SELECT p_partkey, p_brand, p_size, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_partkey) AS r, count(*) OVER (PARTITION BY p_brand, p_size) AS n FROM part)

@@ -88,8 +88,9 @@ def audit_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.audit_summary(_events(spark, sf_dir).withColumn("decision", F.col("event_type")), "decision")
 
 
-@query("dangerous_addresses")
+@query("dangerous_addresses", """WITH x AS (SELECT event_id, event_id % 256 AS a, user_id * 16 % 256 AS b, (event_id % 256) || '.' || (user_id * 16 % 256) || '.2.1' AS ip FROM events), n AS (SELECT *, a * 16777216 + b * 65536 + 2 * 256 + 1 AS n FROM x)
+    SELECT event_id, ip, a IN (0, 10, 127) OR a >= 224 OR n // 4194304 = (100 * 256 + 64) // 64 OR n // 65536 IN (169 * 256 + 254, 192 * 256 + 168) OR n // 1048576 = (172 * 256 + 16) // 16 OR n // 131072 = (198 * 256 + 18) // 2 OR n // 256 IN (192 * 65536, 192 * 65536 + 2) AS dangerous FROM n""")
 def dangerous_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL: address classes come from a registry in Python; tests/test_research.py compares them."""
-    ip = F.concat_ws(".", F.col("event_id") % 256, F.col("user_id") % 256, F.lit(1), F.lit(1))
+    """Address classes come from a registry in Python; the reserved ranges as integers must agree with it."""
+    ip = F.concat_ws(".", F.col("event_id") % 256, F.col("user_id") * 16 % 256, F.lit(2), F.lit(1))
     return read(spark, sf_dir, "events").select("event_id", ip.alias("ip"), R.dangerous_ip(ip).alias("dangerous"))

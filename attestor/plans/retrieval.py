@@ -10,7 +10,7 @@ from attestor.operators import lexical as L, retrieval as R
 from attestor.plans.catalog import query, read
 from attestor.plans.text import COUNTS_SQL, LANGUAGE_SQL
 
-_TOKENS = "regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{L}\\p{N}_]+')"
+_TOKENS = "regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[\\p{L}\\p{N}_]+')"
 BM25_SQL = f"""
     q AS (SELECT item_id AS query_id, unnest(list_distinct({_TOKENS})) AS term FROM benchmark),
     d AS (SELECT doc_id AS ref, {_TOKENS} AS t FROM documents),

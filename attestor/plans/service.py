@@ -13,7 +13,7 @@ from attestor.plans.policy import _DISC, _REQ, _registry, _requests
 @query("investigation_status", f"""WITH {_REQ}, {_DISC},
     sz AS (SELECT *, CASE WHEN length(trim(task)) = 0 THEN 'e' WHEN length(task) > 4096 THEN 'e' END AS bad FROM ru),
     d AS (SELECT request_id, unnest(list_distinct(regexp_extract_all(replace(lower(task), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'))) AS term FROM sz WHERE bad IS NULL AND rule = 5),
-    p AS (SELECT DISTINCT unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
+    p AS (SELECT DISTINCT unnest(regexp_extract_all(replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ'), '[\\p{{L}}\\p{{N}}_]+')) AS term FROM documents),
     hit AS (SELECT DISTINCT request_id FROM d JOIN p USING (term))
     SELECT request_id, CASE WHEN bad IS NOT NULL THEN 'error' WHEN rule = 2 OR (rule = 1 AND NOT has_evidence) THEN 'abstained' WHEN rule < 5 THEN 'route_only' WHEN request_id IN (SELECT request_id FROM hit) THEN 'complete' ELSE 'partial' END AS status FROM sz""")
 def investigation_status(spark: SparkSession, sf_dir: str) -> DataFrame:

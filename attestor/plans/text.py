@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from attestor.functions import text as T
+from attestor.operators import lifecycle as L
 from attestor.plans.catalog import query, read
 
-_FOLD = "replace(lower(text), 'ß', 'ss')"
+_FOLD = "replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ')"
 _EN, _ES = (", ".join(f"'{w}'" for w in words) for words in (T.ENGLISH, T.SPANISH))
 _WORDS = "regexp_extract_all(translate(lower(text), 'áéíóúüñàèìòù', 'aeiouunaeiou'), '[a-z]+')"
 LANGUAGE_SQL = f"""CASE WHEN greatest(en, es) >= {T.LEAST_HITS} AND abs(en - es) >= {T.LEAST_MARGIN} THEN CASE WHEN en > es THEN 'en' ELSE 'es' END END"""
@@ -98,13 +99,14 @@ def content_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("manifest_hash", """
-    WITH m AS (SELECT source, source || '/' || doc_id AS p, sha256(text) AS h FROM documents)
-    SELECT source, count(*) AS files, sha256(string_agg(p || chr(0) || h || chr(10), '' ORDER BY p)) AS manifest_hash FROM m GROUP BY source""")
+    WITH m AS (SELECT source, source || '/' || doc_id AS p, sha256(text) AS h FROM documents),
+    b AS (SELECT source, substr(sha256(p), 1, 4) AS bucket, count(*) AS files, sha256(string_agg(p || chr(0) || h || chr(10), '' ORDER BY p)) AS h FROM m GROUP BY ALL)
+    SELECT source, sum(files)::BIGINT AS files, sha256(string_agg(bucket || h, '' ORDER BY bucket)) AS manifest_hash FROM b GROUP BY source""")
 def manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per source the hash over its files' paths and hashes in order; only those short lines are gathered, no text."""
-    line = F.struct(F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("p"), F.sha2("text", 256).alias("h"))
-    rows = read(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.array_sort(F.collect_list(line)).alias("m"))
-    return rows.select("source", "files", F.sha2(F.array_join(F.transform("m", lambda x: F.concat(x["p"], F.lit("\0"), x["h"], F.lit("\n"))), ""), 256).alias("manifest_hash"))
+    """Per source the layered hash over its files' paths and hashes; only those short lines are gathered, no text, and a bucket of them at a time."""
+    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
+    rows = read(spark, sf_dir, "documents").select("source", path.alias("key"), F.struct(path.alias("p"), F.sha2("text", 256).alias("h")).alias("line"))
+    return L.layered_digest(rows, "source", F.concat("line.p", F.lit("\0"), "line.h", F.lit("\n")), "files", "manifest_hash")
 
 
 _HITS = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{c}' END" for c, p in T.ADVISORIES)

@@ -1,6 +1,6 @@
 """Commit history to markdown documents: a text scan split at the log's separators.
 
-Expects ``git log --no-merges --format='%H%x00%ad%x00%an%x00%s%x00%b%x01' --date=short``, one or many files of it.
+Expects ``git log --no-merges --format='%H%x00%ad%x00%an%x00%s%x00%b%x01' --date=iso-strict``, one or many files of it.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ def documents(found: DataFrame, files: DataFrame | None = None) -> DataFrame:
         rows = rows.join(listed, "sha", "left")
     else:
         rows = rows.withColumn("files", F.lit(None).cast("array<string>"))
-    name = F.concat(F.concat_ws("-", "date", F.substring("sha", 1, 8), T.slug(F.col("subject"))), F.lit(".md"))
-    touched = F.when(F.size("files") > 0, F.concat(F.lit("\n\n## Files\n\n- "), F.array_join("files", "\n- "))).otherwise(F.lit(""))
-    text = F.concat(F.lit("# "), F.col("subject"), F.lit("\n\n"), F.substring("body", 1, BODY_CAP), touched, F.lit("\n"))
+    name = F.concat(F.concat_ws("-", F.substring("date", 1, 10), F.substring("sha", 1, 8), T.slug(F.col("subject"))), F.lit(".md"))
+    touched = F.coalesce(F.array_join(F.transform("files", lambda f: F.concat(F.lit("- `"), f, F.lit("`\n"))), ""), F.lit(""))
+    decided = F.concat(F.lit("**Decided:** "), F.substring("date", 1, 10), F.lit(" · **Commit:** `"), F.substring("sha", 1, 12), F.lit("` · **Author:** "), "author")
+    text = F.concat(F.lit("# "), F.col("subject"), F.lit("\n\n"), decided, F.lit("\n\n"), F.substring("body", 1, BODY_CAP), F.lit("\n\n## Files this decision touched\n"), touched)
     return rows.select("sha", name.alias("name"), text.alias("text"))
 
 

@@ -71,7 +71,9 @@ def test_git_log(spark, tmp_path):
     found = gitlog.commits(spark, f"file://{tmp_path}/log")
     files = spark.createDataFrame([("a" * 40, f"f{i:02}") for i in range(20)] * 2, "sha string, file string")
     doc = gitlog.documents(found, files).collect()
-    assert [d.name for d in doc] == ["2024-01-02-aaaaaaaa-fix-the-thing.md"] and doc[0].text.count("- f") == 12 and "because\nso" in doc[0].text
+    assert [d.name for d in doc] == ["2024-01-02-aaaaaaaa-fix-the-thing.md"] and doc[0].text == (
+        "# Fix: the Thing!\n\n**Decided:** 2024-01-02 · **Commit:** `aaaaaaaaaaaa` · **Author:** Ann\n\nbecause\nso\n\n## Files this decision touched\n" + "".join(f"- `f{i:02}`\n" for i in range(12))
+    )
     assert tuple(gitlog.coverage(found).first()) == (2, 1)
 
 
@@ -86,6 +88,7 @@ def test_generations(spark, tmp_path):
         store.promote(names[-1], one.selectExpr("ref", f"concat(text, '{i}') AS text"))
     assert store.pointer() == {"version": 1, "active": names[3], "retained": [names[2], names[1]]}
     assert store.prune() == [names[0]]
+    assert store.metadata(names[3])["passages"] == 2
     bad = store.build(one.unionAll(one))
     with pytest.raises(generations.GenerationError, match="duplicate"):
         store.promote(bad)
@@ -93,3 +96,42 @@ def test_generations(spark, tmp_path):
     with pytest.raises(generations.GenerationError, match="identity"):
         generations.Store(spark, f"file://{tmp_path}", "other").open()
     assert lifecycle.differences(one, one).isEmpty()
+
+
+def test_incremental_build_embeds_only_what_is_new(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(texts):
+        calls.add(len(texts))
+        return [[float(len(t)), 1.0] for t in texts]
+
+    schema = "ref string, document_ref string, source_hash string, text string"
+    one = spark.createDataFrame([(f"r{i}", f"d{i // 2}", f"h{i // 2}", "x" * i) for i in range(10)], schema)
+    two = spark.createDataFrame([(f"r{i}", f"d{i // 2}", f"h{i // 2}" if i < 8 else "new", "x" * i) for i in range(12)], schema)
+    identity = generations.Identity("model", "weights-1")
+    store = generations.Store(spark, f"file://{tmp_path}", identity)
+    store.promote(store.build(one, embed, dimensions=2))
+    assert store.metadata()["reused"] == 0
+    before = calls.value
+    name = store.build(two, embed, dimensions=2)
+    assert calls.value - before == 4 and store.metadata(name)["reused"] == 8
+    store.promote(name)
+    assert {(r.ref, tuple(r.vector)) for r in store.open().collect()} == {(f"r{i}", (float(i), 1.0)) for i in range(12)}
+    other = generations.Store(spark, f"file://{tmp_path}", generations.Identity("model", "weights-2"))
+    assert other.metadata(other.build(two, embed, dimensions=2))["reused"] == 0
+    with pytest.raises(Exception, match="invalid_embedding_output"):
+        store.build(spark.createDataFrame([("z", "dz", "hz", "t")], schema), lambda texts: [[1.0]], dimensions=2)
+
+
+def test_pointer_moves_are_locked_and_errors_do_not_drop_generations(spark, tmp_path, monkeypatch):
+    store = generations.Store(spark, f"file://{tmp_path}", "hash-64")
+    one = spark.createDataFrame([("r1", "a")], "ref string, text string")
+    first, second = store.build(one), store.build(one)
+    store.promote(first)
+    with store.locked():
+        with pytest.raises(generations.GenerationError, match="locked"):
+            store.promote(second)
+    monkeypatch.setattr(store, "validate", lambda name, expected=None, key="ref": (_ for _ in ()).throw(OSError("transient")) if name == first else None)
+    with pytest.raises(OSError):
+        store.promote(second)
+    assert store.pointer()["active"] == first
