@@ -40,14 +40,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of each document, counted in flat token files; the files hold no doc_id, so it comes from the rows' order when they were written."""
+    """Ids of each document, counted in flat token files; the files hold no doc_id, so it comes from the rows' order when they were written, checked by bytes."""
     docs, path = table(spark, sf_dir, "documents"), scratch.new_path(spark, "tokens")
     tokenfiles.write(docs, path, tokenizer=tokens.byte_bpe())
-    counted = tokenfiles.counts(spark, path)
-    # the same scan has the same partitions and order of rows
-    written = docs.select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth"))
+    counted = tokenfiles.counts(spark, path, tokenizer=tokens.byte_bpe())
+    # the same scan has the same partitions and order of rows, or the bytes of texts and of ids differ
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth")
+    written = docs.select("doc_id", F.octet_length(whole_text(docs)).alias("text_bytes"), F.spark_partition_id().alias("part"), place)
     both = written.join(counted, ["part", "nth"], "full")
-    same = F.assert_true(F.col("n_tokens").isNotNull() & F.col("closed"), F.lit("files and rows differ"))
+    same = F.assert_true(F.coalesce(F.col("closed") & (F.col("n_bytes") == F.col("text_bytes")), F.lit(False)), F.lit("files and rows differ"))
     return both.where(F.coalesce(same.cast("string"), F.lit("")) == "").select("doc_id", "n_tokens", F.regexp_extract("file", r"[^/]*$", 0).alias("file"), "start")
 
 

@@ -34,6 +34,11 @@ class Encoder:
         byte, special = _letters(), {t["content"]: t["id"] for t in model["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
         self._special = tuple(special)
+        self.lengths = np.zeros(max(*ranks.values(), *special.values(), 0) + 1, "i8")  # UTF-8 bytes that each id stands for
+        for token, i in ranks.items():
+            self.lengths[i] = len(token)
+        for content, i in special.items():
+            self.lengths[i] = len(content.encode())
         self._bpe = tiktoken.Encoding("byte_bpe", pat_str=PRETOKENS, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> bytes:
