@@ -9,9 +9,9 @@ def by_hand(cells, shards, vnodes, slack, seed):
     owner = sharding.ring(shards, vnodes, seed)
     room, held, out = sharding.bounds(len(cells), shards, slack), Counter(), []
     for cell in sorted(cells):
-        at = cell % sharding.SEGMENTS
+        at = cell % (1 << sharding.MIN_BITS)
         while owner[at] is None or held[owner[at]] >= room[owner[at]]:
-            at = (at + 1) % sharding.SEGMENTS
+            at = (at + 1) % (1 << sharding.MIN_BITS)
         out.append((cell, owner[at], held[owner[at]]))
         held[owner[at]] += 1
     return out
@@ -51,3 +51,22 @@ def test_query(spark):
     held = Counter(r.shard for r in rows)
     assert max(held.values()) - min(held.values()) <= 1 and {r.law for r in rows} == {"rows"}
     assert rows == queries.op1_sharding(spark, "/root/testdata/sf0.001").collect() or sorted(rows) == sorted(queries.op1_sharding(spark, "/root/testdata/sf0.001").collect())
+
+
+def test_null_ids_are_spread_and_tied_rows_take_slots_of_their_own(spark, monkeypatch):
+    rows = [(None, i, "x") for i in range(3000)] + [(5, 1, "x"), (5, 1, "x"), (5, 2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, size int, slot string")
+    code = sharding.cell_of(df.doc_id, 1, ties=(df["size"],))
+    assert df.where("doc_id IS NULL").select(code.alias("c")).distinct().count() > 2000
+    got = sharding.assign(df, "doc_id", 16, ties=("size",))
+    assert got.columns == ["doc_id", "size", "home_shard", "shard", "slot"]
+    held = Counter(r.shard for r in got.collect())
+    assert max(held.values()) - min(held.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in got.collect()) == [(s, i) for s in sorted(held) for i in range(held[s])]
+    assert Counter(got.collect()) == Counter(sharding.assign(df.repartition(9), "doc_id", 16, ties=("size",)).collect())
+
+
+def test_segments_follow_nodes_and_rows():
+    assert sharding.bits_for(1000, 16, 64) == sharding.bits_for(1000, 64, 64) == 12 and sharding.bits_for(1000, 100, 64) == 13
+    assert sharding.bits_for(10**9, 16, 64) == 14 and sharding.bits_for(10**13, 16, 64) == sharding.MAX_BITS
+    assert len({s for s in sharding.ring(500, 64, 1, 15) if s is not None}) == 500
