@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | None = None, name: str = "attestor", memory: str = "8g") -> SparkSession:
     """A local session with the settings every operator here is tested under."""
+    # driver and executors are one process here, so any folder is shared
+    shared = "file://" + tempfile.mkdtemp(prefix="attestor-")
     cpus = cpus or int(os.environ.get("BENCH_CPUS", "8"))
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -18,6 +21,7 @@ def local_session(cpus: int | None = None, name: str = "attestor", memory: str =
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", memory)
+        .config("spark.checkpoint.dir", shared)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), docs in the columns of ``documents``, and returns a DataFrame; all but the last return those columns
 again. ``run`` writes each stage's result to the shared folder and rereads it as the next one's docs.
+
+Defined cases, for every stage: further columns of docs are left out, whatever they are called; an empty table gives an empty result; texts of any length are taken
+whole. Null and empty texts fail the quality rules; where a later stage is given them, near-duplicates keeps each null text and one empty one, personal data leaves them as they are,
+mixing takes no words of them, and packing packs them as the end id alone. Null ids, languages and sources are values like others. Of rows that repeat an id and its text
+near-duplicates keeps one; the other stages treat repeated rows as documents of their own. Ties (equal ids with other texts) are documents of their own.
 """
 
 from __future__ import annotations
@@ -14,8 +19,8 @@ from attestor import scratch
 from attestor.llm import mixing, neardup, packing, pii, quality, tokens
 from attestor.llm.tables import DOCUMENT_COLUMNS, table
 
-#: SQL can express neither the MCD verdicts, nor the sampled candidates, nor the classifier, nor the tokenizer; tests/llm/test_pipeline.py
-#: holds the stages against brute-force versions.
+#: SQL can express neither the MCD verdicts, nor the sampled candidates, nor the classifier, nor the tokenizer; tests/llm/test_pipeline_brute.py
+#: holds each stage against plain Python that shares no code with the operators.
 ORACLE_SQL = None
 
 
