@@ -95,3 +95,19 @@ def cursor(request_id: Column, ref: Column, position: Column) -> Column:
     """A URL-safe cursor of canonical JSON."""
     body = F.to_json(F.struct(position.alias("position"), ref.alias("ref"), request_id.alias("request_id")))
     return F.translate(F.regexp_replace(F.base64(body.cast("binary")), "[\r\n]", ""), "+/", "-_")
+
+
+def notes(ranking: DataFrame) -> DataFrame:
+    """(query_id, document, rank, via): documents in the order of their best passage (query_id, document, rank, via), labelled by the leg that found it."""
+    best = ranking.groupBy("query_id", "document").agg(F.min(F.struct("rank", "via")).alias("b"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("b.rank", "document"))
+    return best.select("query_id", "document", place.alias("rank"), F.col("b.via").alias("via"))
+
+
+def report(summary: DataFrame, order: str) -> DataFrame:
+    """A summary as the lines of a markdown table (line, text): a heading, a rule and a line per row, in ``order``; null is a dash."""
+    row = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    names = summary.columns
+    head = summary.sparkSession.range(1).select(F.explode(F.array(F.struct(F.lit(0).alias("line"), row([F.lit(c) for c in names]).alias("text")), F.struct(F.lit(1).alias("line"), row([F.lit("---")] * len(names)).alias("text")))).alias("x")).select("x.*")
+    place = F.row_number().over(Window.orderBy(order)) + 1  # a summary has few rows
+    return head.unionByName(summary.select(place.alias("line"), row([F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in names]).alias("text")))

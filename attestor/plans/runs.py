@@ -210,3 +210,21 @@ def policy_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(k % 8 == 0, F.concat(F.lit("docs/"), n, F.lit(".md"))).when(k % 8 == 1, F.concat(F.lit("docs/draft-"), k, F.lit(".md"))).when(k % 8 == 2, F.concat(F.lit("notes/"), n)).when(k % 8 == 3, "docs/Archive/x.md")
     path = path.when(k % 8 == 4, "docs/.git/x.md").when(k % 8 == 5, "../docs/x.md").when(k % 8 == 6, "/docs/x.md").otherwise(F.concat(F.lit("src/"), n, F.lit(".md")))
     return read(spark, sf_dir, "part").select("p_partkey", path.alias("path")).withColumn("reason", _POLICY.reason(F.col("path")))
+
+
+@query("note_labels", """WITH r AS (SELECT user_id AS query_id, event_id % 7 AS document, event_type AS via, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events),
+    b AS (SELECT query_id, document, min(rank) AS first, arg_min(via, rank) AS via FROM r GROUP BY ALL) SELECT query_id, document, row_number() OVER (PARTITION BY query_id ORDER BY first) AS rank, via FROM b""")
+def note_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a fused ranking, each with the label of its best passage."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    ranking = read(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), (F.col("event_id") % 7).alias("document"), F.col("event_type").alias("via"), place.alias("rank"))
+    return U.notes(ranking).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query("report_lines", """WITH g AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS passed, count(*) FILTER (o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderstatus = 'P') AS not_validated FROM orders GROUP BY 1)
+    SELECT 0 AS line, '| o_orderpriority | passed | failed | not_validated |' AS text UNION ALL SELECT 1, '| --- | --- | --- | --- |' UNION ALL SELECT (row_number() OVER (ORDER BY o_orderpriority) + 1)::INT, '| ' || o_orderpriority || ' | ' || passed || ' | ' || failed || ' | ' || not_validated || ' |' FROM g""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gate matrix as a markdown table."""
+    return U.report(gate_matrix(spark, sf_dir), "o_orderpriority")

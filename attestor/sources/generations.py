@@ -217,3 +217,27 @@ class Store:
         for n in gone:
             self._fs().delete(self._path(n), True)
         return gone
+
+    def report(self) -> DataFrame:
+        """What a check-up finds (check, status, detail); nothing is changed: the pointer, the active generation, the retained ones, what pruning would delete."""
+        rows = []
+        try:
+            now = self.pointer()
+            rows.append(("pointer", "ok", "absent" if now["active"] is None else "present"))
+        except (GenerationError, ValueError) as error:
+            return self.spark.createDataFrame([("pointer", "fail", str(error))], "check string, status string, detail string")
+        if now["active"] is None:
+            rows.append(("active", "fail", "no_active_generation"))
+        else:
+            for label, name in [("active", now["active"]), *(("retained", n) for n in now["retained"])]:
+                try:
+                    self.validate(name)
+                    rows.append((label, "ok", name))
+                except GenerationError as error:
+                    rows.append((label, "fail", f"{name}:{error}"))
+                except AnalysisException as error:
+                    rows.append((label, "fail", f"{name}:{error.getCondition()}"))
+        named = {now["active"], *now["retained"]}
+        gone = [n for n in (s.getPath().getName() for s in self._fs().listStatus(self._path("."))) if _NAME.match(n) and n not in named]
+        rows.append(("unreferenced", "ok" if not gone else "warn", str(len(gone))))
+        return self.spark.createDataFrame(rows, "check string, status string, detail string")

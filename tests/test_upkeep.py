@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestor import scratch
-from attestor.operators import maintenance as M, runs as U
+from attestor.operators import maintenance as M, runs as U, service as S
+from attestor.sources import generations, packs
 from attestor.sources.policy import Policy, PolicyError
 
 
@@ -55,3 +56,39 @@ def test_tables_cut_leave_no_trace_once_cleared(spark):
     scratch.drop(table)
     with pytest.raises(Exception):
         table.collect()
+
+
+def test_signed_packs_are_accepted_and_forged_ones_are_not():
+    # the first two vectors of RFC 8032, section 7.1
+    for secret, public, message, signature in (
+        ("9d61b19deffd5a60ba844af492ec2cc44449c5697b326919703bac031cae7f60", "d75a980182b10ab7d54bfed3c964073a0ee172f3daa62325af021a68f707511a", "", "e5564300c360ac729086e2cc806e828a84877f1eb8e5d974d873e065224901555fb8821590a33bacc61e39701cf9b46bd25bf5f0595bbe24655141438e7a100b"),
+        ("4ccd089b28ff96da9db6c346ec114e0f5b8a319f35aba624da8cf6ed4fb8a6fb", "3d4017c3e843895a92b70aa74d1b7ebc9c982ccf2ec4968cc0cd55f12af4660c", "72", "92a009a9f0d4cab8720e820b5f642540a2b27b5416503f8fb3762223ebdb69da085ac1e43e15996e458f3613d0f11d8c387b2eaeb4302aeeb00d291612bb0c00"),
+    ):
+        assert packs.public_key(bytes.fromhex(secret)).hex() == public and packs.sign(bytes.fromhex(secret), bytes.fromhex(message)).hex() == signature
+    secret, public = packs.generate_key()
+    manifest = packs.signed_manifest(b"pack", "me", secret, "p", "1.0.0")
+    packs.check_manifest(b"pack", manifest, {"me": public.hex()}, "p", "1.0.0")
+    with pytest.raises(packs.PackError, match="digest_mismatch"):
+        packs.check_manifest(b"pack!", manifest, {"me": public.hex()}, "p", "1.0.0")
+    with pytest.raises(packs.PackError, match="invalid_signature"):
+        packs.check_manifest(b"pack", manifest | {"signature": packs.sign(packs.generate_key()[0], b"x").hex()}, {"me": public.hex()}, "p", "1.0.0")
+
+
+def test_a_failing_embedder_leaves_its_query_without_a_vector(spark):
+    def embed(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError
+        return [None if t == "none" else [1, len(t)] for t in texts]
+
+    rows = S.embedded(spark.createDataFrame([(1, "ab"), (2, "bad"), (3, "none")], "query_id int, text string").coalesce(1), embed).orderBy("query_id").collect()
+    assert [(r.vector, r.vector_note) for r in rows] == [([1.0, 2.0], None), (None, "vector_leg_failed:RuntimeError"), (None, "vector_leg_unavailable")]
+
+
+def test_report_of_a_store(spark, tmp_path):
+    store = generations.Store(spark, f"file://{tmp_path}", "m")
+    assert [(r.check, r.status) for r in store.report().collect()] == [("pointer", "ok"), ("active", "fail"), ("unreferenced", "ok")]
+    one = spark.createDataFrame([("r1", "a")], "ref string, text string")
+    for _ in range(2):
+        store.promote(store.build(one))
+    store.build(one)
+    assert [(r.check, r.status) for r in store.report().collect()] == [("pointer", "ok"), ("active", "ok"), ("retained", "ok"), ("unreferenced", "warn")]
