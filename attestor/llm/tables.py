@@ -15,11 +15,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def others(df: DataFrame, own: tuple[str, ...]) -> list[Column]:
-    """Columns of ``df`` that don't clash with an operator's own output; an operator's columns win over the input's."""
-    taken = {c.lower() for c in own}
-    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in taken]
-
-
 def whole_text(df: DataFrame, name: str = "text") -> Column:
     return F.coalesce(df[name].cast("string"), F.lit(""))
