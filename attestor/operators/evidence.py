@@ -30,15 +30,6 @@ def applicable(e: DataFrame, jurisdiction: Column, as_of: Column, version: Colum
     return place & time & F.coalesce(e.applies_to_version == version, F.lit(True))
 
 
-def conflict_class(a: Column, b: Column) -> Column:
-    """Why two claims disagree: the first of jurisdiction, time, version, else definition. A null differs from any value."""
-    differ = lambda f: ~a[f].eqNullSafe(b[f])
-    return (
-        F.when(differ("jurisdiction"), "jurisdiction").when(differ("effective_at"), "time")
-        .when(differ("pack_version") | differ("applies_to_version"), "version").otherwise("definition")
-    )
-
-
 def dates_in_order(published: Column, updated: Column, effective: Column, expires: Column) -> Column:
     return F.coalesce(updated >= published, F.lit(True)) & F.coalesce(expires >= effective, F.lit(True))
 
@@ -51,13 +42,17 @@ def authority(source_authority: Column) -> Column:
 def conflicts(evidence: DataFrame) -> DataFrame:
     """Per claim with several normalized claims: the sorted classes of their pairwise conflicts, each group represented by its first row.
 
-    A claim's groups are few (distinct wordings of one claim), so pairs are of group heads, never of evidence rows.
+    No pairs are made: two groups conflict in a class iff those that agree in all that comes before it hold several values of it. A null is a value of its own.
     """
     head = F.struct("seq", "jurisdiction", "effective_at", "pack_version", "applies_to_version")
-    groups = evidence.groupBy("claim_id", "normalized_claim").agg(F.min(head).alias("h"))
-    a, b = groups.alias("a"), groups.alias("b")
-    pairs = a.join(b, (F.col("a.claim_id") == F.col("b.claim_id")) & (F.col("a.h.seq") < F.col("b.h.seq")))
-    return pairs.groupBy("a.claim_id").agg(F.array_sort(F.collect_set(conflict_class(F.col("a.h"), F.col("b.h")))).alias("conflict_classes"))
+    groups = evidence.groupBy("claim_id", "normalized_claim").agg(F.min(head).alias("h")).select("claim_id", "h.*")
+    alike = groups.groupBy("claim_id", "jurisdiction", "effective_at", "pack_version", "applies_to_version").agg(F.count("*").alias("wordings"))
+    at = alike.groupBy("claim_id", "jurisdiction", "effective_at").agg(F.count("*").alias("versions"), F.max("wordings").alias("wordings"))
+    place = at.groupBy("claim_id", "jurisdiction").agg(F.count("*").alias("times"), F.max("versions").alias("versions"), F.max("wordings").alias("wordings"))
+    claim = place.groupBy("claim_id").agg(F.count("*").alias("places"), *(F.max(c).alias(c) for c in ("times", "versions", "wordings")))
+    several = (("wordings", "definition"), ("places", "jurisdiction"), ("times", "time"), ("versions", "version"))  # in the classes' order
+    classes = F.array_compact(F.array(*(F.when(F.col(c) > 1, name) for c, name in several)))
+    return claim.select("claim_id", classes.alias("conflict_classes")).where("size(conflict_classes) > 0")
 
 
 def assess(claims: DataFrame, evidence: DataFrame, today: Column) -> DataFrame:

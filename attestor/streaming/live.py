@@ -5,6 +5,7 @@ Sources are file streams; event times that come without a zone are cast to times
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -29,17 +30,29 @@ def sessions(stream: DataFrame, key: str, gap: str = "30 minutes", late: str = "
     return stream.withWatermark("at", late).groupBy(F.session_window("at", gap), key).count().select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), key, "count")
 
 
+#: Parts of the index that a micro-batch may have to look into.
+BUCKETS = 64
+
+
 def index_new(stream: DataFrame, index_path: str, checkpoint: str, key: str = "ref") -> StreamingQuery:
-    """Appends documents that the index doesn't hold, micro-batch by micro-batch. A batch that is run again finds its rows and adds none."""
+    """Appends documents that the index doesn't hold, micro-batch by micro-batch. A batch that is run again finds its rows and adds none.
+
+    The index is partitioned by a bucket of the key (column bucket), and a batch reads the keys of its own buckets only.
+    """
 
     def add(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        rows = batch.dropDuplicates([key]).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")).persist()
         try:
-            held = spark.read.parquet(index_path).select(key)
-        except Exception as error:  # noqa: BLE001  no index yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            held = spark.createDataFrame([], batch.select(key).schema)
-        batch.dropDuplicates([key]).join(held, key, "left_anti").write.mode("append").parquet(index_path)
+            mine = [r.bucket for r in rows.select("bucket").distinct().collect()]  # BUCKETS rows at most
+            try:
+                held = spark.read.parquet(index_path).where(F.col("bucket").isin(mine)).select(key)
+            except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
+                held = spark.createDataFrame([], rows.select(key).schema)
+            rows.join(held, key, "left_anti").write.mode("append").partitionBy("bucket").parquet(index_path)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
