@@ -6,6 +6,7 @@ Requests of an investigation are windows partitioned by it, so no window is glob
 from __future__ import annotations
 
 import ipaddress
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +33,37 @@ def dangerous_ip(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(bad)
 
 
+def bounded_body(limit: int):
+    """A function of a captured body and its content encoding: (code, body), the body inflated; neither it nor what was sent may exceed ``limit`` bytes.
+
+    Inflating stops one byte past the limit, so a small body can't take much memory.
+    """
+
+    def inflate(raw: bytes | None, encoding: str | None) -> tuple[str, bytes | None]:
+        raw, encoding = bytes(raw or b""), (encoding or "").strip().lower()
+        if encoding not in ("", "identity", "gzip", "deflate"):
+            return "unsupported_content_encoding", None
+        if len(raw) > limit:
+            return "raw_bytes_limit_exceeded", None
+        if encoding in ("", "identity"):
+            return "ok", raw
+        reader = zlib.decompressobj(16 + zlib.MAX_WBITS if encoding == "gzip" else zlib.MAX_WBITS)
+        try:
+            out = reader.decompress(raw, limit + 1)
+        except zlib.error:
+            return "read_failed", None
+        if len(out) > limit or reader.unconsumed_tail or not reader.eof:
+            return "decompressed_limit_exceeded", None
+        return "ok", out
+
+    @pandas_udf("code string, body binary")
+    def apply(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for raw, encoding in parts:
+            yield pd.DataFrame([inflate(r, e) for r, e in zip(raw, encoding, strict=True)], columns=["code", "body"])
+
+    return apply
+
+
 def status_for(code: Column) -> Column:
     return F.when(code == "network_disabled", "disabled").when(code.isin(*BLOCKED), "blocked").otherwise("error")
 

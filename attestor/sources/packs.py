@@ -29,10 +29,41 @@ def _no_repeats(pairs: list[tuple]) -> dict:
     return out
 
 
-def parse(raw: bytes) -> dict:
-    """A JSON object of at most PACK_BYTES whose keys don't repeat."""
+def _yaml(raw: bytes) -> object:
+    """YAML of plain values: keys don't repeat, dates stay text, and there are no aliases, which could make a small file large."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise PackError("yaml_unavailable") from error
+
+    class Strict(yaml.SafeLoader):
+        yaml_implicit_resolvers = {k: [r for r in v if r[0] != "tag:yaml.org,2002:timestamp"] for k, v in yaml.SafeLoader.yaml_implicit_resolvers.items()}
+
+        def construct_mapping(self, node, deep=False):
+            return _no_repeats([(self.construct_object(k, deep=True), self.construct_object(v, deep=True)) for k, v in node.value])
+
+    Strict.add_constructor("tag:yaml.org,2002:map", lambda loader, node: loader.construct_mapping(node))
+    try:
+        if any(isinstance(token, (yaml.AliasToken, yaml.AnchorToken)) for token in yaml.scan(raw)):
+            raise PackError("malformed_pack")
+        found = yaml.load(raw, Loader=Strict)
+        json.dumps(found, allow_nan=False)
+    except (yaml.YAMLError, TypeError, RecursionError) as error:
+        raise PackError("malformed_pack") from error
+    except ValueError as error:
+        raise error if isinstance(error, PackError) else PackError("malformed_pack") from error
+    return found
+
+
+def parse(raw: bytes, suffix: str = ".json") -> dict:
+    """A JSON object, or a YAML one by its suffix, of at most PACK_BYTES whose keys don't repeat."""
     if len(raw) > PACK_BYTES:
         raise PackError("pack_too_large")
+    if suffix in (".yaml", ".yml"):
+        found = _yaml(raw)
+        if not isinstance(found, dict):
+            raise PackError("malformed_pack")
+        return found
     try:
         found = json.loads(raw.decode("utf-8"), object_pairs_hook=_no_repeats, parse_constant=lambda _: (_ for _ in ()).throw(PackError("malformed_pack")))
     except (UnicodeDecodeError, json.JSONDecodeError, RecursionError) as error:
@@ -164,9 +195,9 @@ def check_manifest(raw: bytes, manifest: dict, roots: dict[str, str], pack_id: s
         raise PackError("invalid_signature")
 
 
-def load(raw: bytes, *, today: date, router: str, manifest: dict | None = None, roots: dict[str, str] | None = None, floors: dict[str, str] | None = None, domain: str | None = None, jurisdiction: str | None = None, unsigned: bool = False) -> dict:
+def load(raw: bytes, *, today: date, router: str, manifest: dict | None = None, roots: dict[str, str] | None = None, floors: dict[str, str] | None = None, domain: str | None = None, jurisdiction: str | None = None, unsigned: bool = False, suffix: str = ".json") -> dict:
     """A checked pack: size, syntax, schema, signature, review window, versions, rollback floor, domain, jurisdiction, in this order."""
-    pack = parse(raw)
+    pack = parse(raw, suffix)
     if set(pack) != _FIELDS or not all(isinstance(pack[k], list) and pack[k] for k in ("domains", "jurisdictions", "sources")):
         raise PackError("malformed_pack")
     try:

@@ -1,8 +1,11 @@
+import gzip
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from attestor import scratch
-from attestor.operators import maintenance as M, runs as U, service as S
+from attestor.operators import maintenance as M, research, runs as U, service as S
 from attestor.sources import generations, packs
 from attestor.sources.policy import Policy, PolicyError
 
@@ -92,3 +95,20 @@ def test_report_of_a_store(spark, tmp_path):
         store.promote(store.build(one))
     store.build(one)
     assert [(r.check, r.status) for r in store.report().collect()] == [("pointer", "ok"), ("active", "ok"), ("retained", "ok"), ("unreferenced", "warn")]
+
+
+def test_bodies_are_inflated_up_to_a_limit(spark):
+    bodies = [(b"plain", None), (gzip.compress(b"x" * 90), "GZIP"), (zlib.compress(b"y" * 100), "deflate"), (gzip.compress(b"z" * 5_000_000), "gzip"), (b"p" * 101, ""), (b"not zipped", "gzip"), (b"a", "br"), (gzip.compress(b"cut")[:-4], "gzip"), (None, None)]
+    df = spark.createDataFrame([(i, b, e) for i, (b, e) in enumerate(bodies)], "i int, body binary, encoding string")
+    # a body of five million bytes is four thousand when it is sent
+    got = [(r.x.code, None if r.x.body is None else bytes(r.x.body)) for r in df.select("i", research.bounded_body(100)("body", "encoding").alias("x")).orderBy("i").collect()]
+    assert got[:3] == [("ok", b"plain"), ("ok", b"x" * 90), ("ok", b"y" * 100)]
+    assert [c for c, _ in got[3:]] == ["raw_bytes_limit_exceeded", "raw_bytes_limit_exceeded", "read_failed", "unsupported_content_encoding", "decompressed_limit_exceeded", "ok"]
+    assert df.where("i = 3").select(research.bounded_body(10_000)("body", "encoding").code.alias("c")).first().c == "decompressed_limit_exceeded"
+
+
+def test_yaml_packs_are_parsed_as_strictly_as_json():
+    assert packs.parse(b"a: 2024-01-01\nb: [x, {c: 1}]\n", ".yaml") == {"a": "2024-01-01", "b": ["x", {"c": 1}]}
+    for raw, code in ((b"a: 1\na: 2\n", "duplicate_key"), (b"x: {b: 1, b: 2}", "duplicate_key"), (b"a: &x [1]\nb: *x\n", "malformed_pack"), (b"- 1", "malformed_pack"), (b"a: .nan", "malformed_pack"), (b"a: [", "malformed_pack"), (b"? [1]\n: 2\n", "malformed_pack")):
+        with pytest.raises(packs.PackError, match=code):
+            packs.parse(raw, ".yml")
