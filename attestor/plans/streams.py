@@ -48,6 +48,18 @@ def stream_first_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _settled(live.fresh_fetches(_events(spark, sf_dir), "user_id").select("user_id"), "append", "first-fetches")
 
 
+@query("stream_ledger", """WITH c AS (SELECT event_id, user_id, ts, event_type = 'view' AS cached, floor(value * 10)::BIGINT + 500 AS bytes FROM events),
+    p AS (SELECT *, coalesce(sum(CASE WHEN cached THEN 0 ELSE 1 END) OVER w, 0) AS rq, coalesce(sum(CASE WHEN cached THEN 0 ELSE bytes END) OVER w, 0) AS b FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT user_id, event_id, greatest(10 - rq, 0)::BIGINT AS requests_left, greatest(9000 - b, 0)::BIGINT AS bytes_left, CASE WHEN cached THEN 'cached' WHEN rq > 9 OR 9000 - b < 1024 THEN 'network_budget_exhausted' ELSE 'fetch' END AS decision FROM p""")
+def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running balance of each user's calls, kept as state."""
+    calls = _events(spark, sf_dir).select(
+        F.col("user_id").alias("investigation"), F.col("event_id").alias("seq"), "at", (F.floor(F.col("value") * 10) + 500).cast("long").alias("bytes"), (F.col("event_type") == "view").alias("cached"),
+    )
+    out = _settled(live.ledger(calls, 10, 9000), "append", "ledger")
+    return out.select(F.col("investigation").alias("user_id"), F.col("seq").alias("event_id"), "requests_left", "bytes_left", "decision")
+
+
 @query("markdown_passages", """WITH d AS (SELECT doc_id, lang, replace(replace(text, '#', ''), chr(10), ' ') AS t FROM documents)
     SELECT doc_id, 'One' AS heading, 0 AS ordinal, 3 AS start_line, 4 AS end_line, '# One' || chr(10) || t || chr(10) AS text FROM d UNION ALL SELECT doc_id, 'One/Two', 0, 5, 6, '## Two' || chr(10) || lang || chr(10) FROM d
     UNION ALL SELECT doc_id, 'One', 1, 7, 7, '# One' || chr(10) FROM d UNION ALL SELECT doc_id, '', 0, 1, 2, 'intro' || chr(10) || chr(10) FROM d""")

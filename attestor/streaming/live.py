@@ -5,9 +5,15 @@ Sources are file streams; event times that come without a zone are cast to times
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from attestor.operators.research import FLOOR_BYTES, FLOOR_REQUESTS
 
 
 def events(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -56,3 +62,59 @@ def index_new(stream: DataFrame, index_path: str, checkpoint: str, key: str = "r
             rows.unpersist()
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ledger(stream: DataFrame, requests: int, most_bytes: int, late: str = "2 hours", idle: str = "24 hours") -> DataFrame:
+    """Calls (investigation, seq, at, bytes, cached) with what was left before each and whether it was funded, as ``research.ledger`` tells for a batch.
+
+    Calls of a micro-batch are charged in the order of (at, seq), after those of earlier ones. An investigation's state is two numbers; it goes once the
+    watermark is past its last call by ``idle``, and calls after that have a pool of their own. A micro-batch's calls of one investigation meet in one task:
+    the trigger's size bounds them. Null bytes are charged as none, a null cached as a live call; calls without an investigation share one pool.
+    """
+    held = int(pd.Timedelta(idle).total_seconds() * 1000)
+
+    def charge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        calls = pd.concat(parts, ignore_index=True).sort_values(["at", "seq"], kind="stable")
+        spent, weight = state.get if state.exists else (0, 0)
+        live = ~calls["cached"].astype("boolean").fillna(False).astype(bool)
+        size = calls["bytes"].fillna(0).astype("int64") * live
+        requests_left = (requests - spent - (live.cumsum() - live)).clip(lower=0)
+        bytes_left = (most_bytes - weight - (size.cumsum() - size)).clip(lower=0)
+        denied = live & ((requests_left < FLOOR_REQUESTS) | (bytes_left < FLOOR_BYTES))
+        state.update((spent + int(live.sum()), weight + int(size.sum())))
+        state.setTimeoutTimestamp(max(int(calls["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + held)
+        decision = pd.Series("fetch", calls.index).mask(denied, "network_budget_exhausted").mask(~live, "cached")
+        out = pd.DataFrame({"seq": calls["seq"], "requests_left": requests_left, "bytes_left": bytes_left, "decision": decision})
+        out.insert(0, "investigation", pd.Series([key[0]] * len(out), out.index, dtype=object))
+        yield out
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    found = f"investigation {kinds['investigation']}, seq {kinds['seq']}, requests_left long, bytes_left long, decision string"
+    calls = stream.where("at IS NOT NULL").select("investigation", "seq", "at", "bytes", "cached").withWatermark("at", late)
+    return calls.groupBy("investigation").applyInPandasWithState(charge, found, "requests long, bytes long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def split_late(stream: DataFrame, out: str, checkpoint: str, late: str = "2 hours") -> StreamingQuery:
+    """Every row under ``out``/rows, dealt by late (the words true and false) and batch (a number): late is what a watermark of that delay would drop without a word.
+
+    A row is late if its event time trails the greatest of earlier micro-batches by more than the delay; rows without one are late too. A batch that is run
+    again replaces its own rows, and reads only the mark that its predecessor left.
+    """
+    delay, at = int(pd.Timedelta(late) / pd.Timedelta("1us")), F.unix_micros("at")
+
+    def put(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        mark = spark.read.parquet(f"{out}/marks/{number - 1}").first()[0] if number else None
+        held = batch.persist()
+        try:
+            on_time = F.col("at").isNotNull() if mark is None else F.coalesce(at >= mark - delay, F.lit(False))
+            for name, rows in (("true", held.where(~on_time)), ("false", held.where(on_time))):
+                rows.write.mode("overwrite").parquet(f"{out}/rows/late={name}/batch={number}")
+            held.agg(F.greatest(F.max(at), F.lit(mark).cast("long")).alias("at")).write.mode("overwrite").parquet(f"{out}/marks/{number}")
+        finally:
+            held.unpersist()
+
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
