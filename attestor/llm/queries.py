@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestor import scratch
-from attestor.llm import ann, mixing, neardup, packing, pii, quality, secrets, sharding, tokenfiles, tokens, warc
+from attestor.llm import ann, bestfit, infill, mixing, neardup, packing, pii, quality, secrets, sharding, tokenfiles, tokens, warc
 from attestor.llm.tables import table, whole_text
 
 _KEY = r"(?i:password|passwd|secret|token|api_?key)[\"'']?\x20*[:=]\x20*[\"'']?"
@@ -16,6 +16,14 @@ ORACLES: dict[str, str] = {
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS payload_bytes, sha256(h) AS payload_digest FROM p),
              f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op11_infill": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents),
+             h AS (SELECT *, list_transform([0, 1, 2, 3], lambda i: ('0x' || substr(s, 8 * i + 1, 8))::BIGINT) AS h FROM t),
+             c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+                          CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+             p AS (SELECT *, '<P>' || substr(text, 1, a) AS prefix, '<S>' || substr(text, b + 1) AS suffix, '<M>' || substr(text, a + 1, b - a) AS middle FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN prefix || suffix || middle ELSE suffix || prefix || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
     "op10_secrets": f"""
         WITH t AS (SELECT doc_id, replace(coalesce(text, ''), chr(57344), chr(57345)) AS text FROM documents),
              m AS (SELECT doc_id, 0 AS k, regexp_replace(text, '({_KEY}[A-Za-z0-9+/_.=-]+)', chr(57344) || '\\1' || chr(57344), 'g') AS x FROM t
@@ -101,4 +109,15 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.run(docs, ledger)[0].select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op2_tokencounts": op2_tokencounts, "op3_warc": op3_warc, "op4_packing": op4_packing, "op5_neardup": op5_neardup, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_ann": op9_ann, "op10_secrets": op10_secrets}
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents cut and put together for filling in, and the text read back from form and output."""
+    made = infill.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", F.sha2(infill.restored("form", "output"), 256).alias("restored_sha256"))
+
+
+def op12_bestfit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as pieces in as few sequences of 2048 ids as best fit needs."""
+    return bestfit.pack(bestfit.pieces(table(spark, sf_dir, "documents"), tokenizer=tokens.word_bpe()))
+
+
+QUERIES = {"op1_sharding": op1_sharding, "op2_tokencounts": op2_tokencounts, "op3_warc": op3_warc, "op4_packing": op4_packing, "op5_neardup": op5_neardup, "op6_pii": op6_pii, "op7_mixing": op7_mixing, "op8_quality": op8_quality, "op9_ann": op9_ann, "op10_secrets": op10_secrets, "op11_infill": op11_infill, "op12_bestfit": op12_bestfit}
