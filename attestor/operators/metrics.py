@@ -42,6 +42,30 @@ def diversity(ranked: Column, k: int = 10) -> Column:
     return F.size(F.array_distinct(F.slice(ranked, 1, k)))
 
 
+def judge(queries: DataFrame, ranking: DataFrame, relevance: DataFrame, k: int = 10) -> DataFrame:
+    """The measures above per query from rows instead of arrays, for truths of any size: no query's truth is gathered.
+
+    ``queries``: query_id; ``ranking``: query_id, ref, rank; ``relevance``: query_id, ref, gain (2 what must be found, 1 what is acceptable; the greater one counts). Gives must,
+    acceptable, found, first_rank, recall_at_3, recall_at_k, mrr, ndcg, diversity; what is undefined without truth is null.
+    """
+    relevance = relevance.groupBy("query_id", "ref").agg(F.max("gain").alias("gain"))
+    top, must = ranking.where(F.col("rank") <= k), F.col("gain") == 2
+    hits = top.join(relevance, ["query_id", "ref"], "left").groupBy("query_id").agg(
+        F.count_if(must).alias("found"), F.count_if(must & (F.col("rank") <= 3)).alias("early"), F.min(F.when(must, F.col("rank"))).alias("first_rank"),
+        F.sum(F.col("gain") / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.count_distinct("ref").alias("diversity"),
+    )
+    truth = relevance.groupBy("query_id").agg(F.count_if(must).alias("must"), F.count_if(~must).alias("acceptable"))
+    rows = queries.select("query_id").join(truth, "query_id", "left").join(hits, "query_id", "left").na.fill(0, ["must", "acceptable", "found", "early", "diversity"])
+    gain = lambda p: F.when(p <= F.col("must"), 2.0).when(p <= F.col("must") + F.col("acceptable"), 1.0).otherwise(0.0)
+    ideal = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda s, p: s + gain(p) / F.log2(p + 1.0))
+    of = lambda condition, value: F.when(condition, value)
+    answered = F.col("must") > 0
+    return rows.select(
+        "query_id", "must", "acceptable", "found", F.col("first_rank").cast("int").alias("first_rank"), of(answered, F.col("early") / F.col("must")).alias("recall_at_3"), of(answered, F.col("found") / F.col("must")).alias("recall_at_k"),
+        of(answered, F.coalesce(F.lit(1.0) / F.col("first_rank"), F.lit(0.0))).alias("mrr"), of(F.col("must") + F.col("acceptable") > 0, F.coalesce("dcg", F.lit(0.0)) / ideal).alias("ndcg"), "diversity",
+    )
+
+
 def term_statistics(corpus: DataFrame, vocabulary: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Document frequency of the terms of ``vocabulary`` (term), zeros too, and the one-row number of documents."""
     held = corpus.select(F.explode(F.array_distinct(T.terms(F.col(text)))).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))

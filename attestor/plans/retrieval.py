@@ -63,15 +63,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def held_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query_id, ref) of the documents that hold an item's text: of those that hold its rarest inner term. Its first and last term may be parts of others there."""
-    docs, items, found = _passages(spark, sf_dir), _questions(spark, sf_dir), index(spark, sf_dir)
-    inner = items.select("query_id", T.tokens(F.col("text")).alias("t")).where("size(t) > 2").select("query_id", F.explode(F.expr("slice(t, 2, size(t) - 2)")).alias("term"))
-    rarest = inner.join(found.terms, "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).getField("term").alias("term"))
-    pairs = scratch.cut(found.postings.join(rarest, "term").select("query_id", "ref"), "verbatim-candidates")
-    item = items.select("query_id", F.col("text").alias("item"))
-    truth = docs.join(pairs, "ref").join(item, "query_id").where(F.col("text").contains(F.col("item"))).select("query_id", "ref")
-    short = scratch.cut(item.where(F.size(T.tokens(F.col("item"))) <= 2), "short-items")  # without an inner term: compared with every document
-    return truth.unionAll(docs.join(short, F.col("text").contains(F.col("item"))).select("query_id", "ref"))
+    """(query_id, ref) of the documents that hold an item's text."""
+    return L.holding(index(spark, sf_dir), _passages(spark, sf_dir), _questions(spark, sf_dir))
 
 
 @query("bm25_recall", f"""WITH {BM25_SQL},
