@@ -7,8 +7,9 @@ the order of summation can't flip ties, and every order ends in a reference.
 
 from __future__ import annotations
 
+import bisect
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,48 +71,116 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(passages: DataFrame, queries: DataFrame, k: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, ref, score) for every passage vector and query vector of its width, or for the k best of each query; vectors without length take no part.
+def has_length(vector: Column) -> Column:
+    """Whether a vector (array<double>) has a direction: some component, all of them numbers."""
+    return F.exists(vector, lambda x: x != 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x))
 
-    Exhaustive by definition: each query scores every passage. Queries are dealt in blocks of at most ``block``; a task holds a block as a matrix and
-    streams passages past it. The passages of one block stay where they are read; further blocks cost a copy of the passages each, dealt over all tasks.
-    """
-    vector = lambda d, name: d.select(name, F.col("vector").cast("array<double>").alias("v")).where(F.exists("v", lambda x: x != 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x)))
-    p, q = vector(passages, "ref"), scratch.cut(vector(queries, "query_id"), "query-vectors")
-    ref, query = passages.schema["ref"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query}, ref {ref}, score double"
 
-    def scored(block_: dict[int, tuple[np.ndarray, np.ndarray]], pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for width, rows in pdf.groupby(pdf["v"].map(len)):
-            if width not in block_:
+def units(rows: pd.DataFrame) -> np.ndarray:
+    m = np.stack(rows["v"])
+    return m / np.sqrt((m * m).sum(1))[:, None]
+
+
+class Best:
+    """Scores of passages against some queries: all of them, or the k best of each query that a task has seen, equal ones by reference."""
+
+    def __init__(self, asks: pd.DataFrame, k: int | None):
+        self.k, self.by_width = k, {w: (own["query_id"].to_numpy(), units(own)) for w, own in asks.groupby(asks["v"].map(len))}
+        self.least = {w: np.full(len(ids), -np.inf) for w, (ids, _) in self.by_width.items()}
+        self.held: dict[int, list[pd.DataFrame]] = {w: [] for w in self.by_width}
+
+    def batch(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for width, own in rows.groupby(rows["v"].map(len)):
+            if width not in self.by_width:
                 continue
-            ids, unit = block_[width]
-            m = np.stack(rows["v"])
-            m /= np.sqrt((m * m).sum(1))[:, None]
-            got = np.round(m @ unit.T, DIGITS)  # passages by queries
-            refs = rows["ref"].to_numpy()
-            if k is None or k >= len(refs):
+            ids, unit = self.by_width[width]
+            refs, got = own["ref"].to_numpy(), np.round(units(own) @ unit.T, DIGITS)  # passages by queries
+            self.see(ids, refs, got)
+            if self.k is None:
                 yield pd.DataFrame({"query_id": np.tile(ids, len(refs)), "ref": np.repeat(refs, len(ids)), "score": got.ravel()})
                 continue
-            # of a batch no more than the k best of a query go on, with all that tie with the last of them
-            least = -np.partition(-got, k - 1, axis=0)[k - 1]
+            least = self.least[width]
+            if self.k < len(refs):
+                least = np.maximum(least, -np.partition(-got, self.k - 1, axis=0)[self.k - 1])
             i, j = np.nonzero(got >= least)
-            yield pd.DataFrame({"query_id": ids[j], "ref": refs[i], "score": got[i, j]})
+            self.held[width].append(pd.DataFrame({"j": j, "ref": refs[i], "score": got[i, j]}))
+            if sum(map(len, self.held[width])) > 2 * self.k * len(ids):
+                self.shrink(width)
+
+    def see(self, ids: np.ndarray, refs: np.ndarray, got: np.ndarray) -> None:
+        """Told each matrix of scores."""
+
+    def shrink(self, width: int) -> pd.DataFrame:
+        rows = pd.concat(self.held[width]).sort_values(["j", "score", "ref"], ascending=[True, False, True]).groupby("j").head(self.k)
+        full = rows.groupby("j")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.least[width][full.index] = full["min"]
+        self.held[width] = [rows]
+        return rows
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        for width, held in self.held.items():
+            if held:
+                rows = self.shrink(width)
+                yield pd.DataFrame({"query_id": self.by_width[width][0][rows["j"]], "ref": rows["ref"].to_numpy(), "score": rows["score"].to_numpy()})
+
+
+class Counted(Best):
+    """Besides the best, how many passages come before each wanted one of a query but not before the one above it.
+
+    Queries bring their wanted passages along, in order: ``wanted_scores`` from high to low, ``wanted_refs`` rising within equal scores.
+    """
+
+    def __init__(self, asks: pd.DataFrame, k: int):
+        super().__init__(asks, k)
+        self.wanted = {q: (-np.asarray(s, "f8"), list(r)) for q, s, r in zip(asks["query_id"], asks["wanted_scores"], asks["wanted_refs"], strict=True) if s is not None and len(s)}
+        self.counts = {q: np.zeros(len(r) + 1, "i8") for q, (_, r) in self.wanted.items()}
+
+    def see(self, ids: np.ndarray, refs: np.ndarray, got: np.ndarray) -> None:
+        for j, q in enumerate(ids):
+            if q not in self.wanted:
+                continue
+            falling, names = self.wanted[q]
+            some = np.flatnonzero(got[:, j] >= -falling[-1])
+            score = -got[some, j]
+            left, at = np.searchsorted(falling, score, "left"), np.searchsorted(falling, score, "right")
+            for i in np.flatnonzero(left < at):  # equal scores: the lesser reference comes first
+                at[i] = bisect.bisect_right(names, refs[some[i]], left[i], at[i])
+            self.counts[q] += np.bincount(at, minlength=len(names) + 1)
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        for rows in super().end():
+            yield rows.assign(n=pd.array([None] * len(rows), "Int64"))
+        for q, counts in self.counts.items():
+            falling, names = self.wanted[q]
+            if len(at := np.flatnonzero(counts[:-1])):
+                yield pd.DataFrame({"query_id": [q] * len(at), "ref": [names[i] for i in at], "score": -falling[at], "n": counts[at]})
+
+
+def vectors(rows: DataFrame, *names: str) -> DataFrame:
+    """Rows (``names``, vector) with the vector as v, array<double>; vectors without length take no part."""
+    return rows.select(*names, F.col("vector").cast("array<double>").alias("v")).where(has_length(F.col("v")))
 
-    def matrices(rows: pd.DataFrame, name: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        out = {}
-        for width, own in rows.groupby(rows["v"].map(len)):
-            m = np.stack(own["v"])
-            out[width] = own[name].to_numpy(), m / np.sqrt((m * m).sum(1))[:, None]
-        return out
 
+def sweep(passages: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame], Best], more: str = "", block: int = QUERY_BLOCK) -> DataFrame:
+    """Every passage (ref, vector) past every query (query_id, v and what else ``work`` asks for, as ``vectors`` gives them and written, as it is read twice): rows (query_id, ref, score and ``more``).
+
+    Queries are dealt in blocks of at most ``block``; a task holds a block as a matrix and streams passages past it. The passages of one block stay
+    where they are read; further blocks cost a copy of the passages each, dealt over all tasks.
+    """
+    own = [c for c in queries.columns if c not in ("query_id", "v")]
+    p, q = vectors(passages, "ref"), queries
+    ref, query = passages.schema["ref"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {query}, ref {ref}, score double{more}"
     blocks = max(1, -(-q.count() // block))
     if blocks == 1:
-        held = matrices(q.toPandas(), "query_id")  # at most ``block`` vectors
+        asks = q.toPandas()  # at most ``block`` vectors
 
         def stay(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = work(asks)
             for pdf in batches:
-                yield from scored(held, pdf)
+                yield from held.batch(pdf)
+            yield from held.end()
 
         return p.mapInPandas(stay, schema)
 
@@ -120,22 +189,35 @@ def cosine(passages: DataFrame, queries: DataFrame, k: int | None = None, block:
         for pdf in batches:
             for place, rows in pdf.groupby(["block", "salt"], sort=False):
                 if place != at:
+                    if held:
+                        yield from held.end()
                     at, waiting, held = place, [], None
                 mine = rows["asks"]
                 if mine.any():
                     waiting.append(rows[mine])
                 if not mine.all() and waiting:
-                    held = held or matrices(pd.concat(waiting), "query_id")
-                    yield from scored(held, rows[~mine])
+                    held = held or work(pd.concat(waiting))
+                    yield from held.batch(rows[~mine])
+        if held:
+            yield from held.end()
 
     salts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     no = lambda name, kind: F.lit(0).cast(kind).alias(name)  # noqa: E731  not null, which would make floats of whole numbers
+    empty = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in own]
     left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     right = p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(salts)).cast("int"))
-    rows = left.select("block", "salt", F.lit(True).alias("asks"), "query_id", no("ref", ref), "v").unionAll(right.select("block", "salt", F.lit(False).alias("asks"), no("query_id", query), "ref", "v"))
+    rows = left.select("block", "salt", F.lit(True).alias("asks"), "query_id", no("ref", ref), "v", *own).unionAll(right.select("block", "salt", F.lit(False).alias("asks"), no("query_id", query), "ref", "v", *empty))
     return rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("asks")).mapInPandas(stream, schema)
 
 
+def cosine(passages: DataFrame, queries: DataFrame, k: int | None = None, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, ref, score) for every passage vector and query vector of its width, or for the k best of each query; vectors without length take no part.
+
+    Exhaustive by definition: each query scores every passage.
+    """
+    return sweep(passages, scratch.cut(vectors(queries, "query_id"), "query-vectors"), lambda asks: Best(asks, k), block=block)
+
+
 def fuse(lexical: DataFrame, vector: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """Weighted reciprocal-rank fusion of two rankings (query_id, ref, rank).
 
@@ -150,35 +232,19 @@ def fuse(lexical: DataFrame, vector: DataFrame, weights: DataFrame | None = None
     return ranked(both.select("query_id", "ref", "lexical_rank", "vector_rank", F.round(score, 12).alias("score"), via.alias("via")))
 
 
-def _placed(scores: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, ref, rank) of the wanted (query_id, ref) among their query's scores, by counting what is better instead of sorting all."""
-    own = scores.join(wanted, ["query_id", "ref"]).select("query_id", F.struct((-F.col("score")).alias("s"), "ref").alias("c"))
-    lists = scratch.cut(own.groupBy("query_id").agg(F.array_sort(F.collect_list("c")).alias("cs")), "wanted-ranks")
-    better = F.size(F.filter("cs", lambda c: c < F.struct((-F.col("score")).alias("s"), F.col("ref"))))
-    counts = scores.join(lists, "query_id").groupBy("query_id", better.alias("p")).agg(F.count("*").alias("n"))
+def placed(scores: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, ref, rank) of the wanted (query_id, ref, score) among their queries' scores, by counting what comes before them while it is scored: nothing is sorted or written but the wanted."""
+    entry = F.struct((-F.col("score")).alias("s"), "ref")
+    lists = wanted.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("cs"))
+    lists = scratch.cut(lists.withColumn("least", -F.element_at("cs", -1)["s"]), "wanted-ranks")
+    better = F.size(F.filter("cs", lambda c: c <= F.struct((-F.col("score")).alias("s"), "ref")))  # wanted ones that come before it, or are it
+    counts = scores.join(lists, "query_id").where(F.col("score") >= F.col("least")).groupBy("query_id", better.alias("p")).agg(F.count("*").alias("n"))
     upto = counts.withColumn("n", F.sum("n").over(Window.partitionBy("query_id").orderBy("p")))  # as many rows as wanted ones
-    # the i-th wanted one (from 0) is preceded by itself and all rows with at most i better wanted ones
-    each = lists.select("query_id", F.posexplode("cs").alias("i", "c"))
-    return each.join(upto, (each.query_id == upto.query_id) & (each.i == upto.p)).select(each.query_id, F.col("c.ref").alias("ref"), F.col("n").cast("long").alias("rank"))
-
-
-def fuse_top(lexical: DataFrame, vector: DataFrame, weights: DataFrame, k: int) -> DataFrame:
-    """The first k of ``fuse`` over whole rankings, from scores (query_id, ref, score), without sorting the legs.
-
-    Weights are at most 1. If the vector leg has k rows, the k-th has at least 1 / (60 + k), and what is beyond rank r in both legs less than 2 / (60 + r): so
-    only the first 2 (60 + k) of either leg matter. If it has fewer, all of them do, and of the rest the first k of the lexical leg. A leg's
-    rank of what the other leg brought in is counted.
-    """
-    reach = 2 * (RRF_K + k)
-    # read twice
-    lexical, vector = scratch.cut(lexical, "lexical-scores"), scratch.cut(vector, "vector-scores")
-    heads = [scratch.cut(ranked(leg, reach), "leg-head") for leg in (lexical, vector)]
-    full = []
-    for (leg, head), other in zip(zip((lexical, vector), heads, strict=True), reversed(heads), strict=True):
-        foreign = other.select("query_id", "ref").join(head.select("query_id", "ref"), ["query_id", "ref"], "left_anti")
-        full.append(head.select("query_id", "ref", F.col("rank").cast("long").alias("rank")).unionByName(_placed(leg, foreign)))
-    out = fuse(full[0], full[1], weights)
-    return out.where(F.col("rank") <= k)
+    # before the i-th wanted one (from 0) come all passages that have at most i wanted ones before them
+    each = lists.select("query_id", F.posexplode("cs").alias("i", "c")).alias("each")
+    before = each.join(upto.alias("upto"), (F.col("each.query_id") == F.col("upto.query_id")) & (F.col("p") <= F.col("i"))).groupBy("each.query_id", "c").agg(F.max("n").alias("n"))
+    found = lists.select("query_id", F.explode("cs").alias("c")).join(before, ["query_id", "c"], "left")
+    return found.select("query_id", F.col("c.ref").alias("ref"), (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("rank"))
 
 
 def language_weight(query_language: Column, corpus_language: Column) -> Column:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from attestor import scratch
 from attestor.functions import text as T
-from attestor.operators import lexical as L, retrieval as R
+from attestor.operators import fusion, lexical as L, retrieval as R
 from attestor.plans.catalog import query, read
 from attestor.plans.text import COUNTS_SQL, LANGUAGE_SQL
 
@@ -97,7 +96,9 @@ def fused(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     """Lexical ranks of the items fused with the ranks of the vectors of the same ids, discounted where an item's language isn't the corpus's (English)."""
     items = _questions(spark, sf_dir)
     weights = items.select("query_id", R.language_weight(T.language(F.col("text")), F.lit("en")).alias("weight"))
-    return R.fuse_top(L.scores(index(spark, sf_dir), items), vectors(spark, sf_dir, items.select("query_id")), weights, k)
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ref"), F.col("embedding").alias("vector"))
+    own = rows.where("ref % 50 = 0").select(F.col("ref").alias("query_id"), "vector")
+    return fusion.fused(index(spark, sf_dir), rows, items.join(own, "query_id", "left"), weights, k)
 
 
 @query("rrf_fusion", f"""WITH {BM25_SQL}, {COSINE_SQL}, {_WEIGHTED}, {_FUSED}

@@ -5,8 +5,9 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from attestor import scratch
 from attestor.functions import text as T
-from attestor.operators import lexical as L, policy as P, retrieval as R, service as S
+from attestor.operators import fusion, lexical as L, policy as P, retrieval as R, service as S
 
 
 def corpus(seed, n=400):
@@ -72,15 +73,70 @@ def test_blocked_cosine_equals_pairs(spark):
         assert best == {(r.query_id, r["rank"]): r.ref for r in R.ranked(R.cosine(p, q, block=block), 3).collect()}
 
 
-@pytest.mark.parametrize("few", [True, False])
-def test_fusion_from_heads_equals_fusion_of_whole_rankings(spark, few):
-    rng = random.Random(7)
-    leg = lambda n: spark.createDataFrame([(q, r, round(rng.random(), 2)) for q in range(4) for r in rng.sample(range(1000), n if q else 3)], "query_id int, ref int, score double")
-    lexical, vector = leg(700), leg(8 if few else 900)
-    weights = spark.createDataFrame([(0, 1.0), (1, 0.1), (2, 1.0), (3, 0.1)], "query_id int, weight double")
-    want = R.fuse(R.ranked(lexical), R.ranked(vector), weights).where("rank <= 10").select("query_id", "rank", "ref", "lexical_rank", "vector_rank", "score")
-    got = R.fuse_top(lexical, vector, weights, 10).select("query_id", "rank", "ref", "lexical_rank", "vector_rank", "score")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+def hybrid(spark, n, seed, with_vectors=0.9, width=6):
+    """Passages with common and rare words, copies among them, and queries of the same kind; some lack a vector."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(60)]
+    text = lambda: " ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(60)], k=rng.randint(0, 12)))
+    vector = lambda: [rng.choice((-1.0, 0.0, 1.0, 2.0)) for _ in range(width)] if rng.random() < with_vectors else None
+    rows = [(i, f"d{i // 3}", text(), f"l{i}", vector()) for i in range(n)]
+    rows += [(n + i, f"c{i}", *rows[7][2:]) for i in range(n // 3)]  # a third has equal texts and vectors
+    queries = [(q, text() if q else "nothing that occurs", vector()) for q in range(9)]
+    p = spark.createDataFrame(rows, "ref long, document_ref string, text string, locator string, vector array<double>").repartition(5)
+    return p, spark.createDataFrame(queries, "query_id long, text string, vector array<double>")
+
+
+COLUMNS = ["query_id", "rank", "ref", "lexical_rank", "vector_rank", "score"]
+
+
+def whole(index, p, q, weights):
+    return R.fuse(R.ranked(L.scores(index, q)), R.ranked(R.cosine(p, q.where("vector IS NOT NULL"))), weights)
+
+
+@pytest.mark.parametrize("n,k,vectors", [(900, 5, 0.9), (900, 2, 0.01), (40, 30, 0.9), (300, 10, 0.0)])
+def test_fusion_by_thresholds_equals_fusion_of_whole_rankings(spark, n, k, vectors):
+    p, q = hybrid(spark, n, n + k, vectors)
+    index, weights = L.build(p), q.select("query_id", F.when(F.col("query_id") % 2 == 0, 1.0).otherwise(0.1).alias("weight"))
+    want = whole(index, p, q, weights).where(F.col("rank") <= k).select(COLUMNS).collect()
+    got = fusion.fused(index, p, q, weights, k).select(COLUMNS).collect()
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    also = [(1, 3), (2, n - 1), (2, 5), (3, n + 1), (0, 0)]
+    more = fusion.fused(index, p, q, weights, k, also=spark.createDataFrame(also, "query_id long, ref long")).collect()
+    exact = {(r.query_id, r.ref): (r.lexical_rank, r.vector_rank, r.score) for r in whole(index, p, q, weights).collect()}
+    told = {(r.query_id, r.ref): (r.lexical_rank, r.vector_rank, r.score) for r in more}
+    assert {k: exact[k] for k in also if k in exact} == {k: told[k] for k in also if k in told}
+
+
+def test_fusion_writes_heads_only(spark, monkeypatch):
+    """Rows written grow with queries, not with passages."""
+    written = []
+    cut = scratch.cut
+
+    def counted(df, label):
+        out = cut(df, label)
+        written.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(scratch, "cut", counted)
+    for n in (1500, 6000):
+        p, q = hybrid(spark, n, 3)
+        index = L.build(p)
+        written.clear()
+        fusion.fused(index, p, q, q.select("query_id", F.lit(1.0).alias("weight")), 5).collect()
+        most, terms = 9 * 2 * fusion.reach(5), 12
+        assert all(rows <= most * (terms if "lookup" in label else 1) for label, rows in written if label != "candidates"), written
+
+
+def test_search_with_a_scorer_equals_whole_rankings(spark):
+    p, q = hybrid(spark, 400, 11)
+    scorer = lambda query, docs: [float(len(d) % 7) for d in docs]
+    got = S.search(p, q, corpus_language=None, max_candidates=30, max_extracted=10**6, scorer=scorer)[0].select("query_id", "rank", "ref").collect()
+    index = L.build(p)
+    order = whole(index, p, q, q.select("query_id", F.lit(1.0).alias("weight"))).join(p.select("ref", "document_ref"), "ref")
+    asked = q.where("text <> ''")
+    reranked = S.rerank(R.documents_of(order), S.document_texts(p), asked, scorer)
+    want = R.interleave(order.join(asked.select("query_id"), "query_id"), reranked.select("query_id", "document_ref", "new_rank")).where("final_rank <= 30").select("query_id", F.col("final_rank").alias("rank"), "ref").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
 def test_folding_and_normal_forms(spark):
