@@ -81,63 +81,52 @@ def units(rows: pd.DataFrame) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-class Best:
-    """Scores of passages against some queries: all of them, or the k best of each query that a task has seen, equal ones by reference."""
+#: Scores that a task holds at once.
+CELLS = 1 << 22
 
-    def __init__(self, asks: pd.DataFrame, k: int | None):
-        self.k, self.by_width = k, {w: (own["query_id"].to_numpy(), units(own)) for w, own in asks.groupby(asks["v"].map(len))}
-        self.least = {w: np.full(len(ids), -np.inf) for w, (ids, _) in self.by_width.items()}
-        self.held: dict[int, list[pd.DataFrame]] = {w: [] for w in self.by_width}
 
-    def batch(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for width, own in rows.groupby(rows["v"].map(len)):
-            if width not in self.by_width:
-                continue
-            ids, unit = self.by_width[width]
-            refs, got = own["ref"].to_numpy(), np.round(units(own) @ unit.T, DIGITS)  # passages by queries
-            self.see(ids, refs, got)
-            if self.k is None:
-                yield pd.DataFrame({"query_id": np.tile(ids, len(refs)), "ref": np.repeat(refs, len(ids)), "score": got.ravel()})
-                continue
-            least = self.least[width]
-            if self.k < len(refs):
-                least = np.maximum(least, -np.partition(-got, self.k - 1, axis=0)[self.k - 1])
-            i, j = np.nonzero(got >= least)
-            self.held[width].append(pd.DataFrame({"j": j, "ref": refs[i], "score": got[i, j]}))
-            if sum(map(len, self.held[width])) > 2 * self.k * len(ids):
-                self.shrink(width)
-
-    def see(self, ids: np.ndarray, refs: np.ndarray, got: np.ndarray) -> None:
-        """Told each matrix of scores."""
-
-    def shrink(self, width: int) -> pd.DataFrame:
-        rows = pd.concat(self.held[width]).sort_values(["j", "score", "ref"], ascending=[True, False, True]).groupby("j").head(self.k)
-        full = rows.groupby("j")["score"].agg(["size", "min"])
-        full = full[full["size"] == self.k]
-        self.least[width][full.index] = full["min"]
-        self.held[width] = [rows]
-        return rows
+class Sweep:
+    """Scores of passages against a block of queries: all of them, or the k best of each query that a task has seen, equal ones by reference.
 
-    def end(self) -> Iterator[pd.DataFrame]:
-        for width, held in self.held.items():
-            if held:
-                rows = self.shrink(width)
-                yield pd.DataFrame({"query_id": self.by_width[width][0][rows["j"]], "ref": rows["ref"].to_numpy(), "score": rows["score"].to_numpy()})
-
-
-class Counted(Best):
-    """Besides the best, how many passages come before each wanted one of a query but not before the one above it.
-
-    Queries bring their wanted passages along, in order: ``wanted_scores`` from high to low, ``wanted_refs`` rising within equal scores.
+    With ``counted``, queries bring wanted passages along in order (``wanted_scores`` from high to low, ``wanted_refs`` rising within equal scores), and it is
+    told of each how many passages come before it but not before the one above it. How passages are scored is up to ``matrices``.
     """
 
-    def __init__(self, asks: pd.DataFrame, k: int):
-        super().__init__(asks, k)
-        self.wanted = {q: (-np.asarray(s, "f8"), list(r)) for q, s, r in zip(asks["query_id"], asks["wanted_scores"], asks["wanted_refs"], strict=True) if s is not None and len(s)}
+    def __init__(self, asks: pd.DataFrame, k: int | None, counted: bool = False):
+        self.k, self.counted = k, counted
+        self.groups: dict[int, np.ndarray] = {}  # ids of queries by what they can be compared with
+        self.least: dict[int, np.ndarray] = {}
+        self.held: dict[int, list[pd.DataFrame]] = {}
+        told = zip(asks["query_id"], asks["wanted_scores"], asks["wanted_refs"], strict=True) if counted else ()
+        self.wanted = {q: (-np.asarray(s, "f8"), list(r)) for q, s, r in told if s is not None and len(s)}
         self.counts = {q: np.zeros(len(r) + 1, "i8") for q, (_, r) in self.wanted.items()}
 
-    def see(self, ids: np.ndarray, refs: np.ndarray, got: np.ndarray) -> None:
-        for j, q in enumerate(ids):
+    def group(self, name: int, ids: np.ndarray) -> None:
+        self.groups[name], self.least[name], self.held[name] = ids, np.full(len(ids), -np.inf), []
+
+    def matrices(self, rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(group, references, scores: passages by queries; minus infinity where a passage isn't in a query's ranking)."""
+        raise NotImplementedError
+
+    def batch(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        most = max(1, CELLS // max([1, *map(len, self.groups.values())]))
+        for at in range(0, len(rows), most):
+            for name, refs, got in self.matrices(rows.iloc[at : at + most]):
+                ids = self.groups[name]
+                self.count(ids, refs, got)
+                if self.k is None:
+                    yield pd.DataFrame({"query_id": np.tile(ids, len(refs)), "ref": np.repeat(refs, len(ids)), "score": got.ravel()})
+                    continue
+                least = self.least[name]
+                if self.k < len(refs):
+                    least = np.maximum(least, -np.partition(-got, self.k - 1, axis=0)[self.k - 1])
+                i, j = np.nonzero((got >= least) & (got > -np.inf))
+                self.held[name].append(pd.DataFrame({"j": j, "ref": refs[i], "score": got[i, j]}))
+                if sum(map(len, self.held[name])) > 2 * self.k * len(ids):
+                    self.shrink(name)
+
+    def count(self, ids: np.ndarray, refs: np.ndarray, got: np.ndarray) -> None:
+        for j, q in enumerate(ids) if self.wanted else ():
             if q not in self.wanted:
                 continue
             falling, names = self.wanted[q]
@@ -148,33 +137,58 @@ class Counted(Best):
                 at[i] = bisect.bisect_right(names, refs[some[i]], left[i], at[i])
             self.counts[q] += np.bincount(at, minlength=len(names) + 1)
 
+    def shrink(self, name: int) -> pd.DataFrame:
+        rows = pd.concat(self.held[name]).sort_values(["j", "score", "ref"], ascending=[True, False, True]).groupby("j").head(self.k)
+        full = rows.groupby("j")["score"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.least[name][full.index] = full["min"]
+        self.held[name] = [rows]
+        return rows
+
     def end(self) -> Iterator[pd.DataFrame]:
-        for rows in super().end():
-            yield rows.assign(n=pd.array([None] * len(rows), "Int64"))
+        for name, held in self.held.items():
+            if held:
+                rows = self.shrink(name)
+                best = pd.DataFrame({"query_id": self.groups[name][rows["j"]], "ref": rows["ref"].to_numpy(), "score": rows["score"].to_numpy()})
+                yield best.assign(n=pd.array([None] * len(best), "Int64")) if self.counted else best
         for q, counts in self.counts.items():
             falling, names = self.wanted[q]
             if len(at := np.flatnonzero(counts[:-1])):
                 yield pd.DataFrame({"query_id": [q] * len(at), "ref": [names[i] for i in at], "score": -falling[at], "n": counts[at]})
 
 
+class Cosines(Sweep):
+    """Rows (v) of passages against rows of queries of the same width."""
+
+    def __init__(self, asks: pd.DataFrame, k: int | None, counted: bool = False):
+        super().__init__(asks, k, counted)
+        self.units = {}
+        for width, own in asks.groupby(asks["v"].map(len)):
+            self.group(width, own["query_id"].to_numpy())
+            self.units[width] = units(own)
+
+    def matrices(self, rows: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for width, own in rows.groupby(rows["v"].map(len)):
+            if width in self.units:
+                yield width, own["ref"].to_numpy(), np.round(units(own) @ self.units[width].T, DIGITS)
+
+
 def vectors(rows: DataFrame, *names: str) -> DataFrame:
     """Rows (``names``, vector) with the vector as v, array<double>; vectors without length take no part."""
     return rows.select(*names, F.col("vector").cast("array<double>").alias("v")).where(has_length(F.col("v")))
 
 
-def sweep(passages: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame], Best], more: str = "", block: int = QUERY_BLOCK) -> DataFrame:
-    """Every passage (ref, vector) past every query (query_id, v and what else ``work`` asks for, as ``vectors`` gives them and written, as it is read twice): rows (query_id, ref, score and ``more``).
+def sweep(passages: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame], Sweep], counted: bool = False, block: int = QUERY_BLOCK) -> DataFrame:
+    """Every passage (ref and what ``work`` scores) past every query (query_id and what it asks for; written, as it is read twice): rows (query_id, ref, score) and, if ``counted``, n.
 
-    Queries are dealt in blocks of at most ``block``; a task holds a block as a matrix and streams passages past it. The passages of one block stay
-    where they are read; further blocks cost a copy of the passages each, dealt over all tasks.
+    Queries are dealt in blocks of at most ``block``; a task holds a block and streams passages past it. The passages of one block stay where they
+    are read; further blocks cost a copy of the passages each, dealt over all tasks.
     """
-    own = [c for c in queries.columns if c not in ("query_id", "v")]
-    p, q = vectors(passages, "ref"), queries
     ref, query = passages.schema["ref"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {query}, ref {ref}, score double{more}"
-    blocks = max(1, -(-q.count() // block))
+    schema = f"query_id {query}, ref {ref}, score double" + ", n long" * counted
+    blocks = max(1, -(-queries.count() // block))
     if blocks == 1:
-        asks = q.toPandas()  # at most ``block`` vectors
+        asks = queries.toPandas()  # at most ``block``
 
         def stay(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = work(asks)
@@ -182,7 +196,7 @@ def sweep(passages: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame]
                 yield from held.batch(pdf)
             yield from held.end()
 
-        return p.mapInPandas(stay, schema)
+        return passages.mapInPandas(stay, schema)
 
     def stream(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, waiting, held = None, [], None
@@ -202,11 +216,13 @@ def sweep(passages: DataFrame, queries: DataFrame, work: Callable[[pd.DataFrame]
             yield from held.end()
 
     salts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    no = lambda name, kind: F.lit(0).cast(kind).alias(name)  # noqa: E731  not null, which would make floats of whole numbers
-    empty = [F.lit(None).cast(queries.schema[c].dataType).alias(c) for c in own]
-    left = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    right = p.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(salts)).cast("int"))
-    rows = left.select("block", "salt", F.lit(True).alias("asks"), "query_id", no("ref", ref), "v", *own).unionAll(right.select("block", "salt", F.lit(False).alias("asks"), no("query_id", query), "ref", "v", *empty))
+    own = {f.name: f.dataType for d in (queries, passages) for f in d.schema.fields if f.name not in ("query_id", "ref")}
+    # keys are zero, not null, on the other side: a null would make floats of whole numbers
+    column = lambda d, c: F.col(c) if c in d.columns else F.lit(0).cast(query if c == "query_id" else ref).alias(c) if c in ("query_id", "ref") else F.lit(None).cast(own[c]).alias(c)
+    left = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = passages.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).withColumn("salt", F.pmod(F.xxhash64("ref"), F.lit(salts)).cast("int"))
+    dealt = lambda d, asks: d.select("block", "salt", F.lit(asks).alias("asks"), *(column(d, c) for c in ("query_id", "ref", *own)))
+    rows = dealt(left, True).unionAll(dealt(right, False))
     return rows.repartition("block", "salt").sortWithinPartitions("block", "salt", F.desc("asks")).mapInPandas(stream, schema)
 
 
@@ -215,7 +231,7 @@ def cosine(passages: DataFrame, queries: DataFrame, k: int | None = None, block:
 
     Exhaustive by definition: each query scores every passage.
     """
-    return sweep(passages, scratch.cut(vectors(queries, "query_id"), "query-vectors"), lambda asks: Best(asks, k), block=block)
+    return sweep(vectors(passages, "ref"), scratch.cut(vectors(queries, "query_id"), "query-vectors"), lambda asks: Cosines(asks, k), block=block)
 
 
 def fuse(lexical: DataFrame, vector: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -232,21 +248,6 @@ def fuse(lexical: DataFrame, vector: DataFrame, weights: DataFrame | None = None
     return ranked(both.select("query_id", "ref", "lexical_rank", "vector_rank", F.round(score, 12).alias("score"), via.alias("via")))
 
 
-def placed(scores: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(query_id, ref, rank) of the wanted (query_id, ref, score) among their queries' scores, by counting what comes before them while it is scored: nothing is sorted or written but the wanted."""
-    entry = F.struct((-F.col("score")).alias("s"), "ref")
-    lists = wanted.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("cs"))
-    lists = scratch.cut(lists.withColumn("least", -F.element_at("cs", -1)["s"]), "wanted-ranks")
-    better = F.size(F.filter("cs", lambda c: c <= F.struct((-F.col("score")).alias("s"), "ref")))  # wanted ones that come before it, or are it
-    counts = scores.join(lists, "query_id").where(F.col("score") >= F.col("least")).groupBy("query_id", better.alias("p")).agg(F.count("*").alias("n"))
-    upto = counts.withColumn("n", F.sum("n").over(Window.partitionBy("query_id").orderBy("p")))  # as many rows as wanted ones
-    # before the i-th wanted one (from 0) come all passages that have at most i wanted ones before them
-    each = lists.select("query_id", F.posexplode("cs").alias("i", "c")).alias("each")
-    before = each.join(upto.alias("upto"), (F.col("each.query_id") == F.col("upto.query_id")) & (F.col("p") <= F.col("i"))).groupBy("each.query_id", "c").agg(F.max("n").alias("n"))
-    found = lists.select("query_id", F.explode("cs").alias("c")).join(before, ["query_id", "c"], "left")
-    return found.select("query_id", F.col("c.ref").alias("ref"), (F.coalesce("n", F.lit(0)) + 1).cast("long").alias("rank"))
-
-
 def language_weight(query_language: Column, corpus_language: Column) -> Column:
     """The lexical leg's weight: discounted only if both languages are known and differ."""
     known = query_language.isNotNull() & corpus_language.isNotNull()
