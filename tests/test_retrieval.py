@@ -32,9 +32,10 @@ def by_hand(docs, query, k):
     return [d for _, d in sorted(out)[:k]]
 
 
-@pytest.mark.parametrize("spared", [0.0, 0.75, 1.1])
-def test_top_is_exact_whatever_is_spared(spark, monkeypatch, spared):
+@pytest.mark.parametrize("spared,dense", [(0.0, 0), (0.75, 0), (1.1, 0), (0.75, 10**9)])
+def test_top_is_exact_whatever_is_spared(spark, monkeypatch, spared, dense):
     monkeypatch.setattr(L, "SPARED", spared)
+    monkeypatch.setattr(L, "DENSE", dense)
     monkeypatch.setattr(L, "SEED", 3)
     docs = corpus(1)
     index = L.build(spark.createDataFrame(docs, "ref int, text string"))
