@@ -81,8 +81,8 @@ def units(rows: pd.DataFrame) -> np.ndarray:
     return m / np.sqrt((m * m).sum(1))[:, None]
 
 
-#: Scores that a task holds at once.
-CELLS = 1 << 22
+#: Scores that a task holds at once, next to what they are summed from.
+CELLS = 1 << 20
 
 
 class Sweep:
