@@ -82,7 +82,7 @@ def units(rows: pd.DataFrame) -> np.ndarray:
 
 
 #: Scores that a task holds at once, next to what they are summed from.
-CELLS = 1 << 20
+CELLS = 1 << 21
 
 
 class Sweep:
