@@ -8,7 +8,6 @@ the order of summation can't flip ties, and every order ends in a reference.
 from __future__ import annotations
 
 import bisect
-import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
