@@ -31,5 +31,5 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _module in ("text", "retrieval", "evaluation", "evidence", "policy", "research", "lifecycle", "service", "streams", "skills", "context", "runs", "investigation"):
+for _module in ("text", "retrieval", "evaluation", "evidence", "policy", "research", "lifecycle", "service", "streams", "skills", "context", "runs", "investigation", "reading"):
     importlib.import_module(f"attestor.plans.{_module}")
