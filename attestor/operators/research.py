@@ -15,7 +15,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BooleanType
 
 # Floors of the pooled budget.
-FLOOR_REQUESTS, FLOOR_BYTES = 1, 1024
+FLOOR_REQUESTS, FLOOR_BYTES, FLOOR_MS = 1, 1024, 1
 BLOCKED = ("host_not_allowlisted", "access_restricted", "dangerous_ip_blocked", "unsupported_scheme", "invalid_url")
 
 
@@ -108,6 +108,57 @@ def ledger(calls: DataFrame, requests: int, most_bytes: int) -> DataFrame:
     return rows.withColumn("decision", F.when(F.col("cached"), "cached").when(denied, "network_budget_exhausted").otherwise("fetch"))
 
 
+def _running(rows: DataFrame, names: list[str], block: bool) -> DataFrame:
+    """Adds, for each name, the sum over an investigation's earlier calls as ``before_<name>``.
+
+    With a block, calls are sorted within (investigation, block) only, and blocks get what came before them from their sums: no investigation
+    has to fit one task.
+    """
+    parts = ["investigation", "__block"] if block else ["investigation"]
+    before = Window.partitionBy(*parts).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"before_{n}": F.coalesce(F.sum(n).over(before), F.lit(0)) for n in names})
+    if not block:
+        return rows
+    sums = rows.groupBy("investigation", "__block").agg(*(F.sum(n).alias(f"sum_{n}") for n in names))
+    earlier = Window.partitionBy("investigation").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col("investigation").alias("__of"), F.col("__block").alias("__part"), *(F.coalesce(F.sum(f"sum_{n}").over(earlier), F.lit(0)).alias(f"sum_{n}") for n in names))
+    rows = rows.join(sums, rows.investigation.eqNullSafe(F.col("__of")) & rows["__block"].eqNullSafe(F.col("__part"))).drop("__of", "__part")
+    return rows.withColumns({f"before_{n}": F.col(f"before_{n}") + F.col(f"sum_{n}") for n in names}).drop(*(f"sum_{n}" for n in names))
+
+
+def timed_ledger(calls: DataFrame, requests: int, most_bytes: int, most_ms: int, block: Column | None = None) -> DataFrame:
+    """``ledger`` in three dimensions: calls (investigation, seq, bytes, elapsed_ms, cached) with what was left before each, time included.
+
+    A live call may take no longer than what is left of the investigation's time, and is cut off then (timed_out); one that isn't funded takes
+    nothing. A cached answer takes its time, no request and no bytes, and is never denied. Adds requests_left, bytes_left, ms_left, ms_charged, decision, timed_out, and
+    exhausted: the first of requests, bytes and time that is under its floor where a call is denied.
+
+    Once a floor fails it stays failed, so sums over all earlier calls decide; what is left is then counted over funded and cached ones. ``block``
+    names a coarse part of the order that never falls as seq rises (the day of a call, say): an investigation's calls are then summed block by block.
+    Null bytes and times count as none, a null cached as a live call; calls without an investigation share one pool.
+    """
+    nothing = F.lit(0).cast("long")
+    live = ~F.coalesce("cached", F.lit(False))
+    rows = calls.withColumns({"__live": live, "__ms": F.coalesce("elapsed_ms", nothing).cast("long"), "__block": F.lit(0) if block is None else block})
+    rows = rows.withColumns({"__r": live.cast("long"), "__b": F.when(live, F.coalesce("bytes", nothing)).otherwise(nothing)})
+    split = block is not None
+
+    def left(names: tuple[str, str, str]) -> dict[str, Column]:
+        return {c: F.greatest(F.lit(most) - F.col(f"before_{n}"), F.lit(0)).cast("long") for c, n, most in zip(("requests_left", "bytes_left", "ms_left"), names, (requests, most_bytes, most_ms), strict=True)}
+
+    short = F.when(F.col("requests_left") < FLOOR_REQUESTS, "requests").when(F.col("bytes_left") < FLOOR_BYTES, "bytes").when(F.col("ms_left") < FLOOR_MS, "time")
+    rows = _running(rows, ["__r", "__b", "__ms"], split).withColumns(left(("__r", "__b", "__ms"))).withColumn("__denied", F.col("__live") & short.isNotNull())
+    rows = rows.drop("before___r", "before___b", "before___ms")
+    spent = {f"__f{n}": F.when(F.col("__denied"), nothing).otherwise(F.col(f"__{n}")) for n in ("r", "b", "ms")}
+    rows = _running(rows.withColumns(spent), list(spent), split).withColumns(left(tuple(spent))).withColumn("exhausted", F.when(F.col("__denied"), short))
+    funded = F.col("__live") & F.col("exhausted").isNull()
+    rows = rows.withColumns({
+        "ms_charged": F.when(F.col("exhausted").isNotNull(), nothing).otherwise(F.least("__ms", "ms_left")), "timed_out": funded & (F.col("__ms") > F.col("ms_left")),
+        "decision": F.when(~F.col("__live"), "cached").when(funded, "fetch").otherwise("network_budget_exhausted"),
+    })
+    return rows.drop("__live", "__denied", "__ms", "__block", "__r", "__b", *spent, *(f"before_{n}" for n in spent))
+
+
 def decide(requests: DataFrame) -> Column:
     """The ladder in order: switched off, no URL, no budget, not allowed, denied path, cached under today's policy, fetch."""
     r = requests

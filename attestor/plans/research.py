@@ -60,6 +60,32 @@ def research_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("status_if_failed", R.status_for(F.col("code")))
 
 
+DEADLINE_MS = 1500
+_TAKES = "(event_id * 37 % 400)::BIGINT"
+
+
+def deadline_sql(order: str) -> str:
+    """Charges of funded and cached calls only, a floor of a millisecond, and calls that are cut off."""
+    over = f"OVER (PARTITION BY user_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    left = lambda most, c: f"greatest({most} - coalesce(sum({c}) {over}, 0), 0)::BIGINT"
+    return f"""WITH c AS (SELECT event_id, user_id, ts, event_type = 'view' AS cached, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS r, CASE WHEN event_type = 'view' THEN 0 ELSE floor(value * 10)::BIGINT + 500 END AS b, {_TAKES} AS ms FROM events),
+    a AS (SELECT *, {left(10, 'r')} AS lr, {left(9000, 'b')} AS lb, {left(DEADLINE_MS, 'ms')} AS lm FROM c),
+    d AS (SELECT * EXCLUDE (lr, lb, lm), NOT cached AND (lr < 1 OR lb < 1024 OR lm < 1) AS denied FROM a),
+    f AS (SELECT *, {left(10, 'CASE WHEN denied THEN 0 ELSE r END')} AS requests_left, {left(9000, 'CASE WHEN denied THEN 0 ELSE b END')} AS bytes_left, {left(DEADLINE_MS, 'CASE WHEN denied THEN 0 ELSE ms END')} AS ms_left FROM d)
+    SELECT user_id, event_id, requests_left, bytes_left, ms_left, CASE WHEN denied THEN 0 ELSE least(ms, ms_left) END AS ms_charged, NOT cached AND NOT denied AND ms > ms_left AS timed_out,
+           CASE WHEN cached THEN 'cached' WHEN denied THEN 'network_budget_exhausted' ELSE 'fetch' END AS decision, CASE WHEN NOT denied THEN NULL WHEN requests_left < 1 THEN 'requests' WHEN bytes_left < 1024 THEN 'bytes' ELSE 'time' END AS exhausted FROM f"""
+
+
+@query("deadline_ledger", deadline_sql("ts, event_id"))
+def deadline_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, bytes and time of each user's calls, summed by the hour."""
+    calls = read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).select(
+        "event_id", F.col("user_id").alias("investigation"), F.struct("at", "event_id").alias("seq"), "at", (F.floor(F.col("value") * 10) + 500).cast("long").alias("bytes"), (F.col("event_id") * 37 % 400).alias("elapsed_ms"), (F.col("event_type") == "view").alias("cached"),
+    )
+    out = R.timed_ledger(calls, 10, 9000, DEADLINE_MS, F.date_trunc("hour", "at"))
+    return out.select(F.col("investigation").alias("user_id"), "event_id", "requests_left", "bytes_left", "ms_left", "ms_charged", "timed_out", "decision", "exhausted")
+
+
 @query("candidate_urls", """WITH u AS (SELECT conv_id, regexp_extract_all(string_agg(CASE turn % 3 WHEN 0 THEN 'ftp://x/' || turn ELSE 'https://h' || (turn % 4) || '/' END, ' ' ORDER BY turn), '\\S+') AS urls FROM conversations GROUP BY conv_id),
     k AS (SELECT conv_id, urls, list_filter(urls, lambda x, i: x LIKE 'http%' AND list_position(urls, x) = i) AS c FROM u) SELECT conv_id, array_to_string(c[1:3], ' ') AS candidates FROM k""")
 def candidate_urls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestor import scratch
 from attestor.plans.catalog import query, read
+from attestor.plans.research import DEADLINE_MS, deadline_sql
 from attestor.sources.markdown import MarkdownPassages
 from attestor.streaming import live
 
@@ -60,6 +61,16 @@ def stream_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("investigation").alias("user_id"), F.col("seq").alias("event_id"), "requests_left", "bytes_left", "decision")
 
 
+@query("stream_deadlines", deadline_sql("ts, event_id"))
+def stream_deadlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests, bytes and time of each user's calls, kept as state."""
+    calls = _events(spark, sf_dir).select(
+        F.col("user_id").alias("investigation"), F.col("event_id").alias("seq"), "at", (F.floor(F.col("value") * 10) + 500).cast("long").alias("bytes"), (F.col("event_id") * 37 % 400).alias("elapsed_ms"), (F.col("event_type") == "view").alias("cached"),
+    )
+    out = _settled(live.timed_ledger(calls, 10, 9000, DEADLINE_MS), "append", "deadlines")
+    return out.select(F.col("investigation").alias("user_id"), F.col("seq").alias("event_id"), "requests_left", "bytes_left", "ms_left", "ms_charged", "timed_out", "decision", "exhausted")
+
+
 @query("markdown_passages", """WITH d AS (SELECT doc_id, lang, replace(replace(text, '#', ''), chr(10), ' ') AS t FROM documents)
     SELECT doc_id, 'One' AS heading, 0 AS ordinal, 3 AS start_line, 4 AS end_line, '# One' || chr(10) || t || chr(10) AS text FROM d UNION ALL SELECT doc_id, 'One/Two', 0, 5, 6, '## Two' || chr(10) || lang || chr(10) FROM d
     UNION ALL SELECT doc_id, 'One', 1, 7, 7, '# One' || chr(10) FROM d UNION ALL SELECT doc_id, '', 0, 1, 2, 'intro' || chr(10) || chr(10) FROM d""")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from attestor.operators.research import FLOOR_BYTES, FLOOR_REQUESTS
+from attestor.operators.research import FLOOR_BYTES, FLOOR_MS, FLOOR_REQUESTS
 
 
 def events(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -97,6 +97,48 @@ def ledger(stream: DataFrame, requests: int, most_bytes: int, late: str = "2 hou
     return calls.groupBy("investigation").applyInPandasWithState(charge, found, "requests long, bytes long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def timed_ledger(stream: DataFrame, requests: int, most_bytes: int, most_ms: int, late: str = "2 hours", idle: str = "24 hours") -> DataFrame:
+    """``research.timed_ledger`` as state: calls (investigation, seq, at, bytes, elapsed_ms, cached), charged in the order of (at, seq) within a micro-batch.
+
+    An investigation's state is three numbers, dropped as in ``ledger``; nulls count as they do in the batch.
+    """
+    held = int(pd.Timedelta(idle).total_seconds() * 1000)
+    floors = {"requests": FLOOR_REQUESTS, "bytes": FLOOR_BYTES, "time": FLOOR_MS}
+    most = {"requests": requests, "bytes": most_bytes, "time": most_ms}
+
+    def charge(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        calls = pd.concat(parts, ignore_index=True).sort_values(["at", "seq"], kind="stable", ignore_index=True)
+        live = ~calls["cached"].astype("boolean").fillna(False).astype(bool)
+        takes = pd.DataFrame({"requests": live.astype("int64"), "bytes": calls["bytes"].fillna(0).astype("int64") * live, "time": calls["elapsed_ms"].fillna(0).astype("int64")})
+        spent = dict(zip(most, state.get if state.exists else (0, 0, 0), strict=True))
+
+        def left() -> pd.DataFrame:
+            return pd.DataFrame({n: (most[n] - spent[n] - (takes[n].cumsum() - takes[n])).clip(lower=0) for n in most})
+
+        before = left()
+        denied = live & pd.DataFrame({n: before[n] < floors[n] for n in floors}).any(axis=1)
+        takes = takes.mask(denied, 0)
+        before = left()
+        exhausted = pd.Series([None] * len(calls), dtype=object)
+        for name in reversed(floors):  # the first one that is under its floor is told
+            exhausted = exhausted.mask(denied & (before[name] < floors[name]), name)
+        state.update(tuple(int(spent[n] + takes[n].sum()) for n in most))
+        state.setTimeoutTimestamp(max(int(calls["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + held)
+        yield pd.DataFrame({
+            "investigation": pd.Series([key[0]] * len(calls), dtype=object), "seq": calls["seq"], "requests_left": before["requests"], "bytes_left": before["bytes"], "ms_left": before["time"],
+            "ms_charged": takes["time"].clip(upper=before["time"]), "timed_out": live & ~denied & (takes["time"] > before["time"]),
+            "decision": pd.Series("fetch", calls.index).mask(denied, "network_budget_exhausted").mask(~live, "cached"), "exhausted": exhausted,
+        })
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    found = f"investigation {kinds['investigation']}, seq {kinds['seq']}, requests_left long, bytes_left long, ms_left long, ms_charged long, timed_out boolean, decision string, exhausted string"
+    calls = stream.where("at IS NOT NULL").select("investigation", "seq", "at", "bytes", "elapsed_ms", "cached").withWatermark("at", late)
+    return calls.groupBy("investigation").applyInPandasWithState(charge, found, "requests long, bytes long, ms long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def split_late(stream: DataFrame, out: str, checkpoint: str, late: str = "2 hours") -> StreamingQuery:
     """Every row under ``out``/rows, dealt by late (the words true and false) and batch (a number): late is what a watermark of that delay would drop without a word.
 
