@@ -1,6 +1,7 @@
 """Commit history to markdown documents: a text scan split at the log's separators.
 
-Expects ``git log --no-merges --format='%H%x00%ad%x00%an%x00%s%x00%b%x01' --date=iso-strict``, one or many files of it.
+Expects ``git log --no-merges --format='%H%x00%ad%x00%an%x00%s%x00%b%x01' --date=iso-strict``, one or many files of it;
+``gitsource`` reads the same from a repository.
 """
 
 from __future__ import annotations
@@ -21,9 +22,12 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents(found: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Commits with a body as documents: name and text. ``files`` (sha, file) lists what they touched."""
+    """Commits with a body as documents: name and text. ``files`` (sha, file) lists what they touched; without it, a column files does, if there is one."""
     rows = found.where(F.length("body") > 0)
-    if files is not None:
+    if files is None and "files" in rows.columns:
+        rows = rows.withColumn("files", F.slice(F.array_sort(F.array_distinct("files")), 1, FILES_LISTED))
+    elif files is not None:
+        rows = rows.drop("files")
         listed = files.groupBy("sha").agg(F.slice(F.array_sort(F.collect_set("file")), 1, FILES_LISTED).alias("files"))
         rows = rows.join(listed, "sha", "left")
     else:
