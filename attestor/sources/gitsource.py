@@ -68,8 +68,10 @@ class _History:
         count = int(_git(self.path, "rev-list", "--count", "--no-merges", *_walk(since, tip), "--"))
         return [Span(tip, since, skip, self.each) for skip in range(0, count, self.each)]
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        """The span's commits, decoded as git's output arrives."""
+    def read(self, partition: Span | None) -> Iterator[tuple]:
+        """The span's commits, decoded as git's output arrives. Where there are no spans Spark reads once without one."""
+        if partition is None:
+            return
         words = ["log", "-z", "--no-merges", "--no-color", "--name-only", "--no-ext-diff", "--no-textconv", "--date=iso-strict", f"--format={_FORMAT}", f"--skip={partition.skip}", f"--max-count={partition.most}"]
         with subprocess.Popen(_command(self.path, *words, *_walk(partition.since, partition.tip), "--"), stdout=subprocess.PIPE, stderr=subprocess.DEVNULL) as run:
             held = b""
@@ -205,7 +207,7 @@ def write_documents(documents: DataFrame, path: str, parts: int, overwrite: bool
 
     The whole set appears at once or not at all: a failed task, a name that isn't one or that repeats, or a target that is there already (unless
     ``overwrite``) leaves the target as it was. Rows are dealt by name, so a name that repeats meets itself in one task, which holds its own names only.
-    A null text is an empty file. Readers that list the old set while it is replaced may miss it for the moment between two renames.
+    A null text is an empty file. A task that outlives its failed job may leave a folder named after the run beside the target; no reader of the target sees it. Readers that list the old set while it is replaced may miss it for the moment between two renames.
     """
     import uuid
 
