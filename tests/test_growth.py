@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from attestor.operators import context as C
 from attestor.operators import skills as S
 
 
@@ -30,3 +31,15 @@ def test_skills_are_counted_before_they_meet_requests(spark):
     expected, pairs = rows_made(spark, want)
     assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and len(got) == 200
     assert most <= 1000 < 40_000 <= pairs
+
+
+def test_context_is_assembled_without_broadcasts(spark):
+    ids = spark.range(40).select(F.col("id").alias("request_id"))
+    requests = ids.withColumns({"outcome": F.lit("proceed"), "reason": F.lit(None).cast("string"), "route_gaps": F.array(F.lit("routed"))})
+    none = F.array().cast("array<string>")
+    told = ids.select("request_id", F.lit(1).alias("seq"), F.lit("c").alias("claim_text"), F.lit("supported").alias("state"), F.array(F.lit("e1")).alias("supporting_refs"), none.alias("conflicting_refs"), none.alias("other_refs"), none.alias("conflict_classes"), none.alias("uncertainty"))
+    pool = ids.where("request_id <> 7").select("request_id", F.explode(F.array(F.lit("e1"), F.lit("e1"))).alias("ref"))
+    research = ids.limit(0).select("request_id", F.lit(1).alias("seq"), F.lit("fetched").alias("status"), F.lit("x").alias("code"), F.lit("r").alias("ref"))
+    out = C.assemble(requests, told, pool, research)
+    assert {(r.request_id, r.status) for r in out.collect()} == {(i, "abstained" if i == 7 else "complete") for i in range(40)}
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
