@@ -59,3 +59,13 @@ def test_statuses_need_no_scores(spark, monkeypatch):
     monkeypatch.setattr(L, "top", None)
     assert {tuple(r) for r in service.statuses(requests, *_registry(spark), index).collect()} == want
     assert calls.investigation_status(spark, SF).count()
+
+
+def test_rankings_leave_tasks_as_heads(spark, monkeypatch):
+    asked = []
+    whole = R.cosine
+    monkeypatch.setattr(R, "cosine", lambda p, q, k=None, **more: asked.append(k) or whole(p, q, k, **more))
+    lists = {r.query_id: r.ranked for r in evaluation._lists(spark, SF).collect()}
+    assert asked == [21]
+    every = R.ranked(plans.vectors(spark, SF).where("query_id <> ref"), 20).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "ref"))).alias("r"))
+    assert lists == {r.query_id: [x.ref for x in r.r] for r in every.collect()}
