@@ -69,3 +69,13 @@ def test_rankings_leave_tasks_as_heads(spark, monkeypatch):
     assert asked == [21]
     every = R.ranked(plans.vectors(spark, SF).where("query_id <> ref"), 20).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "ref"))).alias("r"))
     assert lists == {r.query_id: [x.ref for x in r.r] for r in every.collect()}
+
+
+def test_leg_notes_need_no_scores(spark, monkeypatch):
+    passages = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 2.0, 3.0]), (4, None), (5, [float("nan"), 1.0])], "ref long, vector array<double>")
+    queries = spark.createDataFrame([(1, [0.0, 2.0]), (2, [0.0, 0.0, 1.0]), (3, [1.0]), (4, [0.0, 0.0]), (5, None), (6, [float("nan"), 1.0])], "query_id long, vector array<double>")
+    found = {r.query_id for r in R.cosine(passages, queries).collect()}
+    assert found == {1, 2} == {r.query_id for r in R.comparable(passages, queries).collect()}
+    monkeypatch.setattr(R, "cosine", None)
+    monkeypatch.setattr(L, "scores", None)
+    assert plans.leg_notes(spark, SF).count()
