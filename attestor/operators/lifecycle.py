@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from attestor.operators.dealing import dealt
+
 
 def reusable(new: DataFrame, old: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of ``new`` whose keys ``old`` holds too (nulls equal), and those that have to be made again."""
@@ -61,12 +63,15 @@ def acknowledgments(required: Column, offered: Column) -> Column:
     return F.struct(F.array_except(required, offered).alias("missing"), F.array_except(offered, required).alias("unexpected"))
 
 
-def ceiling(legs: list[DataFrame], most: int, by: str) -> DataFrame:
-    """Evidence legs (by, pos, ref) one after the other, the first ``most`` of each request, repeats of a reference left out."""
+def ceiling(legs: list[DataFrame], most: int, by: str, number: int | None = None) -> DataFrame:
+    """Evidence legs (by, pos, ref) one after the other, the first ``most`` of each request, repeats of a reference left out.
+
+    ``number``: of the legs' rows, if it is known; by it requests are dealt to tasks.
+    """
     rows = legs[0].withColumn("leg", F.lit(0))
     for i, leg in enumerate(legs[1:], 1):
         rows = rows.unionByName(leg.withColumn("leg", F.lit(i)))
-    once = rows.groupBy(by, "ref").agg(F.min(F.struct("leg", "pos")).alias("o"))
+    once = dealt(rows, number, by).groupBy(by, "ref").agg(F.min(F.struct("leg", "pos")).alias("o"))
     return once.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy("o", "ref"))).where(F.col("rank") <= most).select(by, "ref", "o.leg", "rank")
 
 

@@ -83,7 +83,7 @@ def issue_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = read(spark, sf_dir, "lineitem")
     leg = lambda df, ref: df.select(F.col("l_orderkey").alias("order_key"), F.col(ref).alias("ref"), F.col("l_linenumber").alias("pos"))
-    out = L.ceiling([leg(line.where("l_returnflag = 'R'"), "l_partkey"), leg(line.where("l_quantity < 30"), "l_partkey"), leg(line, "l_suppkey")], 4, "order_key")
+    out = L.ceiling([leg(line.where("l_returnflag = 'R'"), "l_partkey"), leg(line.where("l_quantity < 30"), "l_partkey"), leg(line, "l_suppkey")], 4, "order_key", 2 * line.count())
     return out.withColumn("rank", F.col("rank").cast("long"))
 
 
