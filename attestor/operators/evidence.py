@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from attestor.operators.dealing import dealt
+
 GLOBAL = "GLOBAL"
 
 
@@ -55,19 +57,25 @@ def conflicts(evidence: DataFrame) -> DataFrame:
     return claim.select("claim_id", classes.alias("conflict_classes")).where("size(conflict_classes) > 0")
 
 
-def assess(claims: DataFrame, evidence: DataFrame, today: Column) -> DataFrame:
-    """Claims (claim_id, jurisdiction, as_of, requested_version) with state, corroboration, counts of references, conflict classes and uncertainty."""
+def assess(claims: DataFrame, evidence: DataFrame, today: Column, number: int | None = None) -> DataFrame:
+    """Claims (claim_id, jurisdiction, as_of, requested_version) with state, corroboration, counts of references, conflict classes and uncertainty.
+
+    ``number``: of evidence rows, if it is known; by it they are dealt to tasks.
+    """
     asked = claims.select("claim_id", F.col("jurisdiction").alias("asked_jurisdiction"), "as_of", "requested_version")
-    rows = evidence.join(asked, "claim_id")
+    rows = dealt(evidence, number, "claim_id").join(asked, "claim_id")
     rows = rows.withColumn("applies", applicable(rows, rows.asked_jurisdiction, rows.as_of, rows.requested_version))
     rows = rows.withColumn("authority", authority(F.col("source_authority"))).withColumn("freshness", freshness(today, F.col("expires_at"), F.col("updated_at"), F.col("published_at"), F.when(F.col("source_authority").isNotNull(), F.col("freshness_days"))))
     current = F.col("applies") & (F.col("authority") != "unknown") & (F.col("freshness") == "current")
     first = Window.partitionBy("claim_id").orderBy(F.col("applies").desc(), "seq")
-    rows = rows.withColumn("first_claim", F.first("normalized_claim").over(first))
+    rows = rows.withColumns({"first_claim": F.first("normalized_claim").over(first), "current": current})
+    # what is distinct is counted by its first row: no shuffle but by claim, where a distinct count takes two more
+    once = lambda column, flag: F.col(flag) & F.col(column).isNotNull() & (F.row_number().over(Window.partitionBy("claim_id", column).orderBy(F.desc(flag))) == 1)
+    rows = rows.withColumns({"new_claim": once("normalized_claim", "applies"), "new_publisher": once("publisher", "current")})
     led = rows.groupBy("claim_id").agg(
-        F.count("*").alias("evidence"), F.count_if("applies").alias("applicable"), F.countDistinct(F.when(F.col("applies"), F.col("normalized_claim"))).alias("groups"),
+        F.count("*").alias("evidence"), F.count_if("applies").alias("applicable"), F.count_if("new_claim").alias("groups"),
         F.count_if(F.col("applies") & (F.col("normalized_claim") == F.col("first_claim"))).alias("agreeing"),
-        F.bool_or(F.col("applies") & (F.col("authority") != "unknown")).alias("any_authority"), F.countDistinct(F.when(current, F.col("publisher"))).alias("publishers"),
+        F.bool_or(F.col("applies") & (F.col("authority") != "unknown")).alias("any_authority"), F.count_if("new_publisher").alias("publishers"),
     )
     out = claims.join(led, "claim_id", "left").join(conflicts(rows.where("applies")), "claim_id", "left")
     none, nowhere = F.coalesce("evidence", F.lit(0)) == 0, F.coalesce("applicable", F.lit(0)) == 0
