@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from attestor.operators import evidence as E
+from attestor.operators.dealing import dealt
 from attestor.plans.catalog import query, read
 
 TODAY = "1998-06-01"
 
 
+def _number(spark: SparkSession, sf_dir: str) -> int:
+    """Of evidence rows, told by the files' footers."""
+    return read(spark, sf_dir, "lineitem").count()
+
+
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem")
+    line = dealt(read(spark, sf_dir, "lineitem"), _number(spark, sf_dir), "l_suppkey")
     places = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = line.join(places.select("s_suppkey", "s_name", "r_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     ship, known = F.to_date("l_shipdate"), F.col("l_suppkey") % 4 != 0
@@ -62,14 +68,14 @@ def evidence_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN coalesce(n, 0) = 0 THEN 'no_evidence' WHEN a = 0 THEN CASE WHEN aj IS NULL AND as_of IS NULL THEN 'missing_jurisdiction,missing_effective_date' WHEN aj IS NULL THEN 'missing_jurisdiction' WHEN as_of IS NULL THEN 'missing_effective_date' ELSE 'no_applicable_evidence' END
              WHEN g > 1 THEN 'evidence_disagrees' WHEN NOT auth THEN 'authority_unknown' WHEN pubs = 0 THEN 'no_current_authoritative_evidence' ELSE '' END AS uncertainty FROM st""")
 def claim_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = E.assess(_claims(spark, sf_dir), _evidence(spark, sf_dir), F.lit(TODAY).cast("date"))
+    out = E.assess(_claims(spark, sf_dir), _evidence(spark, sf_dir), F.lit(TODAY).cast("date"), _number(spark, sf_dir))
     return out.withColumn("conflict_classes", F.array_join("conflict_classes", ",")).withColumn("uncertainty", F.array_join("uncertainty", ","))
 
 
 @query("claim_conflicts", f"WITH {_E}, {_C} SELECT claim_id, classes AS conflict_classes FROM cc")
 def claim_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, c = _evidence(spark, sf_dir), _claims(spark, sf_dir).select("claim_id", F.col("jurisdiction").alias("aj"), "as_of", "requested_version")
-    rows = e.join(c, "claim_id")
+    rows = dealt(e, _number(spark, sf_dir), "claim_id").join(c, "claim_id")
     rows = rows.where(E.applicable(rows, rows.aj, rows.as_of, rows.requested_version))
     return E.conflicts(rows).withColumn("conflict_classes", F.array_join("conflict_classes", ","))
 
