@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -110,27 +111,31 @@ def timed_ledger(stream: DataFrame, requests: int, most_bytes: int, most_ms: int
         if state.hasTimedOut:
             state.remove()
             return
-        calls = pd.concat(parts, ignore_index=True).sort_values(["at", "seq"], kind="stable", ignore_index=True)
-        live = ~calls["cached"].astype("boolean").fillna(False).astype(bool)
-        takes = pd.DataFrame({"requests": live.astype("int64"), "bytes": calls["bytes"].fillna(0).astype("int64") * live, "time": calls["elapsed_ms"].fillna(0).astype("int64")})
+        # plain arrays: an investigation may have few calls, and a frame's operations cost the same for one row as for thousands
+        calls = pd.concat(parts, ignore_index=True)
+        if len(calls) > 1:
+            calls = calls.sort_values(["at", "seq"], kind="stable", ignore_index=True)
+        whole = lambda c: (calls[c].fillna(0) if calls[c].hasnans else calls[c]).to_numpy().astype("i8")
+        live = calls["cached"].to_numpy(dtype=object) != True  # noqa: E712  a null is a live call
+        takes = {"requests": live.astype("i8"), "bytes": whole("bytes") * live, "time": whole("elapsed_ms")}
         spent = dict(zip(most, state.get if state.exists else (0, 0, 0), strict=True))
 
-        def left() -> pd.DataFrame:
-            return pd.DataFrame({n: (most[n] - spent[n] - (takes[n].cumsum() - takes[n])).clip(lower=0) for n in most})
+        def left() -> dict[str, np.ndarray]:
+            return {n: np.maximum(most[n] - spent[n] - (np.cumsum(takes[n]) - takes[n]), 0) for n in most}
 
         before = left()
-        denied = live & pd.DataFrame({n: before[n] < floors[n] for n in floors}).any(axis=1)
-        takes = takes.mask(denied, 0)
+        denied = live & np.logical_or.reduce([before[n] < floors[n] for n in floors])
+        takes = {n: np.where(denied, 0, took) for n, took in takes.items()}
         before = left()
-        exhausted = pd.Series([None] * len(calls), dtype=object)
+        exhausted = np.full(len(calls), None, dtype=object)
         for name in reversed(floors):  # the first one that is under its floor is told
-            exhausted = exhausted.mask(denied & (before[name] < floors[name]), name)
+            exhausted[denied & (before[name] < floors[name])] = name
         state.update(tuple(int(spent[n] + takes[n].sum()) for n in most))
-        state.setTimeoutTimestamp(max(int(calls["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + held)
+        state.setTimeoutTimestamp(max(int(calls["at"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + held)
+        decision = np.where(live, np.where(denied, "network_budget_exhausted", "fetch"), "cached").astype(object)
         yield pd.DataFrame({
-            "investigation": pd.Series([key[0]] * len(calls), dtype=object), "seq": calls["seq"], "requests_left": before["requests"], "bytes_left": before["bytes"], "ms_left": before["time"],
-            "ms_charged": takes["time"].clip(upper=before["time"]), "timed_out": live & ~denied & (takes["time"] > before["time"]),
-            "decision": pd.Series("fetch", calls.index).mask(denied, "network_budget_exhausted").mask(~live, "cached"), "exhausted": exhausted,
+            "investigation": np.full(len(calls), key[0], dtype=object), "seq": calls["seq"], "requests_left": before["requests"], "bytes_left": before["bytes"], "ms_left": before["time"],
+            "ms_charged": np.minimum(takes["time"], before["time"]), "timed_out": live & ~denied & (takes["time"] > before["time"]), "decision": decision, "exhausted": exhausted,
         })
 
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
