@@ -65,6 +65,19 @@ def index_new(stream: DataFrame, index_path: str, checkpoint: str, key: str = "r
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# Balances are kept in plain arrays: an investigation may have few calls, and a frame's operations cost the same for one row as for thousands.
+def _ordered(parts: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
+    """An investigation's calls in the order of (at, seq), and which of them are live: a null cached is."""
+    calls = pd.concat(parts, ignore_index=True)
+    if len(calls) > 1:
+        calls = calls.sort_values(["at", "seq"], kind="stable", ignore_index=True)
+    return calls, calls["cached"].to_numpy(dtype=object) != True  # noqa: E712
+
+
+def _whole(numbers: pd.Series) -> np.ndarray:
+    return (numbers.fillna(0) if numbers.hasnans else numbers).to_numpy().astype("i8")
+
+
 def ledger(stream: DataFrame, requests: int, most_bytes: int, late: str = "2 hours", idle: str = "24 hours") -> DataFrame:
     """Calls (investigation, seq, at, bytes, cached) with what was left before each and whether it was funded, as ``research.ledger`` tells for a batch.
 
@@ -78,19 +91,16 @@ def ledger(stream: DataFrame, requests: int, most_bytes: int, late: str = "2 hou
         if state.hasTimedOut:
             state.remove()
             return
-        calls = pd.concat(parts, ignore_index=True).sort_values(["at", "seq"], kind="stable")
+        calls, live = _ordered(parts)
         spent, weight = state.get if state.exists else (0, 0)
-        live = ~calls["cached"].astype("boolean").fillna(False).astype(bool)
-        size = calls["bytes"].fillna(0).astype("int64") * live
-        requests_left = (requests - spent - (live.cumsum() - live)).clip(lower=0)
-        bytes_left = (most_bytes - weight - (size.cumsum() - size)).clip(lower=0)
+        size = _whole(calls["bytes"]) * live
+        requests_left = np.maximum(requests - spent - (np.cumsum(live) - live), 0)
+        bytes_left = np.maximum(most_bytes - weight - (np.cumsum(size) - size), 0)
         denied = live & ((requests_left < FLOOR_REQUESTS) | (bytes_left < FLOOR_BYTES))
         state.update((spent + int(live.sum()), weight + int(size.sum())))
-        state.setTimeoutTimestamp(max(int(calls["at"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + held)
-        decision = pd.Series("fetch", calls.index).mask(denied, "network_budget_exhausted").mask(~live, "cached")
-        out = pd.DataFrame({"seq": calls["seq"], "requests_left": requests_left, "bytes_left": bytes_left, "decision": decision})
-        out.insert(0, "investigation", pd.Series([key[0]] * len(out), out.index, dtype=object))
-        yield out
+        state.setTimeoutTimestamp(max(int(calls["at"].iloc[-1].timestamp() * 1000), state.getCurrentWatermarkMs()) + held)
+        decision = np.where(live, np.where(denied, "network_budget_exhausted", "fetch"), "cached").astype(object)
+        yield pd.DataFrame({"investigation": np.full(len(calls), key[0], dtype=object), "seq": calls["seq"], "requests_left": requests_left, "bytes_left": bytes_left, "decision": decision})
 
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
     found = f"investigation {kinds['investigation']}, seq {kinds['seq']}, requests_left long, bytes_left long, decision string"
@@ -111,13 +121,8 @@ def timed_ledger(stream: DataFrame, requests: int, most_bytes: int, most_ms: int
         if state.hasTimedOut:
             state.remove()
             return
-        # plain arrays: an investigation may have few calls, and a frame's operations cost the same for one row as for thousands
-        calls = pd.concat(parts, ignore_index=True)
-        if len(calls) > 1:
-            calls = calls.sort_values(["at", "seq"], kind="stable", ignore_index=True)
-        whole = lambda c: (calls[c].fillna(0) if calls[c].hasnans else calls[c]).to_numpy().astype("i8")
-        live = calls["cached"].to_numpy(dtype=object) != True  # noqa: E712  a null is a live call
-        takes = {"requests": live.astype("i8"), "bytes": whole("bytes") * live, "time": whole("elapsed_ms")}
+        calls, live = _ordered(parts)
+        takes = {"requests": live.astype("i8"), "bytes": _whole(calls["bytes"]) * live, "time": _whole(calls["elapsed_ms"])}
         spent = dict(zip(most, state.get if state.exists else (0, 0, 0), strict=True))
 
         def left() -> dict[str, np.ndarray]:
