@@ -1,8 +1,9 @@
 """Medians of each query's cosines with all vectors, exactly, without a pair that leaves its task.
 
-Cosines are rounded to nine digits, so they are whole numbers of nano units and an order statistic can be found digit by digit: a sweep counts, for each query, the next
-digit of the scores that begin like the one sought. Three sweeps find the middle of the scores, three more the middle of the distances from it. A task holds counters for a
-block of queries, whatever the number of vectors; the scores are computed anew in each sweep, which is far less than shuffling them.
+Cosines are rounded to nine digits, so they are whole numbers of nano units. A sample of the vectors tells between which numbers a median will be; a sweep counts what lies below
+and counts, by steps, what lies between. Steps of one give the median at once; they are taken where little lies between, else the step that holds the median is
+what the next sweep looks at. A median that isn't where the sample had it is looked for where the counts say, so the sample only saves sweeps. One or two sweeps find the
+middle of the scores and as many the middle of the distances from it. What a task holds and hands over has a bound for each query, whatever the number of vectors.
 """
 
 from __future__ import annotations
@@ -11,78 +12,123 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from attestor import scratch
 from attestor.operators import retrieval as R
 
 UNIT = 10**R.DIGITS
-#: Added to scores, so that none is below zero; scores and distances (in half units) then have 32 bits.
-ZERO = 1 << 30
-#: Digits from the first: bits behind each, and its own.
-DIGITS = ((21, 11), (10, 11), (0, 10))
+#: No score, and no distance in half units, is beyond.
+END = 5 * UNIT
+#: Steps between two numbers, and what may lie between them, all tasks together, if each number is told by itself.
+STEPS, TOLD = 1024, 4096
+#: More than any number of steps.
+STEPS_MOST = 1 << 34
+#: Vectors of the sample.
+SAMPLE = 4096
 #: Vectors that are dealt together to a block of queries, if there are several blocks.
 DEAL = 1 << 16
-#: Queries whose counts are handed over at once.
-HANDED = 256
+#: Steps that are held before they are counted together.
+HELD = 1 << 20
 
 
 class Counted(R.Cosines):
-    """Counts by the next digit of what begins with ``low`` or ``high`` (numbers of the queries), instead of scores. With ``middle`` (in half units) it is the scores' distances from it that count."""
+    """Counts of each query's scores below ``low``, and by steps of ``step`` from there to ``high``; the least one beyond, and the best. With ``middle`` (in half units) it is the scores' distances from it that count."""
 
-    def __init__(self, asks: pd.DataFrame, shift: int, bits: int):
+    def __init__(self, asks: pd.DataFrame):
         super().__init__(asks, None)
-        self.shift, self.bits = shift, bits
         own = {width: rows for width, rows in asks.groupby(asks["v"].map(len))}
-        self.sought = {width: [rows[c].to_numpy("i8") for c in ("low", "high")] for width, rows in own.items()}
-        self.middle = {width: None if rows["middle"].isna().all() else rows["middle"].to_numpy("i8") for width, rows in own.items()}
-        self.counts = {width: np.zeros((2, len(rows), 1 << bits), "i8") for width, rows in own.items()}
-        self.best = {width: np.full(len(rows), -np.inf) for width, rows in own.items()}
-
-    def batch(self, rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        most = max(1, R.CELLS // max([1, *map(len, self.groups.values())]))
-        for at in range(0, len(rows), most):
-            for width, _, got in self.matrices(rows.iloc[at : at + most]):
-                self.best[width] = np.maximum(self.best[width], got.max(axis=0))
-                self.tally(width, np.rint(got * UNIT).astype("i8"))
+        self.sought = {width: [rows[c].to_numpy("f8") for c in ("low", "high", "step")] for width, rows in own.items()}
+        self.middle = {width: None if rows["middle"].isna().all() else rows["middle"].to_numpy("f8") for width, rows in own.items()}
+        self.told = {width: {"n": 0, "below": np.zeros(len(rows), "i8"), "over": np.full(len(rows), np.inf), "best": np.full(len(rows), -np.inf)} for width, rows in own.items()}
+        self.steps: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {width: [] for width in own}
+
+    def batch(self, rows: pa.RecordBatch) -> Iterator[pd.DataFrame]:
+        for width, _, got in self.matrices(rows, max(1, R.CELLS // max([1, *map(len, self.groups.values())]))):
+            self.tally(width, got)
         yield from ()
 
-    def tally(self, width: int, scores: np.ndarray) -> None:
-        middle, (low, high) = self.middle[width], self.sought[width]
-        codes = (scores + ZERO if middle is None else np.abs(2 * scores - middle)) >> self.shift
-        begins, size = codes >> self.bits, 1 << self.bits
-        for counts, first, own in zip(self.counts[width], (low, high), (True, low != high), strict=True):  # counted once where both begin alike
-            i, j = np.nonzero((begins == first) & own)
-            counts += np.bincount(j * size + (codes[i, j] & (size - 1)), minlength=counts.size).reshape(counts.shape)
+    def tally(self, width: int, got: np.ndarray) -> None:
+        told, (low, high, step), middle = self.told[width], self.sought[width], self.middle[width]
+        np.rint(np.multiply(got, UNIT, out=got), out=got)
+        told["n"] += len(got)
+        told["best"] = np.maximum(told["best"], got.max(axis=0))
+        if middle is not None:
+            np.abs(np.subtract(np.multiply(got, 2, out=got), middle, out=got), out=got)
+        before, beyond = got < low, got > high
+        told["below"] += np.count_nonzero(before, axis=0)
+        i, j = np.nonzero(~(before | beyond))
+        self.steps[width].append((j * STEPS_MOST + ((got[i, j] - low[j]) // step[j]).astype("i8"), np.ones(len(j), "i8")))
+        if sum(len(codes) for codes, _ in self.steps[width]) > 2 * HELD:
+            self.steps[width] = [self.gathered(width)]
+        exact = np.flatnonzero(step == 1)  # what follows a number matters where numbers are told
+        if len(exact):
+            got[~beyond] = np.inf
+            told["over"][exact] = np.minimum(told["over"], got.min(axis=0))[exact]
+
+    def gathered(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        codes, many = (np.concatenate(c) for c in zip(*self.steps[width], strict=True))
+        found, at = np.unique(codes, return_inverse=True)
+        return found, np.bincount(at, many, len(found)).astype("i8")
 
     def end(self) -> Iterator[pd.DataFrame]:
         for width, ids in self.groups.items():
-            for first, counts in zip(self.sought[width], self.counts[width], strict=True):
-                for at in range(0, len(ids), HANDED):
-                    j, digit = np.nonzero(counts[at : at + HANDED])
-                    n, j = counts[at : at + HANDED][j, digit], j + at
-                    yield pd.DataFrame({"query_id": ids[j], "code": (first[j] << self.bits) | digit, "n": n, "best": self.best[width][j]})
-
-
-def _narrowed(counts: DataFrame, asks: DataFrame, bits: int) -> DataFrame:
-    """``asks`` with the next digit of low and high, and what lies before them."""
-    rows = counts.repartition("query_id").groupBy("query_id", "code").agg(F.sum("n").alias("n"), F.max("best").alias("most"))
-    start = F.shiftright("code", bits)
-    before = Window.partitionBy("query_id", start).orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({"before": F.coalesce(F.sum("n").over(before), F.lit(0)), "start": start})
-    whole = Window.partitionBy("query_id")
-    rows = rows.join(asks.drop("v", "middle", "best"), "query_id")
-    rows = rows.withColumns({"total": F.coalesce("total", F.sum("n").over(whole)), "most": F.max("most").over(whole)})
-    # of ``total`` scores the best is left out; it is the last by score, and by distance no earlier than half of the rest
-    place = {"low": F.floor((F.col("total") - 2) / 2), "high": F.floor((F.col("total") - 1) / 2)}
-    told = {}
-    for name, rank in place.items():
-        rank = F.greatest(rank, F.lit(0)) - F.col(f"before_{name}")
-        here = (F.col("start") == F.col(name)) & (F.col("before") <= rank) & (rank < F.col("before") + F.col("n"))
-        told |= {name: F.max(F.when(here, F.col("code"))), f"before_{name}": F.max(F.when(here, F.col(f"before_{name}") + F.col("before")))}
-    found = rows.groupBy("query_id").agg(*(c.alias(name) for name, c in told.items()), F.max("total").alias("total"), F.max("most").alias("most"))
-    found = found.join(asks.select("query_id", "v", "middle", "best"), "query_id")
-    return found.select("query_id", "v", "low", "before_low", "high", "before_high", "total", F.coalesce("best", "most").alias("best"), "middle")
+            told = self.told[width]
+            if not told["n"]:
+                continue
+            codes, many = self.gathered(width)
+            cuts = np.searchsorted(codes, np.arange(1, len(ids)) * STEPS_MOST)
+            lists = lambda a: np.split(a, cuts)
+            out = pd.DataFrame({"query_id": ids, "n": told["n"], "best": told["best"], "below": told["below"], "over": np.where(np.isinf(told["over"]), END, told["over"]).astype("i8")})
+            out["steps"], out["many"] = lists(codes % STEPS_MOST), lists(many)
+            for at in range(0, len(out), 256):
+                yield out.iloc[at : at + 256]
+
+
+def _narrowed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What all tasks have told of a query, and its low, high and step before, as its next ones; ``found`` where low and high are the two middle numbers."""
+    n, below, over, first, step, high = int(pdf["n"].sum()), int(pdf["below"].sum()), int(pdf["over"].min()), int(pdf["low"].iloc[0]), int(pdf["step"].iloc[0]), int(pdf["high"].iloc[0])
+    steps, at = np.unique(np.concatenate(pdf["steps"].to_numpy()).astype("i8"), return_inverse=True)
+    ends = below + np.cumsum(np.bincount(at, np.concatenate(pdf["many"].to_numpy()), len(steps)).astype("i8"))
+    # of n scores the best is left out; it is the last by score, and by distance no earlier than half of the rest
+    ranks = max((n - 2) // 2, 0), max((n - 1) // 2, 0)
+    last = int(ends[-1]) if len(ends) else below
+    out = {"query_id": pdf["query_id"].iloc[:1].to_numpy(), "n": n, "best": float(pdf["best"].max()), "found": False, "step": 1}
+    if ranks[0] < below:
+        low, high, inside = -END, first - 1, below
+    elif ranks[0] >= last:
+        low, high, inside = high + 1, END, n - last
+    else:
+        i = int(np.searchsorted(ends, ranks[0], "right"))
+        if step == 1:
+            k = int(np.searchsorted(ends, ranks[1], "right"))
+            return pd.DataFrame(out | {"found": True, "low": first + int(steps[i]), "high": first + int(steps[k]) if k < len(ends) else over})
+        low, inside = first + int(steps[i]) * step, int(ends[i] - (ends[i - 1] if i else below))
+        high = min(low + step - 1, high)
+    return pd.DataFrame(out | {"low": low, "high": high, "step": 1 if inside <= TOLD else -(-(high - low + 1) // STEPS)})
+
+
+def _sampled(rows: pd.DataFrame, many: int):
+    """A function that gives queries (query_id, v and, for distances, middle) the numbers between which a sample of ``many`` vectors has their median."""
+    units = {width: R.units(np.stack(own)) for width, own in rows["v"].groupby(rows["v"].map(len))}
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for width, own in pdf.groupby(pdf["v"].map(len)):
+                low, high, inside = np.full(len(own), -END), np.full(len(own), END), float(many)
+                if width in units and len(units[width]) >= 64:
+                    m, got = len(units[width]), np.rint(R.units(np.stack(own["v"])) @ units[width].T * UNIT)
+                    if not own["middle"].isna().all():
+                        got = np.abs(2 * got - own["middle"].to_numpy("f8")[:, None])
+                    reach = int(2 * m**0.5) + 1  # four deviations of a rank
+                    at = max((m - 1) // 2 - reach, 0), min(m // 2 + reach, m - 1)
+                    got.partition(at, axis=1)
+                    low, high, inside = got[:, at[0]].astype("i8"), got[:, at[1]].astype("i8"), 2 * reach * many / m
+                step = np.ones(len(own), "i8") if inside <= TOLD else np.maximum(-(-(high - low + 1) // STEPS), 1)
+                yield own.assign(low=low, high=high, step=step)
+
+    return work
 
 
 def middles(passages: DataFrame, queries: DataFrame, block: int = R.QUERY_BLOCK) -> DataFrame:
@@ -90,22 +136,32 @@ def middles(passages: DataFrame, queries: DataFrame, block: int = R.QUERY_BLOCK)
 
     The scores are those of ``retrieval.cosine``; queries that nothing can be compared with are left out, mid and mad are null where there is no other score.
     """
-    long = lambda value: F.lit(value).cast("long")
-    sought = {"low": long(0), "before_low": long(0), "high": long(0), "before_high": long(0)}
     rows = R.vectors(passages, "ref")
-    asks = scratch.cut(R.vectors(queries, "query_id").withColumns(sought | {"total": long(None), "best": F.lit(None).cast("double"), "middle": long(None)}), "query-vectors")
-    schema = f"query_id {asks.schema['query_id'].dataType.simpleString()}, code long, n long, best double"
-    many = asks.count()
-    for distances in (False, True):
-        for shift, bits in DIGITS:
-            wanted = asks.select("query_id", "v", "low", "high", "middle")
-            counts = R.sweep(rows, wanted, lambda held, shift=shift, bits=bits: Counted(held, shift, bits), block=block, schema=schema, deal=DEAL, many=many)
-            found = scratch.cut(_narrowed(counts, asks, bits), "narrowed")
-            scratch.drop(asks)
-            asks = found
-        if not distances:
-            asks = asks.withColumn("middle", F.col("low") + F.col("high") - 2 * ZERO).withColumns(sought)
-    several = lambda c: F.when(F.col("total") > 1, c)
-    return asks.select(
-        "query_id", F.col("total").alias("n"), "best", several(F.col("middle") / (2 * UNIT)).alias("mid"), several((F.col("low") + F.col("high")) / (4 * UNIT)).alias("mad"),
+    sample = rows.orderBy(F.xxhash64("ref"), "ref").limit(SAMPLE).select("v").toPandas()
+    vectors = scratch.cut(R.vectors(queries, "query_id"), "query-vectors")
+    many, all_ = vectors.count(), rows.count()
+    key = vectors.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {key}, n long, best double, below long, over long, steps array<long>, many array<long>"
+    middle, done = F.lit(None).cast("long"), None
+    for _ in ("scores", "distances"):
+        asks = vectors.withColumn("middle", middle) if done is None else vectors.join(done.select("query_id", middle.alias("middle")), "query_id")
+        asks = scratch.cut(asks.mapInPandas(_sampled(sample, all_), f"query_id {key}, v array<double>, middle long, low long, high long, step long"), "asked-middles")
+        parts = []
+        while True:
+            counts = R.sweep(rows, asks, Counted, block=block, schema=schema, deal=DEAL, many=many if not parts else None)
+            told = counts.join(asks.select("query_id", "low", "high", "step"), "query_id")
+            found = scratch.cut(told.groupBy("query_id").applyInPandas(_narrowed, f"query_id {key}, n long, best double, found boolean, step long, low long, high long"), "narrowed")
+            parts.append(found.where("found"))
+            if found.where("NOT found").isEmpty():
+                break
+            asks = scratch.cut(asks.select("query_id", "v", "middle").join(found.where("NOT found").select("query_id", "low", "high", "step"), "query_id"), "asked-middles")
+        found = parts[0]
+        for part in parts[1:]:
+            found = found.unionByName(part)
+        if done is None:
+            done, middle = found.select("query_id", "n", "best", "low", "high"), F.col("low") + F.col("high")
+    several = lambda c: F.when(F.col("n") > 1, c)
+    spread = found.select("query_id", (F.col("low") + F.col("high")).alias("around"))
+    return done.join(spread, "query_id").select(
+        "query_id", "n", (F.col("best") / UNIT).alias("best"), several((F.col("low") + F.col("high")) / (2 * UNIT)).alias("mid"), several(F.col("around") / (4 * UNIT)).alias("mad"),
     )

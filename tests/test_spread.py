@@ -46,3 +46,27 @@ def test_no_score_leaves_its_task(spark):
 
 def test_no_vectors(spark, tables):
     assert spread.middles(tables[0].limit(0), tables[1]).count() == 0 == spread.middles(tables[0], tables[1].limit(0)).count()
+
+
+def test_few_sweeps(spark, tables, monkeypatch):
+    """Six sweeps were made, whatever the scores."""
+    made, sweep = [], R.sweep
+    monkeypatch.setattr(R, "sweep", lambda *a, **b: made.append(1) or sweep(*a, **b))
+    assert spread.middles(*tables).count() and len(made) <= 4
+
+
+def test_medians_are_found_where_the_sample_has_missed_them(spark, tables, monkeypatch):
+    passages, queries = tables
+    asked = queries.where("query_id < 30")
+    want = {r.query_id: r for r in spread.middles(passages, asked).collect()}
+    monkeypatch.setattr(spread, "SAMPLE", 66)
+    monkeypatch.setattr(spread, "TOLD", 3)
+    monkeypatch.setattr(spread, "STEPS", 1 << 14)
+    wrong = spread._sampled
+
+    def off(rows, many):
+        work = wrong(rows, many)
+        return lambda batches: (pdf.assign(low=pdf["low"] + 10**9, high=pdf["low"] + 10**9 + 5) for pdf in work(batches))
+
+    monkeypatch.setattr(spread, "_sampled", off)
+    assert {r.query_id: r for r in spread.middles(passages, asked).collect()} == want
