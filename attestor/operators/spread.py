@@ -22,15 +22,19 @@ UNIT = 10**R.DIGITS
 #: No score, and no distance in half units, is beyond.
 END = 5 * UNIT
 #: Steps between two numbers, and what may lie between them, all tasks together, if each number is told by itself.
-STEPS, TOLD = 1024, 4096
+STEPS, TOLD = 256, 4096
 #: More than any number of steps.
 STEPS_MOST = 1 << 34
 #: Vectors of the sample.
-SAMPLE = 4096
+SAMPLE = 16_384
 #: Vectors that are dealt together to a block of queries, if there are several blocks.
-DEAL = 1 << 16
-#: Steps that are held before they are counted together.
+DEAL = 1 << 15
+#: Numbers that are held before they are counted together.
 HELD = 1 << 20
+#: Scores that are counted at once: few enough for a core's own memory.
+CELLS = 1 << 18
+#: Queries whose counts are put together at once.
+NARROWED = 64
 
 
 class Counted(R.Cosines):
@@ -39,13 +43,16 @@ class Counted(R.Cosines):
     def __init__(self, asks: pd.DataFrame):
         super().__init__(asks, None)
         own = {width: rows for width, rows in asks.groupby(asks["v"].map(len))}
-        self.sought = {width: [rows[c].to_numpy("f8") for c in ("low", "high", "step")] for width, rows in own.items()}
+        self.sought = {width: [rows[c].to_numpy("i8") for c in ("low", "high", "step")] for width, rows in own.items()}
         self.middle = {width: None if rows["middle"].isna().all() else rows["middle"].to_numpy("f8") for width, rows in own.items()}
         self.told = {width: {"n": 0, "below": np.zeros(len(rows), "i8"), "over": np.full(len(rows), np.inf), "best": np.full(len(rows), -np.inf)} for width, rows in own.items()}
+        #: Numbers of queries whose steps are counted in a table, and the table; numbers told by themselves are held as codes.
+        self.coarse = {width: np.flatnonzero(step > 1) for width, (_, _, step) in self.sought.items()}
+        self.table = {width: np.zeros((len(rows), STEPS), "i4") for width, rows in self.coarse.items()}
         self.steps: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {width: [] for width in own}
 
     def batch(self, rows: pa.RecordBatch) -> Iterator[pd.DataFrame]:
-        for width, _, got in self.matrices(rows, max(1, R.CELLS // max([1, *map(len, self.groups.values())]))):
+        for width, _, got in self.matrices(rows, max(1, CELLS // max([1, *map(len, self.groups.values())]))):
             self.tally(width, got)
         yield from ()
 
@@ -58,8 +65,15 @@ class Counted(R.Cosines):
             np.abs(np.subtract(np.multiply(got, 2, out=got), middle, out=got), out=got)
         before, beyond = got < low, got > high
         told["below"] += np.count_nonzero(before, axis=0)
-        i, j = np.nonzero(~(before | beyond))
-        self.steps[width].append((j * STEPS_MOST + ((got[i, j] - low[j]) // step[j]).astype("i8"), np.ones(len(j), "i8")))
+        at = np.flatnonzero(~(before | beyond))
+        j = at % len(low)
+        code = (got.reshape(-1)[at].astype("i8") - low[j]) // step[j]
+        by_step = step[j] > 1
+        place = np.zeros(len(low), "i8")
+        place[self.coarse[width]] = np.arange(len(self.coarse[width])) * STEPS
+        np.add.at(self.table[width].reshape(-1), place[j[by_step]] + code[by_step], 1)
+        j, code = j[~by_step], code[~by_step]
+        self.steps[width].append((j * STEPS_MOST + code, np.ones(len(j), "i8")))
         if sum(len(codes) for codes, _ in self.steps[width]) > 2 * HELD:
             self.steps[width] = [self.gathered(width)]
         exact = np.flatnonzero(step == 1)  # what follows a number matters where numbers are told
@@ -78,23 +92,35 @@ class Counted(R.Cosines):
             if not told["n"]:
                 continue
             codes, many = self.gathered(width)
+            row, at = np.nonzero(table := self.table[width])
+            codes, many = np.concatenate([codes, self.coarse[width][row] * STEPS_MOST + at]), np.concatenate([many, table[row, at]])
+            order = np.argsort(codes)
+            codes, many = codes[order], many[order].astype("i8")
             cuts = np.searchsorted(codes, np.arange(1, len(ids)) * STEPS_MOST)
             lists = lambda a: np.split(a, cuts)
             out = pd.DataFrame({"query_id": ids, "n": told["n"], "best": told["best"], "below": told["below"], "over": np.where(np.isinf(told["over"]), END, told["over"]).astype("i8")})
+            out["low"], out["high"], out["step"] = self.sought[width]
             out["steps"], out["many"] = lists(codes % STEPS_MOST), lists(many)
             for at in range(0, len(out), 256):
                 yield out.iloc[at : at + 256]
 
 
 def _narrowed(pdf: pd.DataFrame) -> pd.DataFrame:
-    """What all tasks have told of a query, and its low, high and step before, as its next ones; ``found`` where low and high are the two middle numbers."""
-    n, below, over, first, step, high = int(pdf["n"].sum()), int(pdf["below"].sum()), int(pdf["over"].min()), int(pdf["low"].iloc[0]), int(pdf["step"].iloc[0]), int(pdf["high"].iloc[0])
-    steps, at = np.unique(np.concatenate(pdf["steps"].to_numpy()).astype("i8"), return_inverse=True)
-    ends = below + np.cumsum(np.bincount(at, np.concatenate(pdf["many"].to_numpy()), len(steps)).astype("i8"))
+    """What all tasks have told of some queries, and their low, high and step before, as their next ones; ``found`` where low and high are the two middle numbers."""
+    code, ids = pd.factorize(pdf["query_id"])
+    told = {c: pdf[c].to_numpy() for c in ("n", "best", "below", "over", "low", "high", "step", "steps", "many")}
+    of = np.split(np.argsort(code, kind="stable"), np.cumsum(np.bincount(code))[:-1])
+    return pd.DataFrame([{"query_id": q} | _next({c: column[rows] for c, column in told.items()}) for q, rows in zip(ids, of, strict=True)])
+
+
+def _next(told: dict[str, np.ndarray]) -> dict:
+    n, below, over, first, step, high = int(told["n"].sum()), int(told["below"].sum()), int(told["over"].min()), int(told["low"][0]), int(told["step"][0]), int(told["high"][0])
+    steps, at = np.unique(np.concatenate(told["steps"]).astype("i8"), return_inverse=True)
+    ends = below + np.cumsum(np.bincount(at, np.concatenate(told["many"]), len(steps)).astype("i8"))
     # of n scores the best is left out; it is the last by score, and by distance no earlier than half of the rest
     ranks = max((n - 2) // 2, 0), max((n - 1) // 2, 0)
     last = int(ends[-1]) if len(ends) else below
-    out = {"query_id": pdf["query_id"].iloc[:1].to_numpy(), "n": n, "best": float(pdf["best"].max()), "found": False, "step": 1}
+    out = {"n": n, "best": float(told["best"].max()), "found": False, "step": 1}
     if ranks[0] < below:
         low, high, inside = -END, first - 1, below
     elif ranks[0] >= last:
@@ -103,10 +129,10 @@ def _narrowed(pdf: pd.DataFrame) -> pd.DataFrame:
         i = int(np.searchsorted(ends, ranks[0], "right"))
         if step == 1:
             k = int(np.searchsorted(ends, ranks[1], "right"))
-            return pd.DataFrame(out | {"found": True, "low": first + int(steps[i]), "high": first + int(steps[k]) if k < len(ends) else over})
+            return out | {"found": True, "low": first + int(steps[i]), "high": first + int(steps[k]) if k < len(ends) else over}
         low, inside = first + int(steps[i]) * step, int(ends[i] - (ends[i - 1] if i else below))
         high = min(low + step - 1, high)
-    return pd.DataFrame(out | {"low": low, "high": high, "step": 1 if inside <= TOLD else -(-(high - low + 1) // STEPS)})
+    return out | {"low": low, "high": high, "step": 1 if inside <= TOLD else -(-(high - low + 1) // STEPS)}
 
 
 def _sampled(rows: pd.DataFrame, many: int):
@@ -114,7 +140,7 @@ def _sampled(rows: pd.DataFrame, many: int):
     units = {width: R.units(np.stack(own)) for width, own in rows["v"].groupby(rows["v"].map(len))}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (batch.iloc[at : at + R.CELLS // SAMPLE + 1] for batch in batches for at in range(0, len(batch), R.CELLS // SAMPLE + 1)):
             for width, own in pdf.groupby(pdf["v"].map(len)):
                 low, high, inside = np.full(len(own), -END), np.full(len(own), END), float(many)
                 if width in units and len(units[width]) >= 64:
@@ -141,7 +167,7 @@ def middles(passages: DataFrame, queries: DataFrame, block: int = R.QUERY_BLOCK)
     vectors = scratch.cut(R.vectors(queries, "query_id"), "query-vectors")
     many, all_ = vectors.count(), rows.count()
     key = vectors.schema["query_id"].dataType.simpleString()
-    schema = f"query_id {key}, n long, best double, below long, over long, steps array<long>, many array<long>"
+    schema = f"query_id {key}, n long, best double, below long, over long, low long, high long, step long, steps array<long>, many array<long>"
     middle, done = F.lit(None).cast("long"), None
     for _ in ("scores", "distances"):
         asks = vectors.withColumn("middle", middle) if done is None else vectors.join(done.select("query_id", middle.alias("middle")), "query_id")
@@ -149,8 +175,8 @@ def middles(passages: DataFrame, queries: DataFrame, block: int = R.QUERY_BLOCK)
         parts = []
         while True:
             counts = R.sweep(rows, asks, Counted, block=block, schema=schema, deal=DEAL, many=many if not parts else None)
-            told = counts.join(asks.select("query_id", "low", "high", "step"), "query_id")
-            found = scratch.cut(told.groupBy("query_id").applyInPandas(_narrowed, f"query_id {key}, n long, best double, found boolean, step long, low long, high long"), "narrowed")
+            some = counts.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, many // NARROWED))).alias("some"))
+            found = scratch.cut(some.applyInPandas(_narrowed, f"query_id {key}, n long, best double, found boolean, step long, low long, high long"), "narrowed")
             parts.append(found.where("found"))
             if found.where("NOT found").isEmpty():
                 break

@@ -1,9 +1,11 @@
 """Medians by counting, against medians of all scores."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from attestor import scratch
 from attestor.operators import metrics as M, retrieval as R, spread
 from attestor.plans import evaluation
 from tests.test_growth import rows_made
@@ -70,3 +72,17 @@ def test_medians_are_found_where_the_sample_has_missed_them(spark, tables, monke
 
     monkeypatch.setattr(spread, "_sampled", off)
     assert {r.query_id: r for r in spread.middles(passages, asked).collect()} == want
+
+
+def test_every_block_and_part_has_a_task_of_its_own(spark, tables):
+    """Blocks and parts were dealt by a hash to as many tasks as the session shuffles to: some had several, others none."""
+    asks = scratch.cut(R.vectors(tables[1], "query_id"), "asked")
+    out = R.sweep(R.vectors(tables[0], "ref"), asks, lambda own: R.Cosines(own, 3), block=4, deal=50)
+    assert out.select(F.spark_partition_id()).distinct().count() > int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_counts_of_many_queries_are_put_together_at_once():
+    """Each query was a group of its own: 9 ms each, in one task as they are small."""
+    rows = [{"query_id": q, "n": 3, "best": 9.0 + q, "below": 1, "over": 99, "low": 0, "high": 9, "step": 1, "steps": np.array([q, 4]), "many": np.array([1, 1])} for q in (1, 2, 1)]
+    got = spread._narrowed(pd.DataFrame(rows)).set_index("query_id")
+    assert got.loc[1].to_dict() == {"n": 6, "best": 10.0, "found": True, "step": 1, "low": 1, "high": 1} and got.loc[2, ["found", "high"]].tolist() == [False, -1]
