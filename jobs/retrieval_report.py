@@ -36,7 +36,7 @@ NONE = "none"
 
 def relevance(docs: DataFrame, questions: DataFrame, index: L.Index) -> DataFrame:
     """(query_id, ref, gain): 2 for what must be found, 1 for what is acceptable."""
-    twice = index.postings.where("tf >= 2").join(L.rarest(index, questions), "term").select("query_id", "ref", F.lit(1).alias("gain"))
+    twice = L.held(index, L.rarest(index, questions)).where("tf >= 2").select("query_id", "ref", F.lit(1).alias("gain"))
     return L.holding(index, docs, questions).withColumn("gain", F.lit(2)).unionByName(twice)
 
 

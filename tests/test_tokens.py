@@ -26,3 +26,20 @@ def test_tables_cut_as_the_expression_does(spark, characters, monkeypatch):
     assert got == {ref: (sum(t.values()), t) for ref, t in want.items()}
     df = Counter(t for own in want.values() for t in own)
     assert {r.term: r.df for r in index.terms.collect()} == df and index.total == sum(df.values())
+
+
+def test_few_wanted_terms_make_no_postings(spark, monkeypatch):
+    """The postings of all terms were written, sorted, for the terms of a few items."""
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["one two three four", "two three", "bone", "one", "", None, "-- one -- two three", "three two two"])], "ref long, text string")
+    items = spark.createDataFrame([(1, "two three"), (2, "one"), (3, "--"), (4, "e two three f"), (5, ""), (6, None)], "query_id long, text string")
+
+    def told():
+        index = L.build(docs)
+        held = sorted(map(tuple, L.holding(index, docs, items).collect()))
+        return index, held, sorted(map(tuple, L.held(index, L.rarest(index, items)).collect()))
+
+    index, *few = told()
+    assert not index._made and few[0] == [(1, 0), (1, 1), (1, 6), (2, 0), (2, 2), (2, 3), (2, 6), (3, 6), (4, 0)]
+    monkeypatch.setattr(L, "WANTED", 0)
+    index, *many = told()
+    assert index._made and many == few
