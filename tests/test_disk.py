@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from attestor import scratch
 from attestor.operators import lexical as L, retrieval as R, service as S
+from attestor.plans import catalog, investigation as plans
 
 
 @pytest.fixture(scope="module")
@@ -41,3 +42,11 @@ def test_texts_are_not_written_for_each_query(spark, made, monkeypatch):
     assert rows[0] == rows[1] and len(rows[0]) == 23 * 3 and rows[2] == rows[3]
     texts = {r.ref: r.text for r in passages.collect()}
     assert all(r.snippet == texts[r.ref][: {1: 500, 2: 500, 3: 200}[r["rank"]]] for r in whole.collect())
+
+
+def test_skills_are_made_where_parts_are_read(spark):
+    assert "investigations" in catalog.QUERIES
+    tables = plans._tables(spark, "/root/testdata/sf0.001")
+    plan = tables["skills"]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert tables["host"].select("skill_id").distinct().count() <= 4 and tables["skills"].count() == 200
