@@ -65,3 +65,27 @@ def test_common_terms_are_not_added_cell_by_cell(made, monkeypatch):
     monkeypatch.setattr(L, "np", Numpy())
     list(held.batch(rows))
     assert 0 < sum(written) < hits / 3
+
+
+def test_other_terms_are_added_in_small_steps(made, monkeypatch):
+    """As many cells at once as a matrix has took arrays of many times a core's cache."""
+    rows, asks, _ = made
+    steps = []
+
+    class Add:
+        @staticmethod
+        def at(cells, index, values):
+            steps.append(len(index))
+            np.add.at(cells, index, values)
+
+    class Numpy:
+        add = Add
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+    held = L.Scores(asks, 7, 50.0)
+    monkeypatch.setattr(L, "HITS", 1000, raising=False)
+    monkeypatch.setattr(L, "np", Numpy())
+    list(held.batch(rows))
+    assert max(steps) <= 1000 < sum(steps)
