@@ -50,3 +50,12 @@ def test_skills_are_made_where_parts_are_read(spark):
     plan = tables["skills"]._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert tables["host"].select("skill_id").distinct().count() <= 4 and tables["skills"].count() == 200
+
+
+def test_the_driver_makes_no_objects_of_queries(spark, made, monkeypatch):
+    passages, queries = made
+    index = L.build(passages)
+    terms = L.asked(index, queries)
+    want = sorted(map(tuple, L.best(index, terms, 4).collect()))
+    monkeypatch.setattr(type(queries), "toPandas", None)
+    assert sorted(map(tuple, L.best(index, terms, 4).collect())) == want and len(want) == 23 * 4
